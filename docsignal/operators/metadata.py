@@ -11,11 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ftps, uncs, urls
-from ..schema import findings, hit, none, when
+from ..schema import METADATA, findings, hit, none, when
 from ..sources.containers import form_fields, pdf_objects, png_parts, unescape_names
 from ..vocab import PII_TAGS, SUSPICIOUS_TAGS, URL_TAGS
 
-METADATA = "path string, tags map<string,string>, form_fields array<struct<obj:string,ft:string,t:string,tu:string,v:string>>"
 #: document property -> tag; fixed values of public formats
 OOXML_TAGS = {"creator": "Creator", "lastModifiedBy": "LastModifiedBy", "title": "Title", "subject": "Subject", "description": "Description", "keywords": "Keywords", "revision": "Revision", "Company": "Company", "Manager": "Manager", "Application": "Producer", "Pages": "Pages"}
 

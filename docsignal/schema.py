@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-INVENTORY = T._parse_datatype_string("path string, sha256 string, size long, mtime timestamp, mime string, bucket string, extension string")
-FINDING = T._parse_datatype_string("file string, sha256 string, file_type string, bucket string, stage string, category string, subcategory string, finding string, evidence string, tool string, severity string, confidence double, extras map<string,string>")
-METADATA = T._parse_datatype_string("path string, tags map<string,string>, form_fields array<struct<obj:string,ft:string,t:string,tu:string,v:string>>")
+INVENTORY = "path string, sha256 string, size long, mtime timestamp, mime string, bucket string, extension string"
+FINDING = "file string, sha256 string, file_type string, bucket string, stage string, category string, subcategory string, finding string, evidence string, tool string, severity string, confidence double, extras map<string,string>"
+METADATA = "path string, tags map<string,string>, form_fields array<struct<obj:string,ft:string,t:string,tu:string,v:string>>"
 HIT = "struct<category:string,subcategory:string,finding:string,evidence:string,tool:string,severity:string,confidence:double,extras:map<string,string>>"
-COLUMNS = FINDING.names
+COLUMNS = ["file", "sha256", "file_type", "bucket", "stage", "category", "subcategory", "finding", "evidence", "tool", "severity", "confidence", "extras"]
 #: order in which rows are made: stage, file, place within the file
 SEQ = "struct<stage:int,file:string,pos:int>"
 

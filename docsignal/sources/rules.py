@@ -44,11 +44,10 @@ def read_findings(spark: SparkSession, path: str) -> DataFrame:
     """Findings of a JSON-lines artefact; none if it is missing."""
     from pyspark.errors import AnalysisException
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in FINDING.fields)
     try:
-        return spark.read.schema(f"{schema}, seq {SEQ}").json(path)
+        return spark.read.schema(f"{FINDING}, seq {SEQ}").json(path)
     except AnalysisException:
-        return spark.createDataFrame([], f"{schema}, seq {SEQ}")
+        return spark.createDataFrame([], f"{FINDING}, seq {SEQ}")
 
 
 def inventory_of(findings: DataFrame) -> DataFrame:
