@@ -5,17 +5,18 @@ minimum and its maximum, so half the evaluations fill the signature; two sets ag
 their Jaccard similarity, and the pair's estimate varies less than that of two independent functions. Signatures are cut into
 bands; sets that share a band are candidates, and each candidate link is confirmed on the full sets.
 
-Documents with equal sets form one class. Within a bucket the members are tried against pivots, not against each other: first one
-pivot a bucket, then, only where a bucket still holds several components, more of them, four times as many in each round, until
-all members of all buckets are linked or have been compared. So a group of m copies or near copies costs about m comparisons,
-and no pair of different sets that shares a bucket is skipped unless it is connected already.
+Documents with equal sets form one class. The members of a bucket are first tried against one pivot, which settles groups of
+copies and near copies at about one comparison a member. In buckets that still hold several components, every member outside the
+largest one is then compared with every member, in blocks: a task gets two blocks of texts, counts all common shingles by a matrix
+product and returns at most a tree of links. So no pair of different sets that shares a bucket is skipped unless it is connected
+already, no task holds a whole bucket, and pairs are never rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import NOT_SPACE, U64, Scratch, components, mix64, read, span_hashes, text_slices, word_spans
@@ -25,6 +26,8 @@ BANDS, ROWS = 20, 6
 PERMS = BANDS * ROWS // 2
 #: members compared with one copy of their pivot's text in a task
 CHUNK = 128
+#: a block has about so many texts, and about so many shingles, at most
+BLOCK, BLOCK_SHINGLES = 256, 400_000
 
 
 def _params() -> tuple[np.ndarray, np.ndarray]:
@@ -144,11 +147,93 @@ def _confirm(scratch: Scratch, pairs: DataFrame, texts: DataFrame, link: int, ch
     return rows.groupBy("b", "part").applyInArrow(run, "a long, b long")
 
 
+def common(left: list[np.ndarray], right: list[np.ndarray], piece: int = 4096) -> np.ndarray:
+    """Common elements of each left and right set, by products of membership matrices over pieces of their elements."""
+    both = left + right
+    size = np.array([len(x) for x in both])
+    values, at = np.unique(np.concatenate(both), return_inverse=True)
+    owner = np.repeat(np.arange(len(both)), size)
+    shared = np.bincount(at, minlength=len(values)) > 1  # an element of one set only is common to none
+    keep = shared[at]
+    at, owner = (np.cumsum(shared) - 1)[at[keep]], owner[keep]
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], owner[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, int(shared.sum()), piece):
+        a, b = np.searchsorted(at, [lo, lo + piece])
+        m = np.zeros((len(both), piece), np.float32)
+        m[owner[a:b], at[a:b] - lo] = 1
+        out += m[: len(left)] @ m[len(left) :].T
+    return out.astype(np.int64)
+
+
+def _tree(edges: np.ndarray, n: int) -> np.ndarray:
+    """Edges that join the same members as edges do, at most n - 1."""
+    up = list(range(n))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    kept = []
+    for a, b in edges.tolist():
+        x, y = root(a), root(b)
+        if x != y:
+            up[y] = x
+            kept.append((a, b))
+    return np.array(kept, np.int64).reshape(-1, 2)
+
+
+def _compare(scratch: Scratch, rest: DataFrame, texts: DataFrame, link: int, block: int) -> DataFrame:
+    """Links (a, b) between the components of each bucket of rest (bucket, c1, n, comp)."""
+    parts = rest.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
+    major = parts.groupBy("bucket").agg(F.max_by("comp", F.struct("k", "comp")).alias("major"), F.sum("k").alias("m"), F.max("k").alias("k"))
+    weight = rest.groupBy("bucket").agg(F.sum("n").alias("w"), F.bit_xor(F.xxhash64("c1")).alias("x"))
+    plan = major.join(weight, "bucket")
+    # buckets of different bands with the same members need one comparison
+    plan = plan.groupBy("m", "x").agg(F.min(F.struct("bucket", "major", "k", "w")).alias("p")).select("m", "p.*")
+    all_parts = F.ceil(F.greatest(F.col("m") / block, F.col("w") / BLOCK_SHINGLES)).cast("int")
+    plan = plan.withColumn("na", all_parts).withColumn("nm", F.ceil(F.col("na") * (F.col("m") - F.col("k")) / F.col("m")).cast("int"))
+    plan = scratch.save(plan.selectExpr("bucket as pb", "major", "na", "nm"), "plan")
+    rows = rest.join(plan, F.expr("bucket = pb")).withColumn("minor", F.expr("comp <> major"))
+    spot = lambda n: F.pmod(F.xxhash64("c1"), F.col(n)).cast("int")
+    left = rows.select("bucket", "c1", "comp", spot("na").alias("i"), F.explode(F.expr("sequence(0, nm - 1)")).alias("j"), F.expr("minor and na = 1").alias("minor"))
+    right = rows.where("minor and na > 1").select("bucket", "c1", "comp", F.explode(F.expr("sequence(0, na - 1)")).alias("i"), spot("nm").alias("j"), F.lit(True).alias("minor"))
+    sent = left.union(right).withColumnRenamed("c1", "c").join(texts, F.expr("c = c1")).select("bucket", "i", "j", "c", "comp", "minor", "text")
+
+    def run(key, table):
+        sets, comp, minor, other = {}, {}, [], []
+        for c, k, m, text in zip(table.column("c").to_pylist(), table.column("comp").to_pylist(), table.column("minor").to_pylist(), table.column("text"), strict=True):
+            if c not in sets:
+                x = shingle_set(text.as_py())
+                if class_of(x) != c:  # another row with the same doc_id
+                    continue
+                sets[c], comp[c] = x, k
+            (minor if m else other).append(c)
+        minor, every = sorted(set(minor)), sorted(set(minor) | set(other))
+        a = b = np.zeros(0, np.int64)
+        if minor and len(every) > 1:
+            size = lambda cs: np.array([len(sets[c]) for c in cs])
+            both = common([sets[c] for c in minor], [sets[c] for c in every])
+            near = 100 * both >= link * (size(minor)[:, None] + size(every)[None] - both)
+            near &= np.array([comp[c] for c in minor])[:, None] != np.array([comp[c] for c in every])[None]
+            i, j = np.nonzero(near)
+            at = {c: k for k, c in enumerate(every)}
+            edges = _tree(np.stack([np.array([at[c] for c in minor], np.int64)[i], j], 1), len(every))
+            ids = np.array(every, np.int64)
+            a, b = ids[edges[:, 0]], ids[edges[:, 1]]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return sent.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def class_of(x: np.ndarray) -> int:
     return int(mix64(np.array([x.sum(dtype=U64) + U64(len(x))], U64)).view(np.int64)[0]) if len(x) else 0
 
 
-def near_duplicates(spark: SparkSession, documents: DataFrame, link: int = LINK_OF_100, chunk: int = CHUNK) -> DataFrame:
+def near_duplicates(spark: SparkSession, documents: DataFrame, link: int = LINK_OF_100, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
     """Per row of documents (doc_id, n_shingles, component_id, kept, set_class).
 
     Null and empty texts have no shingles and link with nothing, not even each other: their component_id is their own doc_id. Equal texts and repeated rows are
@@ -171,30 +256,17 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, link: int = LINK_
     tried = scratch.save(members.where("c1 <> pc").where(fits).select(F.col("c1").alias("a"), F.col("pc").alias("b")).distinct(), "pairs-0")
     links = scratch.save(_confirm(scratch, tried, texts, link, chunk), "links-0")
     comp = components(spark, links, scratch, "cc0")
-    done, step = 1, 0
-    while True:
-        step += 1
-        # buckets that still hold several components
-        now = members.join(comp.withColumnRenamed("node", "c1"), "c1", "left").select("bucket", "c1", "n", "m", F.coalesce("comp", "c1").alias("comp")).where(F.col("m") > done)
-        mixed = scratch.save(now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket"), f"mixed-{step}")
-        if not mixed.limit(1).count():
-            break
-        rest = scratch.save(now.join(mixed, "bucket"), f"open-{step}")
-        upto = 4 * done + 4
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("c1"))  # limited to upto rows a bucket before the shuffle
-        pivots = rest.select("bucket", "c1", "n", "comp", rank.alias("r")).where(F.col("r") <= upto).where(F.col("r") > done)
-        pivots = scratch.save(pivots.selectExpr("bucket as pbucket", "c1 as pc", "n as pn", "comp as pcomp"), f"pivots-{step}")
-        new = rest.join(pivots, F.expr("bucket = pbucket")).where("comp <> pcomp and c1 > pc").where(fits).select(F.col("c1").alias("a"), F.col("pc").alias("b")).distinct()
-        new = scratch.save(new.join(tried, ["a", "b"], "left_anti"), f"pairs-{step}")
-        more = scratch.save(_confirm(scratch, new, texts, link, chunk), f"links-{step}")
-        tried, done = tried.union(new), upto
-        if more.limit(1).count():
-            links = links.union(more)
-            comp = components(spark, links, scratch, f"cc{step}")
+    # buckets that still hold several components
+    now = members.join(comp.withColumnRenamed("node", "c1"), "c1", "left").select("bucket", "c1", "n", F.coalesce("comp", "c1").alias("comp"))
+    mixed = scratch.save(now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket"), "mixed")
+    rest = scratch.save(now.join(mixed, "bucket"), "open")
+    more = scratch.save(_compare(scratch, rest, texts, link, block), "links-1")
+    if more.limit(1).count():
+        comp = components(spark, links.union(more), scratch, "cc1")
     label = scratch.save(owners.join(comp.withColumnRenamed("node", "c1"), "c1", "left").select("c1", "doc_id", F.coalesce("comp", "c1").alias("comp")), "label")
     least = label.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     final = scratch.save(label.join(least, "comp").select(F.col("c1").alias("k"), "component_id"), "final")
-    scratch.drop("heads", "members", "classes", "texts")
+    scratch.drop("heads", "members", "classes", "texts", "open")
     empty = sig.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("set_class"))
     full = sig.where("n > 0").join(final, F.expr("c1 = k")).select("doc_id", "n", "component_id", F.col("c1").alias("set_class"))
     return empty.union(full).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.expr("doc_id <=> component_id").alias("kept"), "set_class")
