@@ -93,9 +93,11 @@ def field_hits(fields: Column) -> Column:
     """Links in names, tooltips and values of form fields, and their count."""
 
     def of(f):
+        def link(name, end, what):
+            return lambda u: hit("active_url", f"pdf_form_{name}{end}", F.concat(F.lit(f"PDF Form field {name} contains remote {what}: "), u), u, "pdf-parser", "critical", 0.95)
+
         def kind(name, v):
-            rows = [(urls, "", "URL"), (ftps, "_ftp", "FTP"), (uncs, "_unc", "UNC")]
-            return F.concat(*[F.transform(find(v), lambda u, end=end, what=what: hit("active_url", f"pdf_form_{name}{end}", F.concat(F.lit(f"PDF Form field {name} contains remote {what}: "), u), u, "pdf-parser", "critical", 0.95)) for find, end, what in rows])
+            return F.concat(*[F.transform(find(v), link(name, end, what)) for find, end, what in ((urls, "", "URL"), (ftps, "_ftp", "FTP"), (uncs, "_unc", "UNC"))])
 
         return F.concat(kind("name", f["t"]), kind("tooltip", f["tu"]), kind("value", f["v"]))
 
