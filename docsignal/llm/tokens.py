@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, open_fs, read, shared_root
+from .common import U64, Scratch, open_fs, read, shared_root, span_hashes, text_slices
 
 MAGIC, VERSION, RANK_BITS = b"DACS", 1, 512
 END_ID = 2
@@ -75,10 +75,9 @@ def _rank(bits: np.ndarray, ranks: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out + np.bitwise_count(low).astype(np.int64)
 
 
-def encode_shard(doc_ids: list[int | None], ids: list[np.ndarray], width: int = 8) -> bytes:
-    """The bytes of a shard; ids[i] are the unsigned ids of document doc_ids[i]."""
-    sizes = np.array([len(x) for x in ids], np.int64)
-    values = np.concatenate(ids).astype(np.uint32) if len(ids) else np.zeros(0, np.uint32)
+def encode_shard(doc_ids: list[int | None], sizes: np.ndarray, values: np.ndarray, width: int = 8) -> bytes:
+    """The bytes of a shard: values are the unsigned ids of all its documents in turn, sizes how many each has."""
+    values = values.astype(np.uint32)
     parts = [np.array([d or 0 for d in doc_ids], "<i8"), np.array([d is None for d in doc_ids], np.uint8), np.concatenate([[0], np.cumsum(sizes)]).astype("<u8")]
     levels = 0
     while levels == 0 or len(values):
@@ -120,126 +119,286 @@ class Shard:
                 break
         return out
 
+    def range(self, a: int, b: int) -> np.ndarray:
+        """Ids at positions a to b: one rank a level, then the levels' chunks in a row."""
+        out, at = np.zeros(b - a, np.uint32), None
+        for k, (chunks, bits, ranks) in enumerate(self.level):
+            if b <= a:
+                break
+            part = unpack(chunks, self.width, np.arange(a, b)) if self.width != 8 else chunks[a:b].astype(np.uint32)
+            on = np.flatnonzero(np.unpackbits(bits.view(np.uint8)[a >> 3 : (b + 7) >> 3], bitorder="little")[a & 7 : (a & 7) + b - a])
+            if at is None:
+                out |= part
+                at = on
+            else:
+                out[at] |= part << np.uint32(k * self.width)
+                at = at[on]
+            a = int(_rank(bits, ranks, np.array([a]))[0])
+            b = a + len(on)
+        return out
+
     def document(self, i: int) -> np.ndarray:
-        return self[np.arange(self.starts[i], self.starts[i + 1])]
+        return self.range(int(self.starts[i]), int(self.starts[i + 1]))
 
 
 # ---- encoding --------------------------------------------------------------------------------------------------------
 
 
-class PieceCache(dict):
-    """Pre-token -> its ids as little-endian u32 bytes, by the tokenizers library; each distinct pre-token is encoded once."""
+#: byte classes: letter, digit, other, blank, other white space
+_KIND = np.full(256, 2, np.uint8)
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 0
+_KIND[0x30:0x3A] = 1
+_KIND[0x20] = 3
+_KIND[[9, 10, 11, 12, 13]] = 4
+
+
+def split_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begins, odd): where the pre-tokens of byte-level vocabularies begin, and which texts hold what these rules don't cover.
 
-    def __init__(self, path: str, most: int = 300_000):
-        super().__init__()
+    Covered are ASCII and the Latin-1 letters: runs of letters, of digits and of other marks, each with one blank before it; the
+    endings 's 't 're 've 'm 'll 'd; white space, whose last character before a word stands alone or goes with the word.
+    """
+    n = len(data)
+    begins, odd = np.zeros(n, bool), np.zeros(len(offsets) - 1, bool)
+    if not n:
+        return begins, odd
+    first = np.zeros(n + 1, bool)
+    first[offsets[:-1]] = True
+    last = first[1:].copy()
+    last[-1] = True
+    first = first[:-1]
+    kind = _KIND[data]
+    before, after = np.roll(data, 1), np.roll(data, -1)
+    high = data >= 0x80
+    follows = (before == 0xC3) & ~first & (data >= 0x80) & (data <= 0xBF) & (data != 0x97) & (data != 0xB7)
+    leads = (data == 0xC3) & ~last & np.roll(follows, -1)
+    strange = (high & ~follows & ~leads) | ((data >= 0x1C) & (data <= 0x1F))
+    if strange.any():
+        odd[np.searchsorted(offsets, np.flatnonzero(strange), "right") - 1] = True
+    space = kind >= 3
+    space_before = np.roll(space, 1)
+    begins = np.where(space, ~space_before | (~np.roll(space, -1) & ~last), np.where(space_before, before != 0x20, kind != np.roll(kind, 1))) | first
+    mark = np.flatnonzero((data == 0x27) & begins & ~last)
+    if len(mark):
+        pad = np.concatenate([data, np.zeros(2, np.uint8)])
+        a, b = pad[mark + 1], pad[mark + 2]
+        two = ~last[np.minimum(mark + 1, n - 1)] & (((a == 0x72) & (b == 0x65)) | ((a == 0x76) & (b == 0x65)) | ((a == 0x6C) & (b == 0x6C)))
+        one = (a == 0x73) | (a == 0x74) | (a == 0x6D) | (a == 0x64)
+        for hit, k in ((mark[one], 1), (mark[two], 2)):
+            begins[hit + 1] = False
+            inside = hit + 1 + k < n
+            begins[(hit + 1 + k)[inside]] = True
+    return begins, odd
+
+
+class Encoder:
+    """Ids of texts by the tokenizers library; each distinct pre-token is encoded once and found again by a hash of its bytes."""
+
+    def __init__(self, path: str, most: int = 2_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
+        import json
+
         from tokenizers import Tokenizer
 
         self.model, self.most = Tokenizer.from_file(path), most
         self.model.encode_special_tokens = True  # such strings in a text are ordinary text
-        import json
-
         pre = json.loads(self.model.to_str()).get("pre_tokenizer") or {}
-        plain = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and self.model.normalizer is None
-        #: the split that a byte-level pre-tokenizer makes; any other tokenizer gets whole texts
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall if plain else None
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        whole = lambda x: np.asarray(self.model.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
-        if self.split is None:
-            return [whole(x) for x in texts]
-        pieces = [self.split(x) for x in texts]
-        if len(self) > self.most:
-            self.clear()
-        new = list({p for ps in pieces for p in ps if p not in self})
-        for i in range(0, len(new), 4096):
-            for p, e in zip(new[i : i + 4096], self.model.encode_batch_fast(new[i : i + 4096], add_special_tokens=False), strict=True):
-                self[p] = np.asarray(e.ids, "<u4").tobytes()
-        out = [b"".join(map(self.__getitem__, ps)) for ps in pieces]
-        if texts and out[0] != whole(texts[0]):  # one text a batch is encoded whole, against a tokenizer that splits otherwise
-            raise ValueError("the tokenizer splits texts in another way")
+        #: the rules of split_pieces are those of this pre-tokenizer; any other one gets whole texts
+        self.plain = pre.get("type") == "ByteLevel" and bool(pre.get("use_regex")) and not pre.get("add_prefix_space") and self.model.normalizer is None
+        vocab = self.model.get_vocab()
+        self.dtype = "<u2" if max(vocab.values(), default=0) < 1 << 16 else "<u4"
+        self.width = np.zeros(max(vocab.values(), default=0) + 1, np.int64)  # bytes of each token
+        for token, i in vocab.items():
+            self.width[i] = len(token)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.slots = np.zeros(1 << 16, np.int64)  # of a hash's low bits, the entry + 1; on a clash the next slot
+        self.hash, self.first, self.count, self.flat, self.n, self.used = np.zeros(1024, U64), np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0, 0
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.asarray(self.model.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Entries of hashes, -1 for those not seen."""
+        mask = U64(len(self.slots) - 1)
+        out, todo, at = np.full(len(h), -1, np.int64), np.arange(len(h)), (h & mask).astype(np.int64)
+        while len(todo):
+            e = self.slots[at] - 1
+            same = (e >= 0) & (self.hash[e] == h[todo])
+            out[todo[same]] = e[same]
+            go = (e >= 0) & ~same
+            todo, at = todo[go], (at[go] + 1) & int(mask)
         return out
 
-
-_CACHES: dict[str, PieceCache] = {}
-
-
-def encoder(path: str) -> PieceCache:
-    if path not in _CACHES:
-        _CACHES[path] = PieceCache(path)
-    return _CACHES[path]
-
-
-def encode_documents(documents: DataFrame, tokenizer: str, end_id: int = END_ID, budget: int = 1 << 20) -> DataFrame:
-    """(doc_id, n_tokens, ids): ids of each whole text (null: empty) and the end id, little-endian u16 if all fit in it, else u32."""
+    def _place(self, entries: np.ndarray) -> None:
+        mask = len(self.slots) - 1
+        at = (self.hash[entries] & U64(mask)).astype(np.int64)
+        while len(entries):
+            free = self.slots[at] == 0
+            self.slots[at[free]] = entries[free] + 1  # of several in one slot the last stays
+            lost = self.slots[at] != entries + 1
+            entries, at = entries[lost], (at[lost] + 1) & mask
+
+    def _learn(self, h: np.ndarray, pieces: list[bytes]) -> None:
+        """Encode new pre-tokens: those of a blank and letters in one joined text, cut again by the tokens' bytes; others one by one."""
+        text = [p.decode() for p in pieces]
+        joint = np.array([len(t) > 1 and t[0] == " " and t[1:].isalpha() for t in text], bool)
+        ids: list = [None] * len(text)
+        rows = np.flatnonzero(joint)
+        if len(rows):
+            got = np.asarray(self.model.encode_batch_fast(["".join(text[r] for r in rows)], add_special_tokens=False)[0].ids, np.uint32)
+            ends, stops = np.cumsum(self.width[got]), np.cumsum([len(pieces[r]) for r in rows])
+            cut = np.searchsorted(ends, stops)
+            if len(ends) and ends[-1] == stops[-1] and (ends[cut] == stops).all():
+                for r, a, b in zip(rows.tolist(), [0, *(cut[:-1] + 1).tolist()], (cut + 1).tolist(), strict=True):
+                    ids[r] = got[a:b]
+            else:
+                joint[:] = False
+        rows = np.flatnonzero(~joint)
+        for r, e in zip(rows.tolist(), self.model.encode_batch_fast([text[r] for r in rows], add_special_tokens=False) if len(rows) else [], strict=True):
+            ids[r] = np.asarray(e.ids, np.uint32)
+        count = np.array([len(x) for x in ids], np.int64)
+        flat = np.concatenate(ids)
+        n, m = self.n + len(h), self.used + len(flat)
+        while len(self.hash) < n:
+            self.hash, self.first, self.count = (np.concatenate([a, np.zeros_like(a)]) for a in (self.hash, self.first, self.count))
+        while len(self.flat) < m:
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.hash[self.n : n], self.count[self.n : n] = h, count
+        self.first[self.n : n] = self.used + np.cumsum(count) - count
+        self.flat[self.used : m] = flat
+        old, self.n, self.used = self.n, n, m
+        if 3 * n > len(self.slots):
+            self.slots = np.zeros(4 * len(self.slots), np.int64)
+            old = 0
+        self._place(np.arange(old, n))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in turn, ids of each)."""
+        n = len(offsets) - 1
+        begins, odd = split_pieces(data, offsets) if self.plain else (np.zeros(len(data), bool), np.ones(n, bool))
+        starts = np.flatnonzero(begins)
+        doc = np.searchsorted(offsets, starts, "right") - 1
+        ends = np.append(starts[1:], len(data))
+        keep = ~odd[doc]
+        starts, ends, doc = starts[keep], ends[keep], doc[keep]
+        h = span_hashes(data, starts, ends, fold=False)
+        if self.n > self.most:
+            self._clear()
+        entry = self._find(h)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            fresh, at = np.unique(h[new], return_index=True)
+            raw = data.tobytes()
+            self._learn(fresh, [raw[starts[k] : ends[k]] for k in new[at]])
+            entry[new] = self._find(h[new])
+        count = self.count[entry]
+        total = int(count.sum())
+        into = np.cumsum(count) - count
+        flat = self.flat[np.repeat(self.first[entry] - into, count) + np.arange(total)]
+        sizes = np.bincount(doc, count, n).astype(np.int64)
+        if odd.any():
+            raw, cut, parts = data.tobytes(), np.concatenate([[0], np.cumsum(sizes)]), []
+            for d in range(n):
+                x = self.whole(raw[offsets[d] : offsets[d + 1]].decode("utf-8", "replace")) if odd[d] else flat[cut[d] : cut[d + 1]]
+                sizes[d] = len(x)
+                parts.append(x)
+            flat = np.concatenate(parts)
+        elif n and len(data):  # one text a call is encoded whole, against a tokenizer that splits otherwise
+            d = int(np.argmin(np.where(sizes > 0, sizes, 1 << 60)))
+            if not np.array_equal(self.whole(data[offsets[d] : offsets[d + 1]].tobytes().decode()), flat[sizes[:d].sum() :][: sizes[d]]):
+                raise ValueError("the tokenizer splits texts in another way")
+        return flat, sizes
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
+def encode_documents(documents: DataFrame, tokenizer: str, bounds: list[int], end_id: int = END_ID) -> DataFrame:
+    """(doc_id, part, n_tokens, ids): ids of each whole text (null: empty) and the end id, little-endian u16, or u32 for large
+    vocabularies; part is the number of bounds below doc_id, 0 for null."""
 
     def run(batches):
-        enc, tail = encoder(tokenizer), struct.pack("<I", end_id)
+        enc = encoder(tokenizer)
+        edge = np.array(bounds, np.int64)
         for batch in batches:
-            docs, texts, at = batch.column(0).cast(pa.int64()), batch.column(1).to_pylist(), 0
-            while at < len(texts):
-                size, to = 0, at
-                while to < len(texts) and (to == at or size < budget):
-                    size += len(texts[to] or "")
-                    to += 1
-                out, counts = [], []
-                for b in enc.encode([t or "" for t in texts[at:to]]):
-                    x = np.frombuffer(b + tail, "<u4")
-                    counts.append(len(x))
-                    out.append(b"\2" + x.astype("<u2").tobytes() if x.max() < 1 << 16 else b"\4" + x.tobytes())
-                yield pa.RecordBatch.from_arrays([docs[at:to], pa.array(counts, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "n_tokens", "ids"])
-                at = to
-
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
-
-
-def _ids(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, "<u2" if blob[:1] == b"\2" else "<u4", offset=1).astype(np.uint32)
+            docs = batch.column(0).cast(pa.int64())
+            part = np.where(docs.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(edge, docs.fill_null(0).to_numpy(), "left"))
+            for i, j, data, off in text_slices(batch.column(1)):
+                flat, sizes = enc.encode(data, off)
+                ends = np.cumsum(sizes + 1)
+                out = np.full(int(ends[-1]), end_id, enc.dtype)
+                hole = np.zeros(len(out), bool)
+                hole[ends - 1] = True
+                out[~hole] = flat
+                step = out.dtype.itemsize
+                blobs = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(np.concatenate([[0], ends * step]).astype(np.int64)), pa.py_buffer(out)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([docs[i:j], pa.array(part[i:j].astype(np.int64)), pa.array(sizes + 1), blobs], names=["doc_id", "part", "n_tokens", "ids"])
+
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, part long, n_tokens long, ids binary")
 
 
 def write_shards(spark: SparkSession, documents: DataFrame, out: str, tokenizer: str, width: int = 8, shard_mb: int = 16) -> DataFrame:
-    """Write `documents` as shards under `out`, in ascending doc_id order (null first; equal ids by their code bytes).
+    """Write `documents` as shards under `out`, in ascending doc_id order (null first; equal ids by length, then checksum of ids).
 
     Returns the manifest (shard, path, documents, n_tokens, first_token), one small row a shard. Repeated rows stay, each a
     document; an empty table gives no shard. A file's name carries the attempt that wrote it, and only the manifest's files count,
     so lost or repeated tasks leave no wrong data. Other columns are ignored.
+
+    Bounds of doc_id come from a scan of that column alone; texts are encoded where they are read and their ids shuffled once.
     """
     work = Scratch(spark, "op1")
-    coded = work.save(encode_documents(documents, tokenizer), "ids")
-    total = coded.agg(F.sum("n_tokens")).first()[0] or 0
-    parts = max(1, -(-2 * total // (shard_mb << 20)), min(spark.sparkContext.defaultParallelism, total // 100_000))
+    stats = documents.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("doc_id").alias("n")).first()
+    parts = max(1, -(-(stats.bytes or 0) // (shard_mb << 20)), min(spark.sparkContext.defaultParallelism, stats.n // 1000))
+    parts = int(min(parts, 20_000))
+    bounds = []
+    if parts > 1:
+        at = documents.agg(F.percentile_approx(F.col("doc_id").cast("long"), [k / parts for k in range(1, parts)], max(10_000, 20 * parts))).first()[0] or []
+        bounds = sorted(set(at))
+    coded = encode_documents(documents, tokenizer, bounds)
+    step = encoder(tokenizer).dtype
 
     def run(batches):
         import uuid
 
         fs, base = open_fs(out)
-        docs, ids, size, k = [], [], 0, 0
+        fs.create_dir(base, recursive=True)
+        docs, sizes, flat, part, size, k = [], [], [], None, 0, 0
 
         def flush():
-            nonlocal docs, ids, size, k
             name = f"tokens-{uuid.uuid4().hex}.dac"
             with fs.open_output_stream(f"{base}/{name}") as f:
-                f.write(encode_shard(docs, ids, width))
-            row = pa.RecordBatch.from_pydict({"order": [k], "path": [f"{out}/{name}"], "documents": [len(docs)], "n_tokens": [size]}, schema=pa.schema([("order", pa.int64()), ("path", pa.string()), ("documents", pa.int64()), ("n_tokens", pa.int64())]))
-            docs, ids, size, k = [], [], 0, k + 1
-            return row
+                f.write(encode_shard(docs, np.concatenate(sizes), np.concatenate(flat), width))
+            types = pa.schema([("part", pa.int64()), ("order", pa.int64()), ("path", pa.string()), ("documents", pa.int64()), ("n_tokens", pa.int64())])
+            return pa.RecordBatch.from_pydict({"part": [part], "order": [k], "path": [f"{out}/{name}"], "documents": [len(docs)], "n_tokens": [size]}, schema=types)
 
-        fs.create_dir(base, recursive=True)
         for batch in batches:
-            for d, blob in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                docs.append(d)
-                ids.append(_ids(blob))
-                size += len(ids[-1])
-                if size >= shard_mb << 19:
-                    yield flush()
+            each = batch.column("part").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(each)) + 1).tolist(), len(each)]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                for i in range(lo, hi, 1000):
+                    j = min(hi, i + 1000)
+                    if docs and (each[i] != part or size >= shard_mb << 19):
+                        yield flush()
+                        docs, sizes, flat, size, k = [], [], [], 0, k + 1
+                    ids = batch.column("ids").slice(i, j - i)
+                    off = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + j - i + 1]
+                    docs += batch.column("doc_id").slice(i, j - i).to_pylist()
+                    sizes.append(np.diff(off) // np.dtype(step).itemsize)
+                    flat.append(np.frombuffer(ids.buffers()[2], np.uint8)[off[0] : off[-1]].view(step).copy() if off[-1] > off[0] else np.zeros(0, step))
+                    part, size = int(each[i]), size + int(sizes[-1].sum())
         if docs:
             yield flush()
 
-    ranged = coded.repartitionByRange(int(parts), F.col("doc_id").asc_nulls_first(), "ids").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
-    written = ranged.mapInArrow(run, "order long, path string, documents long, n_tokens long").withColumn("part", F.spark_partition_id())
-    manifest = work.save(written, "manifest")
-    work.drop("ids")
+    dealt = coded.repartition(parts, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "n_tokens", F.crc32("ids"))
+    manifest = work.save(dealt.mapInArrow(run, "part long, order long, path string, documents long, n_tokens long"), "manifest")
     rows = sorted(manifest.collect(), key=lambda r: (r.part, r.order))  # one row a shard of megabytes
     table, first = [], 0
     for k, r in enumerate(rows):
@@ -259,7 +418,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     s = Shard(f.read())
                 for i in range(0, s.documents, 256):
                     j = min(i + 256, s.documents)
-                    x = s[np.arange(s.starts[i], s.starts[j])].astype("<u4")
+                    x = s.range(int(s.starts[i]), int(s.starts[j])).astype("<u4")
                     at = s.starts[i : j + 1] - s.starts[i]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(s.doc_ids[i:j], pa.int64(), mask=s.nulls[i:j] > 0), pa.array(s.starts[i:j] + first, pa.int64()), pa.array(np.diff(s.starts[i : j + 1]), pa.int64()), pa.array([x[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())],
