@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import decontaminate, embeddings, language, minhash, mixing, quality, suffix_dedup, tokens, toxicity, warc
+from .oracles import ORACLE_SQL as ORACLE_SQL
 
 QUERIES = {
     "op1_token_codes": tokens.op1,
@@ -16,5 +17,3 @@ QUERIES = {
     "op9_language": language.op9,
     "op10_suffix_dedup": suffix_dedup.op10,
 }
-
-ORACLE_SQL: dict[str, str] = {}
