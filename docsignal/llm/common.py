@@ -54,6 +54,12 @@ class Scratch:
             path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Fewer rows in an Arrow batch of whole texts bound what a Python worker and its JVM hold; the setting stays for the session."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def open_fs(uri: str):
     """(file system, path) of a URI or an absolute path."""
     import pyarrow.fs as pafs

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, U64, Scratch, components, mix64, read, span_hashes, text_slices, word_spans
+from .common import NOT_SPACE, U64, Scratch, components, mix64, read, small_batches, span_hashes, text_slices, word_spans
 
 WORDS, LINK_OF_100 = 5, 85
 BANDS, ROWS = 20, 6
@@ -240,6 +240,7 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, link: int = LINK_
     linked. component_id is the least non-null doc_id of the component; a row with null doc_id is kept only if its component has
     no other id. Other columns are ignored; an empty table gives an empty result.
     """
+    small_batches(spark)
     scratch = Scratch(spark, "op6")
     sig = scratch.save(signed(documents), "signed")
     classes = scratch.save(sig.where("n > 0").groupBy("c1").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("bands").alias("bands")), "classes")

@@ -26,10 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, mix64, read, span_hashes, text_slices
+from .common import U64, Scratch, mix64, read, small_batches, span_hashes, text_slices
 
 SPAN, GRAM, BLOCK = 200, 40, 16
-BATCH = 500
 REACH = SPAN - GRAM
 _M = (1 << 64) - 1
 _BASE = 0xC2B2AE3D27D4EB4F
@@ -240,9 +239,7 @@ def remove_repeats(spark: SparkSession, documents: DataFrame) -> DataFrame:
     repeats. Texts shorter than SPAN bytes lose nothing. Other columns are ignored.
     """
     scratch = Scratch(spark, "op10")
-    # batches of whole texts: fewer rows at a time bound what a worker and its JVM hold
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    small_batches(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("dk", F.xxhash64("text"))
     ranges = repeated_ranges(spark, docs, scratch)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, open_fs, read, shared_root, span_hashes, text_slices
+from .common import U64, Scratch, open_fs, read, shared_root, small_batches, span_hashes, text_slices
 
 MAGIC, VERSION, RANK_BITS = b"DACS", 1, 512
 END_ID = 2
@@ -194,7 +194,7 @@ def split_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 class Encoder:
     """Ids of texts by the tokenizers library; each distinct pre-token is encoded once and found again by a hash of its bytes."""
 
-    def __init__(self, path: str, most: int = 2_000_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
@@ -213,7 +213,7 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.slots = np.zeros(1 << 16, np.int64)  # of a hash's low bits, the entry + 1; on a clash the next slot
+        self.slots = np.zeros(1 << 16, np.int32)  # of a hash's low bits, the entry + 1; on a clash the next slot
         self.hash, self.first, self.count, self.flat, self.n, self.used = np.zeros(1024, U64), np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0, 0
 
     def whole(self, text: str) -> np.ndarray:
@@ -224,7 +224,7 @@ class Encoder:
         mask = U64(len(self.slots) - 1)
         out, todo, at = np.full(len(h), -1, np.int64), np.arange(len(h)), (h & mask).astype(np.int64)
         while len(todo):
-            e = self.slots[at] - 1
+            e = self.slots[at].astype(np.int64) - 1
             same = (e >= 0) & (self.hash[e] == h[todo])
             out[todo[same]] = e[same]
             go = (e >= 0) & ~same
@@ -270,7 +270,7 @@ class Encoder:
         self.flat[self.used : m] = flat
         old, self.n, self.used = self.n, n, m
         if 3 * n > len(self.slots):
-            self.slots = np.zeros(4 * len(self.slots), np.int64)
+            self.slots = np.zeros(4 * len(self.slots), np.int32)
             old = 0
         self._place(np.arange(old, n))
 
@@ -345,7 +345,7 @@ def encode_documents(documents: DataFrame, tokenizer: str, bounds: list[int], en
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, part long, n_tokens long, ids binary")
 
 
-def write_shards(spark: SparkSession, documents: DataFrame, out: str, tokenizer: str, width: int = 8, shard_mb: int = 16) -> DataFrame:
+def write_shards(spark: SparkSession, documents: DataFrame, out: str, tokenizer: str, width: int = 8, shard_mb: int = 8) -> DataFrame:
     """Write `documents` as shards under `out`, in ascending doc_id order (null first; equal ids by length, then checksum of ids).
 
     Returns the manifest (shard, path, documents, n_tokens, first_token), one small row a shard. Repeated rows stay, each a
@@ -355,6 +355,7 @@ def write_shards(spark: SparkSession, documents: DataFrame, out: str, tokenizer:
     Bounds of doc_id come from a scan of that column alone; texts are encoded where they are read and their ids shuffled once.
     """
     work = Scratch(spark, "op1")
+    small_batches(spark)
     stats = documents.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("doc_id").alias("n")).first()
     parts = max(1, -(-(stats.bytes or 0) // (shard_mb << 20)), min(spark.sparkContext.defaultParallelism, stats.n // 1000))
     parts = int(min(parts, 20_000))
