@@ -16,7 +16,7 @@ from ..sources.files import classify
 
 def stream_files(spark: SparkSession, path: str) -> DataFrame:
     """File rows of new files under a folder. The built-in source leaves out names that begin with a dot or underscore."""
-    raw = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(path)
     return classify(raw.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content"))
 
 
