@@ -24,6 +24,8 @@ LINK = 0.93
 #: cells hold about CELL nodes; no more than MOST_CELLS are fitted, on at most SAMPLE vectors
 CELL, MOST_CELLS, SAMPLE, OVERLAP = 400, 4096, 60_000, 3
 MOST_SHARD, DEGREE, ALPHA, BEAM, POOL = 3000, 24, 1.2, 24, 64
+#: members that a step of the search goes on from
+EXPAND = 8
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -109,19 +111,22 @@ def range_search(x: np.ndarray, adj: list[np.ndarray], link: float = LINK, beam:
         seen[:, n] = True
         spent = np.zeros((m, n + 1), bool)
         rows = np.arange(m)
+        step = min(EXPAND, n)
         while len(rows):
             cand = np.where(spent[rows], -2.0, sim[rows])
-            best = cand.argmax(1)
-            top = cand[np.arange(len(rows)), best]
+            best = np.argpartition(-cand, step - 1, axis=1)[:, :step]
+            top = np.take_along_axis(cand, best, 1)
             # the beam's last place among the visited
             kth = -np.partition(-sim[rows], min(beam, n) - 1, axis=1)[:, min(beam, n) - 1]
-            on = (top > -2) & ((top >= kth) | (top >= link))
-            rows, best = rows[on], best[on]
+            on = (top > -2) & ((top >= kth[:, None]) | (top >= link))
+            go = on.any(1)
+            rows, best, on = rows[go], best[go], on[go]
             if not len(rows):
                 break
-            spent[rows, best] = True
-            near = table[best]
-            r = np.repeat(rows, width).reshape(len(rows), width)
+            r, c = np.nonzero(on)
+            spent[rows[r], best[r, c]] = True
+            near = table[best[r, c]].ravel()
+            r = np.repeat(rows[r], width)
             new = ~seen[r, near]
             rr, nn = r[new], near[new]
             seen[rr, nn] = True
