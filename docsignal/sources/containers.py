@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..vocab import EXTENSION_BUCKET, MAX_DEPTH, MAX_MEMBER
+from .compound import ole_parts
 
 Part = tuple[str, str, str, int]
 
@@ -386,6 +387,8 @@ def parts_of(path: str, bucket: str, extension: str, raw: bytes, depth: int = 0)
         yield from png_parts(raw)
     elif bucket == "pdf":
         yield from pdf_parts(raw)
+    elif bucket == "ole":
+        yield from ole_parts(raw, path)
     elif bucket == "archive":
         yield from archive_parts(raw, path, depth)
 

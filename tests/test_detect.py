@@ -97,9 +97,44 @@ def test_odf_mail_svg_csv_xml(spark):
     assert kinds(spark, "x.xsl", b"<r a=\"document('https://h/d')\"/>") == {("external_entity", "xslt_document")}
 
 
+def compound(streams):
+    """A compound file of 512-byte sectors, with every stream padded to the size at which it has sectors of its own."""
+    from docsignal.sources.compound import MAGIC
+
+    entry = lambda name, kind, right, child, start, size: name.encode("utf-16-le").ljust(64, b"\0") + struct.pack("<HBB3I", 2 * len(name) + 2, kind, 1, 0xFFFFFFFF, right, child) + b"\0" * 36 + struct.pack("<IQ", start, size)
+    fat, body, entries = [0xFFFFFFFD, 0xFFFFFFFE], b"", [entry("Root Entry", 5, 0xFFFFFFFF, 1, 0xFFFFFFFE, 0)]
+    names = list(streams)
+    for k, name in enumerate(names):
+        data = streams[name].ljust(4096, b" ")
+        start, n = len(fat), -(-len(data) // 512)
+        fat += [*range(start + 1, start + n), 0xFFFFFFFE]
+        body += data.ljust(n * 512, b"\0")
+        entries.append(entry(name, 2, k + 2 if k + 1 < len(names) else 0xFFFFFFFF, 0xFFFFFFFF, start, len(data)))
+    assert len(fat) <= 128 and len(entries) <= 4
+    head = MAGIC + b"\0" * 16 + struct.pack("<HHHHH", 62, 3, 0xFFFE, 9, 6) + b"\0" * 10 + struct.pack("<8I", 1, 1, 0, 4096, 0xFFFFFFFE, 0, 0xFFFFFFFE, 0) + struct.pack("<109I", 0, *[0xFFFFFFFF] * 108)
+    return head + struct.pack("<128I", *fat, *[0xFFFFFFFF] * (128 - len(fat))) + b"".join(entries).ljust(512, b"\0") + body
+
+
+def test_macro_source():
+    from docsignal.sources.compound import expand_macro
+
+    # the worked examples of the public description
+    assert expand_macro(bytes.fromhex("0119b000616263646566676800696a6b6c6d6e6f700071727374757630")[:29]).startswith(b"abcdefgh")
+    assert expand_macro(bytes.fromhex("0103b002614500")) == b"a" * 73
+
+
 def test_ole_and_lnk(spark):
-    ole = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1 VBA Environ WScript.Network https://h/v " + "https://h/wide".encode("utf-16-le")
-    assert {("javascript", "vba"), ("active_url", "vba_url"), ("javascript", "macro_fingerprint"), ("active_url", "hyperlink"), ("active_url", "ole_stream")} <= kinds(spark, "x.doc", ole)
+    literal = b"Attribute VB_Name\r\nx = Environ(1) WScript.Network https://h/v"
+    chunk = b"".join(b"\0" + literal[i : i + 8] for i in range(0, len(literal), 8))
+    macro = b"\1" + struct.pack("<H", 0xB000 | (len(chunk) - 1)) + chunk
+    ole = compound({"Module": b"head" + macro, "Ole10Native": b"x", "Wide": "\ufeffhttps://h/wide".encode("utf-16-le")})
+    got = kinds(spark, "x.doc", ole)
+    assert {("javascript", "vba"), ("active_url", "vba_url"), ("javascript", "macro_fingerprint"), ("embedded_object", "ole_embedded"), ("active_url", "ole_stream/Wide")} <= got
+    assert [r.subcategory for r in detect.embedded(table(spark, {"x.doc": ole})).collect()] == ["ole_stream"]
+    msg = compound({"__substg1.0_10130102": b"<html>https://h/body ", "__substg1.0_007D001F": "X-Mailer: https://h/m\r\nSubject: https://h/s\r\n".encode("utf-16-le")})
+    got = found(spark, {"x.msg": msg})
+    assert ("x.msg", "tracking_pixel", "msg_html_url", "https://h/body", "critical") in got and ("x.msg", "suspicious_metadata_field", "email_header/x_mailer", "https://h/m", "info") in got
+    assert kinds(spark, "y.doc", b"plain https://h/p") == {("active_url", "hyperlink")}
     tail = b"\0"
     info = struct.pack("<7I", 28 + 20 + 14 + 1, 28, 2, 0, 0, 28, 28 + 20 + 14) + struct.pack("<5I", 34, 0, 20, 0, 0) + b"\\\\srv\\share\0".ljust(14, b"\0") + tail
     lnk = struct.pack("<I", 76) + b"\0" * 16 + struct.pack("<I", 2) + b"\0" * 52 + info
