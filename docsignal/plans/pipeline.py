@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import importlib.util
+import logging
 import shutil
 import sys
 from collections.abc import Callable
@@ -56,6 +57,19 @@ class Context:
         df.write.mode("overwrite").parquet(self.path(name))
 
 
+LOG = logging.getLogger("docsignal")
+
+
+def log_to(path: Path) -> logging.Handler:
+    """Append the run's log, with times, to a file; the handler is the caller's to remove."""
+    path.parent.mkdir(parents=True, exist_ok=True)
+    h = logging.FileHandler(path, encoding="utf-8")
+    h.setFormatter(logging.Formatter("%(asctime)s %(message)s", "%Y-%m-%dT%H:%M:%S"))
+    LOG.addHandler(h)
+    LOG.setLevel(logging.INFO)
+    return h
+
+
 Builder = Callable[[Context], DataFrame | None]
 REGISTRY: dict[str, Builder] = {}
 
@@ -126,6 +140,7 @@ def scan(spark: SparkSession, source: str, outdir: str | Path, options: Options
     ctx = Context(spark, source, Path(outdir), options)
     state = State(ctx.outdir, source, {k: v for k, v in vars(options).items() if k not in ("fmt", "stdout", "least", "allow", "deny")})
     state.lock()
+    handler = log_to(ctx.outdir / "docsignal.log")
     try:
         wanted = [s for s in order() if s in (stages or order())]
         state.start(args or [], wanted)
@@ -137,6 +152,7 @@ def scan(spark: SparkSession, source: str, outdir: str | Path, options: Options
             if name != "report" and resume and not force and state.is_complete(name):
                 continue
             started = now()
+            LOG.info("stage %s started", name)
             try:
                 if name == "report":
                     run_report(ctx)
@@ -144,32 +160,48 @@ def scan(spark: SparkSession, source: str, outdir: str | Path, options: Options
                     ctx.save(REGISTRY[name](ctx), name)
             except Exception as e:  # noqa: BLE001 the state records the failure of any stage
                 sys.stderr.write(f"stage {name} failed: {e}\n")
+                LOG.info("stage %s failed: %s", name, str(e)[:2000])
                 state.completed(name, EXIT_STAGE, started)
                 state.finish(EXIT_STAGE)
                 return EXIT_STAGE
+            LOG.info("stage %s completed", name)
             state.completed(name, EXIT_OK, started, f"{name}.parquet")
         state.finish(EXIT_OK)
         return EXIT_OK
     finally:
+        LOG.removeHandler(handler)
+        handler.close()
         state.unlock()
 
 
 # ---- capabilities --------------------------------------------------------------------------------------------------------
 
-#: (name, tier, what it is for): readers of this engine need none of the optional ones
-CAPABILITIES = [("pyspark", "required", "execution"), ("pyarrow", "required", "batches and file systems"), ("olefile", "optional", "streams of compound files"), ("extract_msg", "optional", "Outlook messages"), ("PIL", "optional", "pixels of images"), ("exiftool", "optional", "tags of other formats"), ("qpdf", "optional", "PDF normal form"), ("mutool", "optional", "PDF rendering"), ("steghide", "optional", "steganography of JPEG and BMP"), ("compare", "optional", "pixel differences"), ("7z", "optional", "further archive formats")]
+#: (name, tier, what it is for, how to install it): the engine's own readers need none of the optional ones
+CAPABILITIES = [
+    ("pyspark", "required", "execution", "pip install pyspark"),
+    ("pyarrow", "required", "batches and file systems", "pip install pyarrow"),
+    ("PIL", "optional", "pixels of images", "pip install pillow"),
+    ("exiftool", "optional", "tags of other formats", "apt install libimage-exiftool-perl"),
+    ("qpdf", "optional", "PDF normal form", "apt install qpdf"),
+    ("mutool", "optional", "PDF rendering", "apt install mupdf-tools"),
+    ("steghide", "optional", "steganography of JPEG and BMP", "apt install steghide"),
+    ("compare", "optional", "pixel differences", "apt install imagemagick"),
+    ("7z", "optional", "further archive formats", "apt install p7zip-full"),
+]
+
+
+def present(name: str) -> bool:
+    return bool(shutil.which(name)) or (name.isidentifier() and importlib.util.find_spec(name) is not None)
 
 
 def capabilities(spark: SparkSession) -> DataFrame:
-    """(name, tier, purpose, present) of libraries and tools."""
-    rows = [(n, t, p, importlib.util.find_spec(n) is not None if n.isidentifier() and not shutil.which(n) else shutil.which(n) is not None) for n, t, p in CAPABILITIES]
-    return spark.createDataFrame(rows, "name string, tier string, purpose string, present boolean")
+    """(name, tier, purpose, hint, present) of libraries and tools."""
+    return spark.createDataFrame([(*c, present(c[0])) for c in CAPABILITIES], "name string, tier string, purpose string, hint string, present boolean")
 
 
-def missing(strict: bool = False) -> list[str]:
-    """Required names that are absent; strict takes the optional ones for required."""
-    has = lambda n: bool(shutil.which(n)) or (n.isidentifier() and importlib.util.find_spec(n) is not None)
-    return [n for n, t, _ in CAPABILITIES if (strict or t == "required") and not has(n)]
+def missing(strict: bool = False) -> list[tuple[str, str]]:
+    """(name, hint) of the required ones that are absent; strict takes the optional ones for required."""
+    return [(n, hint) for n, t, _, hint in CAPABILITIES if (strict or t == "required") and not present(n)]
 
 
 def read_only(path: str, mounts: str = "/proc/mounts") -> bool | None:
@@ -211,7 +243,7 @@ def main(argv: list[str] | None = None) -> int:
     a = p.parse_args(argv)
     if a.command == "deps":
         gone = missing(a.strict)
-        print("\n".join(f"missing: {n}" for n in gone) or "all present")
+        print("\n".join(f"missing: {n} ({hint})" for n, hint in gone) or "all present")
         return EXIT_DEPENDENCY if gone else EXIT_OK
     if missing():
         return EXIT_DEPENDENCY
