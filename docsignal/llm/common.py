@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -60,6 +61,15 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def trim() -> None:
+    """Give freed memory back to the system at a task's end; workers live on and several share an executor's limit."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def open_fs(uri: str):
     """(file system, path) of a URI or an absolute path."""
     import pyarrow.fs as pafs

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, U64, Scratch, components, mix64, read, small_batches, span_hashes, text_slices, word_spans
+from .common import NOT_SPACE, U64, Scratch, components, mix64, read, small_batches, span_hashes, text_slices, trim, word_spans
 
 WORDS, LINK_OF_100 = 5, 85
 BANDS, ROWS = 20, 6
@@ -110,6 +110,7 @@ def signed(documents: DataFrame) -> DataFrame:
                     for k, row in zip(full, key, strict=True):
                         bands[k] = row
                 yield pa.RecordBatch.from_arrays([ids[i:j], pa.array(size), pa.array(c[0].view(np.int64)), pa.array(c[1].view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n", "c1", "c2", "bands"])
+        trim()
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, c1 long, c2 long, bands array<long>")
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, mix64, read, small_batches, span_hashes, text_slices
+from .common import U64, Scratch, mix64, read, small_batches, span_hashes, text_slices, trim
 
 SPAN, GRAM, BLOCK = 200, 40, 16
 REACH = SPAN - GRAM
@@ -149,6 +149,7 @@ def _runs(documents: DataFrame) -> DataFrame:
                     [ids.take(rows), keys.take(rows), pa.array(np.concatenate([at, a2]) + shift), pa.array(np.concatenate([n, n2])), pa.array(np.concatenate([bucket.view(np.int64), pad])), pa.array(np.concatenate([name.view(np.int64), pad])), pa.array(np.concatenate([np.zeros(len(doc), bool), np.ones(len(d2), bool)]))],
                     names=["doc_id", "dk", "at", "n", "bucket", "name", "own"],
                 )
+        trim()
 
     return documents.select("doc_id", "text", "dk").mapInArrow(run, RUN)
 
@@ -173,6 +174,7 @@ def _blocks(texts: DataFrame) -> DataFrame:
                             todo, size = [], 0
             if todo:
                 yield emit(ids, keys, todo)
+        trim()
 
     def emit(ids, keys, todo):
         data = np.concatenate([t[3] for t in todo])

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, open_fs, read, shared_root, small_batches, span_hashes, text_slices
+from .common import U64, Scratch, open_fs, read, shared_root, small_batches, span_hashes, text_slices, trim
 
 MAGIC, VERSION, RANK_BITS = b"DACS", 1, 512
 END_ID = 2
@@ -194,7 +194,7 @@ def split_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 class Encoder:
     """Ids of texts by the tokenizers library; each distinct pre-token is encoded once and found again by a hash of its bytes."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
@@ -341,6 +341,7 @@ def encode_documents(documents: DataFrame, tokenizer: str, bounds: list[int], en
                 step = out.dtype.itemsize
                 blobs = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(np.concatenate([[0], ends * step]).astype(np.int64)), pa.py_buffer(out)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([docs[i:j], pa.array(part[i:j].astype(np.int64)), pa.array(sizes + 1), blobs], names=["doc_id", "part", "n_tokens", "ids"])
+        trim()
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, part long, n_tokens long, ids binary")
 
@@ -397,6 +398,8 @@ def write_shards(spark: SparkSession, documents: DataFrame, out: str, tokenizer:
                     part, size = int(each[i]), size + int(sizes[-1].sum())
         if docs:
             yield flush()
+        docs, sizes, flat = [], [], []
+        trim()
 
     dealt = coded.repartition(parts, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "n_tokens", F.crc32("ids"))
     manifest = work.save(dealt.mapInArrow(run, "part long, order long, path string, documents long, n_tokens long"), "manifest")
@@ -425,6 +428,8 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                         [pa.array(s.doc_ids[i:j], pa.int64(), mask=s.nulls[i:j] > 0), pa.array(s.starts[i:j] + first, pa.int64()), pa.array(np.diff(s.starts[i : j + 1]), pa.int64()), pa.array([x[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())],
                         names=["doc_id", "start", "n_tokens", "ids"],
                     )
+                del s
+        trim()
 
     n = max(1, manifest.count())
     return manifest.repartition(min(n, 10_000)).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
