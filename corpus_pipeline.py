@@ -23,7 +23,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents with a twentieth of their words or more in item windows, and cuts those windows out of the others."""
-    return decontaminate.remove_spans(spark, docs, read(spark, sf_dir, "benchmark"))
+    out = decontaminate.remove_spans(spark, docs, read(spark, sf_dir, "benchmark"))
+    return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long")))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
