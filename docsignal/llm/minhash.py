@@ -276,11 +276,12 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, link: int = LINK_
 
 def deduplicate(spark: SparkSession, documents: DataFrame, link: int = LINK_OF_100) -> DataFrame:
     """documents with one row of each component left, that of the least doc_id; repeated rows of it count once."""
-    found = near_duplicates(spark, documents, link).where("kept").select(F.col("doc_id").alias("d")).distinct()
-    twice = documents.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = documents.join(found, F.expr("doc_id <=> d")).drop("d")
-    again = kept.join(twice.withColumnRenamed("doc_id", "d"), F.expr("doc_id <=> d"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(twice.withColumnRenamed("doc_id", "d"), F.expr("doc_id <=> d"), "left_anti").unionByName(again)
+    found = near_duplicates(spark, documents, link).where("kept").select(F.col("doc_id").alias("__id")).distinct()
+    twice = documents.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")).where("__n > 1").select("__id")
+    same = F.expr("doc_id <=> __id")
+    kept = documents.join(found, same).drop("__id")
+    again = kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(twice, same, "left_anti").unionByName(again)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

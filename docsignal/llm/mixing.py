@@ -143,9 +143,9 @@ def _apply(rows: DataFrame, rule: DataFrame, alias: str) -> DataFrame:
 
 def apply_mix(documents: DataFrame, mixed: DataFrame) -> DataFrame:
     """documents with each row repeated as often as the mix takes it."""
-    m = mixed.where("copies > 0").groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.max("copies").alias("n"))
-    out = documents.join(m, F.expr("doc_id <=> d and coalesce(md5(text), '') = h"))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("n")))).select(*documents.columns)
+    m = mixed.where("copies > 0").groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.max("copies").alias("__n"))
+    out = documents.join(m, F.expr("doc_id <=> __id and coalesce(md5(text), '') = __hash"))
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*documents.columns)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -173,6 +173,18 @@ def test_minhash(spark, docs, rows, none):
     assert left.columns == docs.columns and sorted(str(r.doc_id) for r in left.collect()) == sorted({str(r.doc_id) for r in got if r.kept})
 
 
+def test_clashing_names(spark, rows):
+    """Columns named like those the operators use inside stay as they are."""
+    names = ["d", "h", "n", "k", "c1", "bucket", "dk", "at", "size", "target", "key", "label", "stats", "pivot", "ranges", "items", "n_tokens"]
+    df = spark.createDataFrame([(*r, *(["x"] * len(names))) for r in rows], DOCS + "".join(f", {n} string" for n in names))
+    bench = spark.createDataFrame([("a", rows[4][1])], "item_id string, text string")
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    for out in (minhash.deduplicate(spark, df), mixing.apply_mix(df, mixing.mix(spark, df)), decontaminate.remove_spans(spark, df, bench), toxicity.score(spark, df, toxicity.train(spark, df, labels)), quality.score(spark, df, quality.train(spark, df, labels)), language.predict(spark, df, language.train(spark, df))):
+        assert set(df.columns) <= {*out.columns, "stats"}
+        assert {r.h for r in out.select("h").distinct().collect()} == {"x"}
+    assert suffix_dedup.remove_repeats(spark, df).count() == len(rows)
+
+
 def test_minhash_family(spark):
     """Near copies of near copies, most pairs below the threshold: components need links beyond a pivot."""
     os.sys.path.insert(0, os.path.dirname(__file__))
