@@ -35,6 +35,8 @@ class Options:
     fmt: str = "json"
     stdout: bool = False
     strict_host: bool = False
+    #: where stage tables go, a URI that all executors share; the output folder if not given, which suits a single machine
+    artefacts: str | None = None
 
 
 @dataclass
@@ -45,7 +47,11 @@ class Context:
     options: Options
 
     def path(self, name: str) -> str:
-        return f"file://{self.outdir.resolve()}/{name}.parquet"
+        return f"{(self.options.artefacts or f'file://{self.outdir.resolve()}').rstrip('/')}/{name}.parquet"
+
+    def exists(self, name: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
     def files(self) -> DataFrame:
         return classify(read_files(self.spark, self.source), self.options.specialized)
@@ -124,7 +130,7 @@ def order() -> list[str]:
 
 def run_report(ctx: Context, sources: list[str] | None = None) -> dict[str, int]:
     o = ctx.options
-    names = [s for s in sources or order()[:-1] if (ctx.outdir / f"{s}.parquet").exists()]
+    names = [s for s in sources or order()[:-1] if ctx.exists(s)]
     if not names:
         raise FileNotFoundError(f"no stage artefacts in {ctx.outdir}")
     table = report.report(ctx.spark, [ctx.artefact(s) for s in names], o.allow, o.deny, o.least, o.strict_host)
@@ -144,9 +150,9 @@ def scan(spark: SparkSession, source: str, outdir: str | Path, options: Options
     try:
         wanted = [s for s in order() if s in (stages or order())]
         state.start(args or [], wanted)
-        if wanted and wanted[0] not in ("inventory", "report") and not (ctx.outdir / "files.parquet").exists():
+        if wanted and wanted[0] not in ("inventory", "report") and not ctx.exists("files"):
             wanted = ["inventory", *wanted]
-        if "uniqueness" in wanted and "metadata" not in wanted and not (ctx.outdir / "tags.parquet").exists():
+        if "uniqueness" in wanted and "metadata" not in wanted and not ctx.exists("tags"):
             wanted.insert(wanted.index("uniqueness"), "metadata")
         for name in wanted:
             if name != "report" and resume and not force and state.is_complete(name):
@@ -232,6 +238,7 @@ def main(argv: list[str] | None = None) -> int:
             c.add_argument("--max-archive-depth", type=int, default=MAX_DEPTH)
             c.add_argument("--min-cluster-size", type=int, default=MIN_CLUSTER)
         c.add_argument("--outdir", default=".docsignal")
+        c.add_argument("--artefacts", help="URI for stage tables that all executors share; the output folder by default")
         c.add_argument("--format", choices=["json", "csv", "sarif", "all"], default="json")
         c.add_argument("--stdout", action="store_true")
         c.add_argument("--severity", choices=SEVERITIES, default="info")
@@ -248,7 +255,7 @@ def main(argv: list[str] | None = None) -> int:
     if missing():
         return EXIT_DEPENDENCY
     spark = SparkSession.builder.appName("docsignal").getOrCreate()
-    o = Options(least=a.severity, fmt=a.format, stdout=a.stdout, allow=load_rules(getattr(a, "allowlist", None)), deny=load_rules(getattr(a, "denylist", None)))
+    o = Options(artefacts=a.artefacts, least=a.severity, fmt=a.format, stdout=a.stdout, allow=load_rules(getattr(a, "allowlist", None)), deny=load_rules(getattr(a, "denylist", None)))
     if a.command == "report":
         run_report(Context(spark, "", Path(a.outdir), o))
         return EXIT_OK

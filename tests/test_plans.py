@@ -58,6 +58,13 @@ def test_stage_failure_and_single_stage(spark, source, tmp_path, monkeypatch):
         pipeline.run_report(pipeline.Context(spark, "", tmp_path / "none", pipeline.Options()))
 
 
+def test_artefacts_elsewhere(spark, source, tmp_path):
+    o = pipeline.Options(artefacts=f"file://{tmp_path}/shared")
+    assert pipeline.scan(spark, str(source), tmp_path / "out", o, stages=["inventory", "stego", "report"]) == 0
+    assert (tmp_path / "shared" / "inventory.parquet").exists() and (tmp_path / "out" / "docsignal-report.json").exists()
+    assert not (tmp_path / "out" / "inventory.parquet").exists()
+
+
 def test_lock(tmp_path):
     a, b = State(tmp_path, "x"), State(tmp_path, "x")
     a.lock()
