@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, U64, crc_mod, mix64, plus, read, span_hashes, text_slices, word_spans
+from .common import ALNUM, U64, crc_mod, mix64, plus, read, span_hashes, text_slices, trim, word_spans
 
 BITS, FACTORS, THRESHOLD = 18, 4, 0.7
 #: about so many labelled rows of each label are fitted at most, chosen by a hash of doc_id
@@ -70,8 +70,11 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, factors:
     slot = np.full(1 << BITS, -1, np.int32)
     prior = float(np.clip((weight * labels).sum() / max(weight.sum(), 1e-9), 1e-4, 1 - 1e-4)) if len(labels) else 0.01
     b = np.log(prior / (1 - prior))
-    df = np.bincount(np.concatenate(rows), minlength=1 << BITS) if rows else np.zeros(1 << BITS)
-    with_label = np.bincount(np.concatenate(rows), np.repeat(labels, [len(r) for r in rows]), 1 << BITS) if rows else df
+    df, with_label = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for i in range(0, len(rows), 500):
+        part, y = np.concatenate(rows[i : i + 500]), np.repeat(labels[i : i + 500], [len(r) for r in rows[i : i + 500]])
+        df += np.bincount(part, minlength=1 << BITS)
+        with_label += np.bincount(part, y, 1 << BITS)
     mean = float(labels.mean()) if len(labels) else 0.0
     chi = (with_label - df * mean) ** 2 / np.maximum(df * mean * (1 - mean), 1e-9)
     used = np.flatnonzero((df >= LEAST_DOCS) & (chi >= LEAST_CHI))
@@ -145,7 +148,10 @@ def train(spark: SparkSession, documents: DataFrame, labels: DataFrame, most: in
     got = sampled_documents(documents, sample).mapInArrow(run, "terms binary, label int").collect()
     got.sort(key=lambda r: (r.label, bytes(r.terms)))
     y = np.array([r.label for r in got], float)
-    return fit([np.frombuffer(r.terms, "<i4") for r in got], y, np.array([share[r.label] for r in got]))
+    machine = fit([np.frombuffer(r.terms, "<i4") for r in got], y, np.array([share[r.label] for r in got]))
+    del got
+    trim()
+    return machine
 
 
 def score(spark: SparkSession, documents: DataFrame, machine: Machine) -> DataFrame:
