@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import detect, metadata, report, uniqueness
 from ..operators.report import Rules
+from ..ship import ship
 from ..sources.files import classify, read_files
 from ..sources.rules import load_rules
 from ..vocab import MAX_DEPTH, MIN_CLUSTER, SEVERITIES, STAGES
@@ -143,6 +144,7 @@ def scan(spark: SparkSession, source: str, outdir: str | Path, options: Options
     A stage runs if forced, if not resuming, or if it has not ended well for this source and these options. The report always runs.
     """
     options = options or Options()
+    ship(spark)
     ctx = Context(spark, source, Path(outdir), options)
     state = State(ctx.outdir, source, {k: v for k, v in vars(options).items() if k not in ("fmt", "stdout", "least", "allow", "deny")})
     state.lock()
