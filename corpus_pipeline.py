@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from docsignal.llm import decontaminate, minhash, mixing, tokens, toxicity
 from docsignal.llm.common import Scratch, read
+from docsignal.ship import ship
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,6 +45,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs, scratch = read(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
