@@ -53,8 +53,8 @@ def uniform(seed: int, *cols: str):
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(2.0**52)
 
 
-def _fill(scratch: Scratch, rows: DataFrame, quota: str, name: str, bins: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (key, size, quota, s, tie) -> the table of each key's cut and what it leaves of the quota.
+def _fill(scratch: Scratch, rows: DataFrame, quota: str, name: str, bins: int) -> DataFrame:
+    """Rows (key, size, quota, s, tie) -> (key, cut_s, cut_tie, used): each key's first row that does not fit, and the words before it.
 
     The first rows by (s, tie) whose words fit, found in two levels of bins of s and one sort of the rows of a fine bin.
     """
@@ -75,7 +75,7 @@ def _fill(scratch: Scratch, rows: DataFrame, quota: str, name: str, bins: int) -
     w = Window.partitionBy("key", "b1", "b2").orderBy("s", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = in2.withColumn("upto", F.col("before") + F.sum("size").over(w)).where(F.col("upto") > F.col(quota))
     cut = last.groupBy("key").agg(F.min_by(F.struct("s", "tie", (F.col("upto") - F.col("size")).alias("used")), F.struct("s", "tie")).alias("c")).selectExpr("key", "c.s as cut_s", "c.tie as cut_tie", "c.used as used")
-    return scratch.save(cut, f"{name}-3"), top
+    return scratch.save(cut, f"{name}-3")
 
 
 def mix(spark: SparkSession, documents: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple[float, ...] = WEIGHTS, seed: int = 1, weight: str | None = None, passes: int = 3, bins: int = BINS) -> DataFrame:
@@ -113,8 +113,8 @@ def mix(spark: SparkSession, documents: DataFrame, share: float = SHARE, most: f
         part = live.join(F.broadcast(q) if _few(quotas) else q, F.expr("key <=> k")).drop("k")
         part = part.where("size <= quota and quota > 0")
         for r in rules:
-            part = _apply(part, r, f"r{k}").where(~F.col("in")).drop("in", "gap")
-        cut, _ = _fill(scratch, part, "quota", f"pass{k}", bins)
+            part = _apply(part, r).where(~F.col("in")).drop("in", "gap")
+        cut = _fill(scratch, part, "quota", f"pass{k}", bins)
         # sources whose rows all fit have no cut
         fit = part.join(cut.withColumnRenamed("key", "k"), F.expr("key <=> k"), "left_anti").groupBy("key").agg(F.sum("size").alias("used"))
         done = cut.select("key", "used", "cut_s", "cut_tie").unionByName(fit, allowMissingColumns=True)
@@ -122,8 +122,8 @@ def mix(spark: SparkSession, documents: DataFrame, share: float = SHARE, most: f
         rules.append(rule)
         quotas = scratch.save(q.join(rule.select(F.col("key").alias("k2"), "used"), F.expr("k <=> k2"), "left").selectExpr("k as key", "quota - coalesce(used, 0L) as quota"), f"quota{k}")
     flagged = rows.withColumn("got", F.lit(False))
-    for k, r in enumerate(rules):
-        flagged = _apply(flagged, r, f"f{k}").withColumn("got", F.col("got") | (F.col("in") & F.expr("p > 1e-12 and size > 0"))).drop("in", "gap")
+    for r in rules:
+        flagged = _apply(flagged, r).withColumn("got", F.col("got") | (F.col("in") & F.expr("p > 1e-12 and size > 0"))).drop("in", "gap")
     flagged = flagged.withColumn("copies", (F.col("whole") + F.col("got").cast("int")).cast("int"))
     return flagged.select("doc_id", F.col("key").alias("source"), "text_hash", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies")
 
@@ -133,7 +133,7 @@ def _few(table: DataFrame, most: int = 20_000) -> bool:
     return table.limit(most + 1).count() <= most
 
 
-def _apply(rows: DataFrame, rule: DataFrame, alias: str) -> DataFrame:
+def _apply(rows: DataFrame, rule: DataFrame) -> DataFrame:
     """Mark rows that a pass takes: small enough for its quota and before its cut."""
     r = rule.select(F.col("key").alias("rk"), F.col("most_size").alias("gap"), F.col("cut_s").alias("rs"), F.col("cut_tie").alias("rt"))
     out = rows.join(F.broadcast(r) if _few(rule) else r, F.expr("key <=> rk"), "left")
