@@ -201,7 +201,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model, self.most = Tokenizer.from_file(path), most
-        self.model.encode_special_tokens = True  # such strings in a text are ordinary text
+        #: strings that the tokenizer takes out of a text before it splits it; texts that hold one are encoded whole
+        self.added = [t.content.encode() for t in self.model.get_added_tokens_decoder().values() if t.content]
         pre = json.loads(self.model.to_str()).get("pre_tokenizer") or {}
         #: the rules of split_pieces are those of this pre-tokenizer; any other one gets whole texts
         self.plain = pre.get("type") == "ByteLevel" and bool(pre.get("use_regex")) and not pre.get("add_prefix_space") and self.model.normalizer is None
@@ -274,10 +275,24 @@ class Encoder:
             old = 0
         self._place(np.arange(old, n))
 
+    def _hold_added(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Which texts hold an added token's string."""
+        out, raw = np.zeros(len(offsets) - 1, bool), data.tobytes()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                d = int(np.searchsorted(offsets, at, "right")) - 1
+                inside = at + len(token) <= offsets[d + 1]  # else it runs over into the next text
+                out[d] |= inside
+                at = raw.find(token, int(offsets[d + 1]) if inside else at + 1)
+        return out
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in turn, ids of each)."""
         n = len(offsets) - 1
         begins, odd = split_pieces(data, offsets) if self.plain else (np.zeros(len(data), bool), np.ones(n, bool))
+        if self.plain:
+            odd |= self._hold_added(data, offsets)
         starts = np.flatnonzero(begins)
         doc = np.searchsorted(offsets, starts, "right") - 1
         ends = np.append(starts[1:], len(data))

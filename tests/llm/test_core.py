@@ -60,6 +60,22 @@ def test_token_pieces_equal_whole_texts():
             assert np.array_equal(enc.whole(t), flat[cut[k] : cut[k + 1]]), repr(t)
 
 
+def test_added_tokens_as_a_plain_tokenizer():
+    """Against a tokenizer of its own, with nothing set; strings over the border of two texts are not such tokens."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = ["one doc" + end + "next", "plain text", end, "", end + end + " x", "a <|endof", "text|> b", "é " + end, "<|endoftext|", ">", "日" + end, "no such token"]
+    enc = tokens.Encoder(public.path("byte_bpe_50k.json"))
+    data, off = buffers(texts)
+    flat, sizes = enc.encode(data, off)
+    cut = np.concatenate([[0], np.cumsum(sizes)])
+    for k, t in enumerate(texts):
+        assert flat[cut[k] : cut[k + 1]].tolist() == plain.encode(t, add_special_tokens=False).ids, t
+    assert 50256 in flat
+
+
 @pytest.mark.parametrize("width", [1, 4, 7, 8, 11, 16])
 def test_codes(width):
     v = np.random.default_rng(width).integers(0, 70_000, 3000).astype(np.uint32)
