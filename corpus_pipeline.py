@@ -18,8 +18,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each group."""
-    return minhash.deduplicate(spark, docs)
+    """Keeps the document with the least doc_id of each group; documents that share 0.8 of their five-word shingles are linked."""
+    return minhash.deduplicate(spark, docs, minhash.NEAR_OF_100)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

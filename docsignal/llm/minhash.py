@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 
 from .common import NOT_SPACE, U64, Scratch, components, mix64, read, small_batches, span_hashes, text_slices, trim, word_spans
 
-WORDS, LINK_OF_100 = 5, 85
-BANDS, ROWS = 20, 6
-PERMS = BANDS * ROWS // 2
+#: near_duplicates and op6 link at LINK_OF_100, deduplicate at NEAR_OF_100 unless told otherwise
+WORDS, LINK_OF_100, NEAR_OF_100 = 5, 85, 80
+PERMS = 60
+#: a pair at the threshold may miss every band with this probability
+MISS = 1e-4
 #: members compared with one copy of their pivot's text in a task
 CHUNK = 128
 #: a block has about so many texts, and about so many shingles, at most
@@ -38,6 +40,13 @@ def _params() -> tuple[np.ndarray, np.ndarray]:
 A, B = _params()
 
 
+def banding(link: int) -> tuple[int, int]:
+    """(bands, rows a band) for a threshold: the most rows with which a pair at it is missed with probability MISS at most."""
+    fit = [r for r in range(1, 2 * PERMS + 1) if 2 * PERMS % r == 0 and (1 - (link / 100) ** r) ** (2 * PERMS // r) <= MISS]
+    rows = max(fit, default=1)
+    return 2 * PERMS // rows, rows
+
+
 def shingles(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(document, hash) of each shingle occurrence; a text of 1 to words - 1 words is one shingle."""
     s, e, doc = word_spans(data, offsets, NOT_SPACE)
@@ -82,8 +91,9 @@ def signature(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def signed(documents: DataFrame) -> DataFrame:
+def signed(documents: DataFrame, link: int = LINK_OF_100) -> DataFrame:
     """(doc_id, n, c1, c2, bands): the set's size, a 128-bit hash of the set (its class), the bucket of each band; no bands if empty."""
+    n_bands, n_rows = banding(link)
 
     def run(batches):
         for batch in batches:
@@ -102,11 +112,11 @@ def signed(documents: DataFrame) -> DataFrame:
                     first = np.concatenate([[0], np.cumsum(size[full])[:-1]])
                     c[0, full] = mix64(np.add.reduceat(x, first) + size[full].astype(U64))
                     c[1, full] = np.add.reduceat(mix64(x ^ U64(0xA5A5A5A5A5A5A5A5)), first)
-                    sig = signature(x, first).reshape(len(full), BANDS, ROWS)
-                    key = np.full((len(full), BANDS), 17, U64)
-                    for r in range(ROWS):
+                    sig = signature(x, first).reshape(len(full), n_bands, n_rows)
+                    key = np.full((len(full), n_bands), 17, U64)
+                    for r in range(n_rows):
                         key = mix64(key * U64(31) + sig[:, :, r])
-                    key = (key + np.arange(BANDS, dtype=U64)).view(np.int64)
+                    key = (key + np.arange(n_bands, dtype=U64)).view(np.int64)
                     for k, row in zip(full, key, strict=True):
                         bands[k] = row
                 yield pa.RecordBatch.from_arrays([ids[i:j], pa.array(size), pa.array(c[0].view(np.int64)), pa.array(c[1].view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n", "c1", "c2", "bands"])
@@ -243,7 +253,7 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, link: int = LINK_
     """
     small_batches(spark)
     scratch = Scratch(spark, "op6")
-    sig = scratch.save(signed(documents), "signed")
+    sig = scratch.save(signed(documents, link), "signed")
     classes = scratch.save(sig.where("n > 0").groupBy("c1").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("bands").alias("bands")), "classes")
     owners = classes.select("c1", "doc_id")
     exploded = classes.select("c1", "n", F.explode("bands").alias("bucket"))
@@ -274,7 +284,7 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, link: int = LINK_
     return empty.union(full).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.expr("doc_id <=> component_id").alias("kept"), "set_class")
 
 
-def deduplicate(spark: SparkSession, documents: DataFrame, link: int = LINK_OF_100) -> DataFrame:
+def deduplicate(spark: SparkSession, documents: DataFrame, link: int = NEAR_OF_100) -> DataFrame:
     """documents with one row of each component left, that of the least doc_id; repeated rows of it count once."""
     found = near_duplicates(spark, documents, link).where("kept").select(F.col("doc_id").alias("__id")).distinct()
     twice = documents.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")).where("__n > 1").select("__id")
@@ -285,4 +295,4 @@ def deduplicate(spark: SparkSession, documents: DataFrame, link: int = LINK_OF_1
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark, read(spark, sf_dir, "documents")).drop("set_class")
+    return near_duplicates(spark, read(spark, sf_dir, "documents"), LINK_OF_100).drop("set_class")

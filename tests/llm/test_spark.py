@@ -200,6 +200,24 @@ def test_minhash_family(spark):
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == truth_components(rows)
 
 
+def test_near_duplicate_stage_links_at_80(spark):
+    """One changed word leaves 40 of 50 shingles common in texts of 49 words, 45 of 55 in 54 words and 39 of 49 in 48 words."""
+    import corpus_pipeline
+
+    for link in (80, 85):
+        bands, size = minhash.banding(link)
+        assert bands * size == 2 * minhash.PERMS and 1 - (1 - (link / 100) ** size) ** bands > 0.9999
+    rows = []
+    for k in range(30):
+        words = [f"w{k}x{i}" for i in range((49, 54, 48)[k % 3])]
+        rows += [(2 * k, " ".join(words), "en", "s", 1, None), (2 * k + 1, " ".join([*words[:20], "changed", *words[21:]]), "en", "s", 1, None)]
+    df = spark.createDataFrame(rows, DOCS)
+    want = {d for d, *_ in rows if d % 2 == 0 or d // 2 % 3 == 2}
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()} == want
+    assert {r.doc_id for r in minhash.deduplicate(spark, df).collect()} == want
+    assert minhash.deduplicate(spark, df, 85).count() == len(rows)
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(k, k + 1) for k in range(40)] + [(rng.randrange(100, 300), rng.randrange(100, 300)) for _ in range(120)] + [(500, k) for k in range(501, 560)] + [(7, 7)]
