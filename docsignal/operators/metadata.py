@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 import re
 import zipfile
 
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ftps, uncs, urls
 from ..schema import METADATA, findings, hit, none, when
-from ..sources.containers import form_fields, pdf_objects, png_parts, unescape_names
+from ..sources.containers import form_fields, held, pdf_objects, png_parts, stream, unescape_names
 from ..vocab import PII_TAGS, SUSPICIOUS_TAGS, URL_TAGS
 
 #: document property -> tag; fixed values of public formats
@@ -38,7 +37,7 @@ def tags_of(bucket: str, extension: str, raw: bytes) -> tuple[dict[str, str], li
                 tags[key] = m[1].decode("utf-8", "replace")
         fields = form_fields(raw)
     elif bucket in ("ooxml", "odf"):
-        with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        with zipfile.ZipFile(stream(raw)) as z:
             for name in ("docProps/core.xml", "docProps/app.xml", "meta.xml"):
                 if name in z.namelist():
                     body = z.read(name).decode("utf-8", "replace")
@@ -53,7 +52,14 @@ def tags_of(bucket: str, extension: str, raw: bytes) -> tuple[dict[str, str], li
     return tags, fields
 
 
-def metadata(files: DataFrame) -> DataFrame:
+def _opened(bucket: str, extension: str, raw):
+    """Bytes, or an open ZIP document; of other large files all, if they have a reader here."""
+    if isinstance(raw, bytes) or raw is None or bucket in ("ooxml", "odf"):
+        return raw or b""
+    return raw.read() if bucket == "pdf" or extension == ".png" else b""
+
+
+def metadata(files: DataFrame, source: str | None = None) -> DataFrame:
     """(path, tags, form_fields) of classified files; a file that cannot be parsed has no tags."""
 
     def run(batches):
@@ -61,7 +67,7 @@ def metadata(files: DataFrame) -> DataFrame:
             paths, tags, fields = [], [], []
             for path, bucket, ext, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
-                    t, f = tags_of(bucket, ext, raw or b"")
+                    t, f = tags_of(bucket, ext, _opened(bucket, ext, held(raw, source, path)))
                 except Exception:  # noqa: BLE001 one bad file must not end the stage
                     t, f = {}, []
                 paths.append(path)

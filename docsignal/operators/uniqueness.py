@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import canonical, text_of, without_versions
 from ..schema import HIT, SEQ, hit
-from ..sources.containers import pdf_objects, zip_parts
+from ..sources.containers import held as opened, pdf_objects, zip_parts
 from ..vocab import IDENTITY_TAGS, MAX_TEXT, MIN_CLUSTER
 
 STAGE = "uniqueness"
@@ -93,7 +93,7 @@ def field_diffs(members: DataFrame) -> DataFrame:
     return agg.groupBy("cluster_id").agg(F.array_join(F.array_sort(F.collect_list(text)), "; ").alias("evidence")).select("cluster_id", F.lit("pdf_form_field").alias("field"), F.lit("interactive form field value/name differs among near-duplicates").alias("description"), "evidence")
 
 
-def normalized(files: DataFrame) -> DataFrame:
+def normalized(files: DataFrame, source: str | None = None) -> DataFrame:
     """(path, body, core): PDF objects in a canonical form without ids and dates of the file's making, and core.xml of ZIP documents."""
 
     def run(batches):
@@ -104,10 +104,11 @@ def normalized(files: DataFrame) -> DataFrame:
             for path, bucket, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 body = core = None
                 try:
+                    raw = opened(raw, source, path)
                     if bucket == "pdf":
-                        body = "\n".join(sorted(re.sub(r"\s+", " ", x).strip() for k, x in pdf_objects(raw or b"") if k != "trailer"))
+                        body = "\n".join(sorted(re.sub(r"\s+", " ", x).strip() for k, x in pdf_objects(raw if isinstance(raw, bytes) else raw.read()) if k != "trailer"))
                     else:
-                        core = next((t for k, n, t, _ in zip_parts(raw or b"", path) if k == "zip_member" and n == "docProps/core.xml"), "")
+                        core = next((t for k, n, t, _ in zip_parts(raw, path) if k == "zip_member" and n == "docProps/core.xml"), "")
                 except Exception:  # noqa: BLE001 an unreadable file has no body
                     body, core = "", ""
                 out.append((path, body, core))
@@ -132,13 +133,13 @@ def emit(members: DataFrame, diffs: DataFrame) -> DataFrame:
     return rows.select(C("path").alias("file"), "sha256", kind.alias("file_type"), "bucket", F.lit(STAGE).alias("stage"), row.cast(HIT).alias("h"), order.alias("seq")).select("file", "sha256", "file_type", "bucket", "stage", "h.*", "seq")
 
 
-def uniqueness(files: DataFrame, metadata: DataFrame, fuzzy: bool = False, least: int = MIN_CLUSTER, compat: bool = False) -> DataFrame:
+def uniqueness(files: DataFrame, metadata: DataFrame, fuzzy: bool = False, least: int = MIN_CLUSTER, compat: bool = False, source: str | None = None) -> DataFrame:
     """Findings of the differences within clusters, by bucket. Rows without content are read before the content is joined."""
     members = clusters(files.drop("content"), metadata, fuzzy, least)
     of = lambda *b: members.where(C("bucket").isin(*b))
     held = files.select(C("path").alias("_f"), "content", C("bucket").alias("_b"))
     texts = of("rtf", "ole").join(held.where(C("_b").isin("rtf", "ole")).drop("_b"), C("path") == C("_f"))
-    forms = normalized(files.where(C("bucket").isin("pdf", "ooxml", "odf"))).withColumnRenamed("path", "_f")
+    forms = normalized(files.where(C("bucket").isin("pdf", "ooxml", "odf")), source).withColumnRenamed("path", "_f")
     zipped, pdfs = of("ooxml", "odf").join(forms, C("path") == C("_f")), of("pdf").join(forms, C("path") == C("_f"))
     diffs = text_diffs(texts, text_of(C("content"), MAX_TEXT)).unionByName(core_diffs(zipped, C("core"), compat)).unionByName(body_diffs(pdfs)).unionByName(field_diffs(of("pdf"))).unionByName(size_diffs(of("image")))
     diffs = diffs.unionByName(tag_diffs(members.where(~C("bucket").isin("pdf", "rtf", "ole", "ooxml", "odf", "image"))))

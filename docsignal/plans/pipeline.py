@@ -99,29 +99,29 @@ def _inventory(ctx: Context) -> DataFrame:
 
 @register("metadata")
 def _metadata(ctx: Context) -> DataFrame:
-    ctx.save(metadata.metadata(ctx.files()), "tags")
+    ctx.save(metadata.metadata(ctx.files(), ctx.source), "tags")
     return metadata.metadata_findings(ctx.artefact("files"), ctx.artefact("tags"))
 
 
 @register("remote-refs")
 def _remote(ctx: Context) -> DataFrame:
-    return detect.remote_references(ctx.files(), ctx.options.compat, ctx.options.max_depth, ctx.options.specialized)
+    return detect.remote_references(ctx.files(), ctx.options.compat, ctx.options.max_depth, ctx.options.specialized, ctx.source)
 
 
 @register("embedded")
 def _embedded(ctx: Context) -> DataFrame:
-    return detect.embedded(ctx.files())
+    return detect.embedded(ctx.files(), ctx.source)
 
 
 @register("stego")
 def _stego(ctx: Context) -> DataFrame:
-    return detect.stego(ctx.files())
+    return detect.stego(ctx.files(), ctx.source)
 
 
 @register("uniqueness")
 def _uniqueness(ctx: Context) -> DataFrame:
     o = ctx.options
-    return uniqueness.uniqueness(ctx.files(), ctx.artefact("tags"), o.fuzzy, o.least_cluster, o.compat)
+    return uniqueness.uniqueness(ctx.files(), ctx.artefact("tags"), o.fuzzy, o.least_cluster, o.compat, ctx.source)
 
 
 def order() -> list[str]:

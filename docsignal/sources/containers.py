@@ -23,7 +23,7 @@ from xml.etree import ElementTree
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..vocab import EXTENSION_BUCKET, MAX_DEPTH, MAX_MEMBER
+from ..vocab import EXTENSION_BUCKET, MAX_DEPTH, MAX_HELD, MAX_MEMBER, MAX_TEXT
 from .compound import ole_parts
 
 Part = tuple[str, str, str, int]
@@ -33,6 +33,26 @@ def text(raw: bytes) -> str:
     return raw.decode("utf-8", "replace")
 
 
+def held(content: bytes | None, source: str | None, path: str):
+    """The content, or the open file if a source left it out for its size; None if the file cannot be opened."""
+    if content is not None or source is None:
+        return content or b""
+    import pyarrow.fs as pafs
+
+    try:
+        return pafs.FileSystem.from_uri(source)[0].open_input_file(path)
+    except OSError:
+        return None
+
+
+def stream(raw):
+    """A seekable file at its begin: of bytes, or the open file itself, of which only the parts asked for are read."""
+    if isinstance(raw, bytes):
+        return io.BytesIO(raw)
+    raw.seek(0)
+    return raw
+
+
 # ---- ZIP and TAR -----------------------------------------------------------------------------------------------------
 
 
@@ -42,41 +62,54 @@ def safe(name: str) -> bool:
     return clean == "/x" or clean.startswith("/x/")
 
 
-def is_zip(raw: bytes) -> bool:
-    return raw[:4] == b"PK\3\4"
+def is_zip(raw) -> bool:
+    return stream(raw).read(4) == b"PK\3\4"
 
 
-def members(raw: bytes, path: str) -> list[tuple[str, bytes | None]]:
-    """(name, content) of the safe members of a ZIP or TAR archive; content is None for folders and members over the limit."""
-    out: list[tuple[str, bytes | None]] = []
+def each_member(raw, path: str) -> Iterator[tuple[str, bytes | None]]:
+    """(name, content) of the safe members of a ZIP or TAR archive; content is None for folders and members that oversized() names."""
     if is_zip(raw):
-        with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        with zipfile.ZipFile(stream(raw)) as z:
             for i in z.infolist():
                 if safe(i.filename):
-                    out.append((i.filename, z.read(i) if not i.is_dir() and i.file_size <= MAX_MEMBER else None))
+                    yield i.filename, z.read(i) if not i.is_dir() and i.file_size <= MAX_HELD else None
     elif path.endswith((".tar", ".tar.gz", ".tgz")):
-        with tarfile.open(fileobj=io.BytesIO(raw)) as t:
+        with tarfile.open(fileobj=stream(raw)) as t:
             for m in t:
                 if safe(m.name):
-                    f = t.extractfile(m) if m.isfile() and m.size <= MAX_MEMBER else None
-                    out.append((m.name, f.read() if f else None))
-    return out
+                    f = t.extractfile(m) if m.isfile() and m.size <= MAX_HELD else None
+                    yield m.name, f.read() if f else None
+
+
+def members(raw, path: str) -> list[tuple[str, bytes | None]]:
+    return list(each_member(raw, path))
 
 
-def names(raw: bytes, path: str) -> list[str]:
+def oversized(raw, path: str) -> list[tuple[str, int]]:
+    """Names and sizes of the members that are not unpacked for their size."""
+    if is_zip(raw):
+        with zipfile.ZipFile(stream(raw)) as z:
+            return [(i.filename, i.file_size) for i in z.infolist() if i.file_size > MAX_HELD]
+    if path.endswith((".tar", ".tar.gz", ".tgz")):
+        with tarfile.open(fileobj=stream(raw)) as t:
+            return [(m.name, m.size) for m in t if m.size > MAX_HELD]
+    return []
+
+
+def names(raw, path: str) -> list[str]:
     """All member names, safe or not."""
     if is_zip(raw) or path.endswith(".zip"):
-        with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        with zipfile.ZipFile(stream(raw)) as z:
             return z.namelist()
     if path.endswith((".tar", ".tar.gz", ".tgz")):
-        with tarfile.open(fileobj=io.BytesIO(raw)) as t:
+        with tarfile.open(fileobj=stream(raw)) as t:
             return t.getnames()
     return []
 
 
-def encrypted(raw: bytes) -> str | None:
+def encrypted(raw) -> str | None:
     """Name of the first member that needs a password."""
-    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+    with zipfile.ZipFile(stream(raw)) as z:
         return next((i.filename for i in z.infolist() if i.flag_bits & 1), None)
 
 
@@ -85,9 +118,12 @@ def zip_parts(raw: bytes, path: str) -> Iterator[Part]:
         if (name := encrypted(raw)) is not None:
             yield "zip_encrypt", name, "", 0
             return
-        with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        with zipfile.ZipFile(stream(raw)) as z:
             for i in z.infolist():
-                if i.is_dir() or i.file_size > MAX_MEMBER:
+                if i.is_dir():
+                    continue
+                if i.file_size > MAX_MEMBER:
+                    yield "skipped", i.filename, f"document member over the limit: {i.filename}", i.file_size
                     continue
                 try:
                     data = z.read(i)
@@ -111,6 +147,8 @@ def archive_parts(raw: bytes, path: str, depth: int) -> Iterator[Part]:
         found = names(raw, path)
         if found:
             yield "archive", str(found[:10]), str(len(found)), depth
+            for name, n in oversized(raw, path):
+                yield "skipped", name, f"archive member over the limit: {name}", n
         elif not is_zip(raw):
             yield "archive_unread", "", "archive format has no reader", depth
     except Exception as e:  # noqa: BLE001
@@ -125,10 +163,14 @@ def expand(raw: bytes, path: str, max_depth: int = MAX_DEPTH, depth: int = 0) ->
     try:
         if is_zip(raw) and encrypted(raw) is not None:
             return
-        found = members(raw, path)
     except Exception:  # noqa: BLE001 archive_parts reports it
         return
-    for name, data in found:
+    found = each_member(raw, path)
+    while True:
+        try:
+            name, data = next(found)
+        except Exception:  # noqa: BLE001 the end, or a broken member
+            return
         if data is None:
             continue
         inner = f"{path}!/{name}"
@@ -338,13 +380,17 @@ def form_fields(raw: bytes) -> list[dict[str, str]]:
 
 
 def pdf_parts(raw: bytes) -> Iterator[Part]:
-    if (n := raw.count(b"%%EOF")) > 1:
+    whole = len(raw) <= MAX_TEXT
+    if whole and (n := raw.count(b"%%EOF")) > 1:
         yield "pdf_eof", "", "", n
     for m in _STREAM.finditer(raw):
         data = inflate(m[1])
         if data:
             yield "pdf_stream", "", data.decode("utf-8", "ignore"), 0
-    yield "pdf_raw", "", raw.decode("utf-8", "ignore"), 0
+    if whole:
+        yield "pdf_raw", "", raw.decode("utf-8", "ignore"), 0
+    else:
+        yield "skipped", "", "file over the text limit, only its keywords, objects and streams were read", len(raw)
     for k, n in pdf_keywords(raw).items():
         yield "pdf_keyword", k, "", n
     objects = pdf_objects(raw)
@@ -367,8 +413,15 @@ def pdf_parts(raw: bytes) -> Iterator[Part]:
 PART = "path string, sha256 string, bucket string, extension string, part long, kind string, name string, text string, n long"
 
 
-def parts_of(path: str, bucket: str, extension: str, raw: bytes, depth: int = 0) -> Iterator[Part]:
-    """Parts of one file, by its bucket."""
+def parts_of(path: str, bucket: str, extension: str, raw, depth: int = 0) -> Iterator[Part]:
+    """Parts of one file, by its bucket. Instead of bytes, large files come open: containers read parts of them, PDF and PNG all."""
+    if not isinstance(raw, bytes):
+        text_kind = extension in (".lnk", ".mht", ".mhtml", ".svg") or bucket in ("email", "csv", "xml", "ole")
+        if raw is None or text_kind:
+            yield "skipped", "", "file over the text limit" if raw is not None else "file cannot be opened again", 0
+            return
+        if bucket not in ("ooxml", "odf", "archive"):
+            raw = raw.read() if bucket == "pdf" or extension == ".png" else b""
     if extension == ".lnk":
         yield from lnk_parts(raw)
     elif bucket == "ooxml":
@@ -393,8 +446,11 @@ def parts_of(path: str, bucket: str, extension: str, raw: bytes, depth: int = 0)
         yield from archive_parts(raw, path, depth)
 
 
-def parts(files: DataFrame) -> DataFrame:
-    """Parts of each file row (path, sha256, bucket, extension, content); what cannot be parsed gives one `error` part."""
+def parts(files: DataFrame, source: str | None = None) -> DataFrame:
+    """Parts of each file row (path, sha256, bucket, extension, content); what cannot be parsed gives one `error` part.
+
+    Rows without content are opened by their path where read_files found them, at the URI `source`.
+    """
 
     def run(batches):
         for batch in batches:
@@ -402,7 +458,7 @@ def parts(files: DataFrame) -> DataFrame:
             for path, sha, bucket, ext, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 made = []
                 try:
-                    made = list(parts_of(path, bucket, ext, raw or b"", path.count("!/")))
+                    made = list(parts_of(path, bucket, ext, held(raw, source, path), path.count("!/")))
                 except Exception as e:  # noqa: BLE001 one bad file must not end the stage
                     made = [("error", "", str(e), 0)]
                 for k, (kind, name, body, n) in enumerate(made):
@@ -419,14 +475,14 @@ def _valid(v: str | None) -> str | None:
     return v.encode("utf-8", "replace").decode("utf-8") if v is not None else None
 
 
-def archive_members(files: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """File rows (path, sha256, size, mtime, content) of all members of the archives in `files`, nested ones too."""
+def archive_members(files: DataFrame, max_depth: int = MAX_DEPTH, source: str | None = None) -> DataFrame:
+    """File rows (path, sha256, size, mtime, content) of all members of the archives in `files`, nested ones too; source as in parts."""
     schema = "path string, sha256 string, size long, mtime timestamp, content binary"
 
     def run(batches):
         for batch in batches:
             for path, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for inner, data, _ in expand(raw or b"", path, max_depth):
+                for inner, data, _ in expand(held(raw, source, path) or b"", path, max_depth):
                     yield pa.RecordBatch.from_arrays([pa.array([inner]), pa.array([hashlib.sha256(data).hexdigest()]), pa.array([len(data)], pa.int64()), pa.array([None], pa.timestamp("us", "UTC")), pa.array([data], pa.binary())], names=["path", "sha256", "size", "mtime", "content"])
 
     return files.where("bucket = 'archive'").select("path", "content").mapInArrow(run, schema)

@@ -195,3 +195,12 @@ def test_uniqueness(spark):
     assert got == {(p, s) for ext, subs in ((".pdf", ["pdf_form_field", "pdf_normalized_bytes"]), (".rtf", ["canonicalization_diff"]), (".docx", ["core_xml_guid_revision"])) for p in ("a" + ext, "b" + ext) for s in subs}
     same = table(spark, {"a.docx": core(b"1"), "b.docx": core(b"1")})
     assert uniqueness.uniqueness(same, metadata.metadata(same)).count() == 0
+
+
+def test_archive_members_over_the_document_limit():
+    """20 MiB is the limit of OOXML and ODF members; ordinary archives are unpacked beyond it, documents tell what they skip."""
+    out, big = io.BytesIO(), b"%PDF" + b"a" * (20 << 20)
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("big.pdf", big)
+    assert [(p, data == big) for p, data, _ in containers.expand(out.getvalue(), "a.zip")] == [("a.zip!/big.pdf", True)]
+    assert [(k, n) for k, n, _, _ in containers.zip_parts(out.getvalue(), "a.docx")] == [("skipped", "big.pdf")]

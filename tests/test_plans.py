@@ -141,3 +141,33 @@ def test_link_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.domain, r.n) for r in spark.table("links").collect()) == [("a", 2), ("b", 1)]
+
+
+def test_large_containers_are_read(spark, tmp_path):
+    """Files over the text limit: archives and documents are opened where they lie, PDF keywords are counted, the rest is told."""
+    import zipfile
+
+    from docsignal.operators import detect, metadata
+    from docsignal.sources.files import classify
+
+    d, pad = tmp_path / "big", b"a" * (51 << 20)
+    d.mkdir()
+    with zipfile.ZipFile(d / "a.zip", "w") as z:
+        z.writestr("in.html", '<a href="https://zip.test/x">')
+        z.writestr("m.bin", pad)
+    with zipfile.ZipFile(d / "b.docx", "w") as z:
+        z.writestr("word/document.xml", "<w>https://docx.test/x</w>")
+        z.writestr("docProps/core.xml", "<c><dc:creator>Ann</dc:creator></c>")
+        z.writestr("media.bin", pad)
+    (d / "c.pdf").write_bytes(b"%PDF-1.4\n1 0 obj\n<< /JavaScript 2 0 R >>\nendobj\n%" + pad)
+    (d / "e.csv").write_bytes(pad)
+    files = classify(read_files(spark, str(d)))
+    assert files.where("content is not null").count() == 0
+    rows = detect.remote_references(files, source=str(d)).select("file", "category", "evidence", "finding").collect()
+    said = {(r.file.rsplit("/", 1)[1], r.evidence) for r in rows}
+    assert ("in.html", "https://zip.test/x") in said and ("b.docx", "https://docx.test/x") in said
+    assert any(r.file.endswith("c.pdf") and r.category == "javascript" for r in rows)
+    for name in ("b.docx", "c.pdf", "e.csv"):
+        assert any(r.file.endswith(name) and "over the" in f"{r.finding}{r.evidence}" for r in rows), name
+    tags = {r.path.rsplit("/", 1)[1]: r.tags for r in metadata.metadata(files, str(d)).collect()}
+    assert "Ann" in tags["b.docx"].values()
