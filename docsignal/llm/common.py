@@ -77,6 +77,17 @@ def open_fs(uri: str):
     return pafs.FileSystem.from_uri(uri)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores added until no column has it, whatever its case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def plus(schema: T.StructType, *columns: tuple[str, T.DataType]) -> T.StructType:
     """A schema with more columns; a column of the same name is the caller's to drop."""
     return T.StructType([*schema.fields, *(T.StructField(n, t) for n, t in columns)])
@@ -84,11 +95,6 @@ def plus(schema: T.StructType, *columns: tuple[str, T.DataType]) -> T.StructType
 
 # ---- hashing -------------------------------------------------------------------------------------------------------
 
-BASE = 0x9E3779B97F4A7C15 | 1
-_INV = pow(BASE, -1, 1 << 64)
-_POW: dict[str, np.ndarray] = {}
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit (the finaliser of splitmix64)."""
     x = x.astype(U64, copy=True)
@@ -100,16 +106,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "p" not in _POW or len(_POW["p"]) < n:
-        size = max(n, 1 << 16)
-        for key, base in (("p", BASE), ("i", _INV)):
-            a = np.full(size, base & (2**64 - 1), U64)
-            a[0] = 1
-            _POW[key] = np.multiply.accumulate(a)
-    return _POW["p"], _POW["i"]
-
-
 def word_class(text: str) -> np.ndarray:
     """256 flags: the bytes that are not in `text` (latin-1) belong to words."""
     t = np.ones(256, bool)
@@ -159,23 +155,80 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, flags: np.ndarray) -> tupl
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True, piece: int = 1 << 19) -> np.ndarray:
-    """64-bit hashes of the spans' bytes, A-Z lower-cased if fold; pieces bound the memory for any text length."""
-    out = np.empty(len(starts), U64)
+#: CHUNK_MASK[k] keeps the first k bytes of a little-endian chunk
+CHUNK_MASK = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], U64)
+
+
+def chunk_values(data: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The 8 bytes at each position, little-endian, without those beyond `left` bytes; data ends in 8 more bytes."""
+    every = np.ndarray(len(data) - 7, "<u8", data.data if data.flags.c_contiguous else data.copy().data, 0, (1,))
+    return every[at] & CHUNK_MASK[np.minimum(left, 8)]
+
+
+def span_groups(starts: np.ndarray, ends: np.ndarray, most: int = 1 << 17):
+    """Runs [i, j) of spans with about `most` chunks of 8 bytes together; a longer span comes alone."""
+    upto = np.cumsum((ends - starts + 7) >> 3)
     i = 0
     while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + piece, "right")))
-        lo, hi = int(starts[i]), int(ends[j - 1])
-        p, q = _powers(hi - lo + 1)
-        x = (LOWER[data[lo:hi]] if fold else data[lo:hi]).astype(U64)
-        x += U64(1)
-        x *= p[: hi - lo]
-        c = np.zeros(hi - lo + 1, U64)
-        np.cumsum(x, out=c[1:])
-        s, e = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = (c[e] - c[s]) * q[s] + (e - s).astype(U64) * U64(0xD6E8FEB86659FD93)
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + most, "right")))
+        yield i, j
         i = j
-    return mix64(out)
+
+
+def padded(data: np.ndarray, lo: int, hi: int, fold: bool) -> np.ndarray:
+    """The bytes lo to hi and 8 zeros, A-Z lower-cased if fold."""
+    out = np.zeros(hi - lo + 8, np.uint8)
+    out[: hi - lo] = LOWER[data[lo:hi]] if fold else data[lo:hi]
+    return out
+
+
+def span_chunks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(chunks, number of each in its span, first chunk and chunks of each span) of spans over padded data."""
+    size = (ends - starts + 7) >> 3
+    first = np.cumsum(size) - size
+    k = np.arange(int(size.sum())) - np.repeat(first, size)
+    return chunk_values(data, np.repeat(starts, size) + 8 * k, np.repeat(ends - starts, size) - 8 * k), k, first, size
+
+
+def _key(k: np.ndarray, lane: int) -> np.ndarray:
+    return mix64(k.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(0xD1B54A32D192ED03 * (lane + 1) & (1 << 64) - 1))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True, piece: int = 1 << 17, lane: int = 0) -> np.ndarray:
+    """64-bit hashes of the spans' bytes, A-Z lower-cased if fold.
+
+    Each chunk of 8 bytes is scattered together with its number in the span, and the sum is scattered with the length: no pattern
+    of repeats within a span makes hashes meet, as it would for a polynomial modulo 2^64. `lane` chooses an independent function.
+    """
+    out = np.zeros(len(starts), U64)
+    for i, j in span_groups(starts, ends, piece):
+        if j == i + 1:  # in pieces, as it may be of any length
+            for p in range(int(starts[i]), int(ends[i]), 8 * piece):
+                q = min(int(ends[i]), p + 8 * piece)
+                v, k, _, _ = span_chunks(padded(data, p, q, fold), np.array([0]), np.array([q - p]))
+                out[i:j] += mix64(v + _key(k + (p - int(starts[i])) // 8, lane)).sum(dtype=U64, keepdims=True)
+            continue
+        lo, hi = int(starts[i:j].min()), int(ends[i:j].max())
+        v, k, first, size = span_chunks(padded(data, lo, hi, fold), starts[i:j] - lo, ends[i:j] - lo)
+        some = np.flatnonzero(size)
+        if len(some):
+            out[i:j][some] = np.add.reduceat(mix64(v + _key(k, lane)), first[some])
+    return mix64(out + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
+def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, pool: np.ndarray, pool_starts: np.ndarray, pool_ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """Whether each span has the bytes of its partner in `pool`, A-Z lower-cased in data if fold."""
+    same = ends - starts == pool_ends - pool_starts
+    rows = np.flatnonzero(same & (ends > starts))
+    for i, j in span_groups(starts[rows], ends[rows]):
+        r = rows[i:j]
+        for p in range(0, max(1, int((ends[r] - starts[r]).max())), 1 << 20):  # a long span is alone: in pieces
+            a, e = starts[r] + p, np.minimum(ends[r], starts[r] + p + (1 << 20))
+            b, f = pool_starts[r] + p, np.minimum(pool_ends[r], pool_starts[r] + p + (1 << 20))
+            x, _, first, _ = span_chunks(padded(data, int(a.min()), int(e.max()), fold), a - a.min(), e - a.min())
+            y, _, _, _ = span_chunks(padded(pool, int(b.min()), int(f.max()), False), b - b.min(), f - b.min())
+            same[r] &= np.logical_and.reduceat(x == y, first)
+    return same
 
 
 def crc_mod(column, k: int):

@@ -18,13 +18,15 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, open_fs, read, shared_root, small_batches, span_hashes, text_slices, trim
+from .common import U64, Scratch, open_fs, read, same_spans, small_batches, span_hashes, text_slices, trim
 
 MAGIC, VERSION, RANK_BITS = b"DACS", 1, 512
 END_ID = 2
+#: bounds of doc_id between tasks are no more than this; beyond it parts grow
+MOST_PARTS = 100_000
 
 
 # ---- codes ---------------------------------------------------------------------------------------------------------
@@ -192,7 +194,7 @@ def split_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library; each distinct pre-token is encoded once and found again by a hash of its bytes."""
+    """Ids of texts by the tokenizers library; each distinct pre-token is encoded once, found again by a hash and compared byte for byte."""
 
     def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -216,6 +218,7 @@ class Encoder:
     def _clear(self) -> None:
         self.slots = np.zeros(1 << 16, np.int32)  # of a hash's low bits, the entry + 1; on a clash the next slot
         self.hash, self.first, self.count, self.flat, self.n, self.used = np.zeros(1024, U64), np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0, 0
+        self.bytes, self.ends = np.zeros(8192, np.uint8), np.zeros(1025, np.int64)  # entry k is bytes[ends[k]:ends[k + 1]]
 
     def whole(self, text: str) -> np.ndarray:
         return np.asarray(self.model.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -264,6 +267,12 @@ class Encoder:
         n, m = self.n + len(h), self.used + len(flat)
         while len(self.hash) < n:
             self.hash, self.first, self.count = (np.concatenate([a, np.zeros_like(a)]) for a in (self.hash, self.first, self.count))
+        while len(self.ends) <= n:
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.ends[self.n + 1 : n + 1] = self.ends[self.n] + np.cumsum([len(p) for p in pieces])
+        while len(self.bytes) < self.ends[n]:
+            self.bytes = np.concatenate([self.bytes, np.zeros_like(self.bytes)])
+        self.bytes[self.ends[self.n] : self.ends[n]] = np.frombuffer(b"".join(pieces), np.uint8)
         while len(self.flat) < m:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.hash[self.n : n], self.count[self.n : n] = h, count
@@ -308,6 +317,8 @@ class Encoder:
             raw = data.tobytes()
             self._learn(fresh, [raw[starts[k] : ends[k]] for k in new[at]])
             entry[new] = self._find(h[new])
+        # a text with another pre-token of the same hash is encoded whole
+        odd[doc[~same_spans(data, starts, ends, self.bytes, self.ends[entry], self.ends[entry + 1], fold=False)]] = True
         count = self.count[entry]
         total = int(count.sum())
         into = np.cumsum(count) - count
@@ -336,16 +347,18 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def encode_documents(documents: DataFrame, tokenizer: str, bounds: list[int], end_id: int = END_ID) -> DataFrame:
-    """(doc_id, part, n_tokens, ids): ids of each whole text (null: empty) and the end id, little-endian u16, or u32 for large
-    vocabularies; part is the number of bounds below doc_id, 0 for null."""
+def encode_documents(documents: DataFrame, tokenizer: str, bounds: list[int], null_parts: int = 0, end_id: int = END_ID) -> DataFrame:
+    """(doc_id, part, n_tokens, ids, sum): ids of each whole text (null: empty) and the end id, little-endian u16, or u32 for large
+    vocabularies, and their crc32. Parts ascend with (doc_id, sum): the rows of an id that fills several parts are dealt by sum."""
 
     def run(batches):
         enc = encoder(tokenizer)
         edge = np.array(bounds, np.int64)
         for batch in batches:
             docs = batch.column(0).cast(pa.int64())
-            part = np.where(docs.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(edge, docs.fill_null(0).to_numpy(), "left"))
+            null, key = docs.is_null().to_numpy(zero_copy_only=False), docs.fill_null(0).to_numpy()
+            low, high = np.searchsorted(edge, key, "left"), np.searchsorted(edge, key, "right")
+            low, many = np.where(null, 0, low + null_parts), np.where(null, null_parts, high - low)
             for i, j, data, off in text_slices(batch.column(1)):
                 flat, sizes = enc.encode(data, off)
                 ends = np.cumsum(sizes + 1)
@@ -355,31 +368,35 @@ def encode_documents(documents: DataFrame, tokenizer: str, bounds: list[int], en
                 out[~hole] = flat
                 step = out.dtype.itemsize
                 blobs = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(np.concatenate([[0], ends * step]).astype(np.int64)), pa.py_buffer(out)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([docs[i:j], pa.array(part[i:j].astype(np.int64)), pa.array(sizes + 1), blobs], names=["doc_id", "part", "n_tokens", "ids"])
+                sums = np.array([zlib.crc32(out[a:b]) for a, b in zip(ends - sizes - 1, ends, strict=True)], np.int64)
+                part = low[i:j] + (sums * np.maximum(many[i:j], 1) >> 32)
+                yield pa.RecordBatch.from_arrays([docs[i:j], pa.array(part.astype(np.int32)), pa.array(sizes + 1), blobs, pa.array(sums)], names=["doc_id", "part", "n_tokens", "ids", "sum"])
         trim()
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, part long, n_tokens long, ids binary")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, part int, n_tokens long, ids binary, sum long")
 
 
 def write_shards(spark: SparkSession, documents: DataFrame, out: str, tokenizer: str, width: int = 8, shard_mb: int = 8) -> DataFrame:
-    """Write `documents` as shards under `out`, in ascending doc_id order (null first; equal ids by length, then checksum of ids).
+    """Write `documents` as shards under `out`, in ascending doc_id order (null first; equal ids by the checksum of their tokens, then length).
 
     Returns the manifest (shard, path, documents, n_tokens, first_token), one small row a shard. Repeated rows stay, each a
-    document; an empty table gives no shard. A file's name carries the attempt that wrote it, and only the manifest's files count,
-    so lost or repeated tasks leave no wrong data. Other columns are ignored.
+    document; null and empty texts hold the end id alone; an empty table gives no shard. A text of any length is one document of
+    one shard, held whole in a worker. A file's name carries the attempt that wrote it, and only the manifest's files count, so
+    lost or repeated tasks leave no wrong data. Other columns, whatever their names, are ignored.
 
-    Bounds of doc_id come from a scan of that column alone; texts are encoded where they are read and their ids shuffled once.
+    Bounds of doc_id come from a scan of that column alone; texts are encoded where they are read and their ids shuffled once, each
+    part to a task of its own. First tokens are prefix sums over groups of parts, then within a group.
     """
     work = Scratch(spark, "op1")
     small_batches(spark)
-    stats = documents.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("doc_id").alias("n")).first()
-    parts = max(1, -(-(stats.bytes or 0) // (shard_mb << 20)), min(spark.sparkContext.defaultParallelism, stats.n // 1000))
-    parts = int(min(parts, 20_000))
+    stats = documents.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("rows"), F.count("doc_id").alias("n")).first()
+    parts = max(1, -(-(stats.bytes or 0) // (shard_mb << 20)), min(spark.sparkContext.defaultParallelism, stats.rows // 1000))
+    parts = int(min(parts, MOST_PARTS))
+    null_parts = -(-parts * (stats.rows - stats.n) // max(1, stats.rows))
     bounds = []
-    if parts > 1:
-        at = documents.agg(F.percentile_approx(F.col("doc_id").cast("long"), [k / parts for k in range(1, parts)], max(10_000, 20 * parts))).first()[0] or []
-        bounds = sorted(set(at))
-    coded = encode_documents(documents, tokenizer, bounds)
+    if parts > 1 and stats.n:
+        bounds = documents.agg(F.percentile_approx(F.col("doc_id").cast("long"), [k / parts for k in range(1, parts)], max(10_000, 4 * parts))).first()[0] or []
+    coded = encode_documents(documents, tokenizer, sorted(bounds), null_parts)
     step = encoder(tokenizer).dtype
 
     def run(batches):
@@ -416,14 +433,18 @@ def write_shards(spark: SparkSession, documents: DataFrame, out: str, tokenizer:
         docs, sizes, flat = [], [], []
         trim()
 
-    dealt = coded.repartition(parts, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "n_tokens", F.crc32("ids"))
-    manifest = work.save(dealt.mapInArrow(run, "part long, order long, path string, documents long, n_tokens long"), "manifest")
-    rows = sorted(manifest.collect(), key=lambda r: (r.part, r.order))  # one row a shard of megabytes
-    table, first = [], 0
-    for k, r in enumerate(rows):
-        table.append((k, r.path, r.documents, r.n_tokens, first))
-        first += r.n_tokens
-    return spark.createDataFrame(table, "shard long, path string, documents long, n_tokens long, first_token long")
+    dealt = coded.repartitionById(parts + null_parts + 1, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "sum", "n_tokens").drop("sum")
+    written = work.save(dealt.mapInArrow(run, "part long, order long, path string, documents long, n_tokens long"), "written").withColumn("group", F.floor(F.col("part") / 256))
+    upto = Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)  # a row for each 256 parts
+    groups = written.groupBy("group").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("s"))
+    groups = groups.select(F.col("group").alias("g"), F.coalesce(F.sum("t").over(upto), F.lit(0)).alias("t0"), F.coalesce(F.sum("s").over(upto), F.lit(0)).alias("s0"))
+    own = Window.partitionBy("group").orderBy("part", "order")
+    rows = written.join(groups, F.expr("group = g"))
+    first = F.col("t0") + F.coalesce(F.sum("n_tokens").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    manifest = rows.select((F.col("s0") + F.row_number().over(own) - 1).cast("long").alias("shard"), "path", "documents", "n_tokens", first.cast("long").alias("first_token"))
+    manifest = work.save(manifest, "manifest")
+    work.drop("written")
+    return manifest
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
@@ -447,18 +468,50 @@ def read_shards(manifest: DataFrame) -> DataFrame:
         trim()
 
     n = max(1, manifest.count())
-    return manifest.repartition(min(n, 10_000)).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return manifest.select("path", "first_token").repartition(n).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+
+
+class RangedShard:
+    """Tokens of a shard in a seekable file: its directory is read once, then for each level a chunk, a block of the bitmap and its rank."""
+
+    def __init__(self, file):
+        self.file = file
+        magic, version, self.width, self.levels, self.documents, self.tokens = struct.unpack("<4sIIIQQ", self._read(0, 32))
+        if magic != MAGIC or version != VERSION:
+            raise ValueError("not a token shard of this version")
+        self.parts = list(struct.iter_unpack("<QQ", self._read(32, 16 * (3 + 3 * self.levels))))
+
+    def _read(self, at: int, n: int) -> bytes:
+        self.file.seek(at)
+        return self.file.read(n)
+
+    def __getitem__(self, at: int) -> int:
+        if not 0 <= at < self.tokens:
+            raise IndexError(at)
+        out = 0
+        for k in range(self.levels):
+            chunks, bits, ranks = (self.parts[3 + 3 * k + i][0] for i in range(3))
+            bit = at * self.width
+            raw = int.from_bytes(self._read(chunks + (bit >> 3), ((bit & 7) + self.width + 7) >> 3), "little")
+            out |= (raw >> (bit & 7) & ((1 << self.width) - 1)) << k * self.width
+            block = int.from_bytes(self._read(bits + at // RANK_BITS * (RANK_BITS >> 3), RANK_BITS >> 3), "little")
+            inside = at % RANK_BITS
+            if not block >> inside & 1:
+                break
+            at = struct.unpack("<Q", self._read(ranks + 8 * (at // RANK_BITS), 8))[0] + (block & ((1 << inside) - 1)).bit_count()
+        return out
 
 
 def token_at(spark: SparkSession, manifest: DataFrame, positions: list[int]) -> list[int]:
-    """Tokens at global positions, by ranged reads of the shards that hold them."""
-    rows, out = manifest.orderBy("first_token").collect(), []
-    for p in positions:
-        r = next(r for r in reversed(rows) if r.first_token <= p)
+    """Tokens at global positions: only their shards' directories and the bytes that each probe needs are read."""
+    want = spark.createDataFrame([(int(p),) for p in sorted(set(positions))], "p long")
+    hit = manifest.join(F.broadcast(want), F.expr("p >= first_token and p < first_token + n_tokens")).select("p", "path", "first_token")
+    out = {}
+    for r in hit.orderBy("p").collect():  # a row a position asked for
         fs, path = open_fs(r.path)
         with fs.open_input_file(path) as f:
-            out.append(int(Shard(f.read())[p - r.first_token][0]))
-    return out
+            out[r.p] = RangedShard(f)[r.p - r.first_token]
+    return [out[p] for p in positions]
 
 
 def tokenizer_path() -> str:
@@ -468,11 +521,13 @@ def tokenizer_path() -> str:
 
 
 def digest(spark: SparkSession, documents: DataFrame) -> DataFrame:
-    out = f"{shared_root(spark)}/docsignal-op1-{os.urandom(6).hex()}"
+    """(doc_id, start, n_tokens, ids_crc32) of documents, written as shards and read back; see write_shards for nulls, repeats and extremes."""
+    out = Scratch(spark, "op1").path("shards")
     return read_shards(write_shards(spark, documents, out, tokenizer_path())).select("doc_id", "start", "n_tokens", F.crc32("ids").cast("long").alias("ids_crc32"))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """digest() of all documents with the 50k byte-level vocabulary and end id 2."""
     return digest(spark, read(spark, sf_dir, "documents"))
 
 

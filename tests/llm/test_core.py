@@ -90,7 +90,7 @@ def test_codes(width):
         tokens.Shard(b"x" * 64)
 
 
-def test_automaton_equals_brute_force():
+def test_automaton_equals_brute_force(tmp_path):
     rng = random.Random(2)
     words = ["a", "b", "c", "É"]
     make = lambda n: " ".join(rng.choice(words) for _ in range(n))
@@ -98,14 +98,45 @@ def test_automaton_equals_brute_force():
         for _ in range(60):
             items = [(str(k), make(rng.randint(0, 9))) for k in range(rng.randint(1, 5))] + [(None, make(4)), ("x", None)]
             texts = [make(rng.randint(0, 30)) for _ in range(4)] + [None, ""]
-            block = decontaminate.Block(items, window)
-            for text, (n, hits, names) in zip(texts, decontaminate.brute_force(texts, items, window)):
-                data, off = buffers([text])
-                s, e, doc = common.word_spans(data, off, common.ALNUM)
-                delta, found = np.zeros(len(s) + 1, np.int32), {}
-                block.hits(common.span_hashes(data, s, e), doc, delta, found)
-                assert (len(s), int((np.cumsum(delta[:-1]) > 0).sum())) == (n, hits), (text, items)
-                assert sorted(x for x in found.get(0, ()) if x is not None) == names
+            cut = rng.randint(0, len(items))
+            uris = write_items(tmp_path, items[:cut], items[cut:], window)
+            for resident in (decontaminate.RESIDENT, 1):
+                scan = decontaminate.Scanner(uris, window, resident)
+                for text, (n, hits, names), (s, _, _, hit, found) in zip(texts, decontaminate.brute_force(texts, items, window), scan.scan([buffers([t]) for t in texts])):
+                    assert (len(s), int(hit.sum())) == (n, hits), (text, items)
+                    assert sorted(x for x in found.get(0, ()) if x is not None) == names
+
+
+def write_items(folder, *blocks):
+    *blocks, window = blocks
+    uris = []
+    for items in blocks:
+        path = folder / f"{len(list(folder.iterdir()))}.npz"
+        np.savez(path, **decontaminate.build_block(items, window))
+        uris.append(f"file://{path}")
+    return uris
+
+
+def test_automaton_compares_bytes(tmp_path, monkeypatch):
+    """Words that share a hash only make runs longer that are walked."""
+    monkeypatch.setattr(decontaminate, "span_hashes", lambda data, s, e: np.ones(len(s), np.uint64))
+    scan = decontaminate.Scanner(write_items(tmp_path, [("a", "one two " + thue_morse(11))], 3), 3)
+    texts = ["one two " + thue_morse(11), "one two " + thue_morse(11, True)]
+    assert [hit.sum() for _, _, _, hit, _ in scan.scan([buffers([t]) for t in texts])] == [3, 0]
+
+
+def test_many_blocks_load_once(tmp_path):
+    """What stays resident is loaded once; clean text loads nothing."""
+    rng = random.Random(5)
+    items = [[(f"{b}-{k}", " ".join(f"w{b}x{rng.randint(0, 200)}" for _ in range(20))) for k in range(20)] for b in range(12)]
+    scan = decontaminate.Scanner(write_items(tmp_path, *items, 13), 13)
+    clean = [buffers([" ".join(f"v{rng.randint(0, 500)}" for _ in range(2000))])] * 20
+    scan.scan(clean)
+    assert scan.loads == 0 and scan.fits
+    for _ in range(3):
+        (_, _, _, hit, found), = scan.scan([buffers([items[3][4][1] + " " + items[9][0][1]])])
+        assert hit.all() and found == {0: {"3-4", "9-0"}}
+    assert scan.loads == len(items)
 
 
 def test_fm_learns_a_pair():
@@ -272,3 +303,48 @@ def test_graph_search_finds_links():
     assert len(tree) < len(x)
     for n in (1, 2):
         assert len(embeddings.range_search(x[:n], embeddings.build_graph(x[:n]))) in (0, 1)
+
+
+def thue_morse(k, flip=False):
+    a, b = ("b", "a") if flip else ("a", "b")
+    for _ in range(k):
+        a, b = a + b, b + a
+    return a
+
+
+def test_hashes_of_patterned_strings_differ():
+    """Words that any polynomial modulo 2^64 maps to one value."""
+    for k in (10, 11, 12):
+        data, off = buffers([thue_morse(k), thue_morse(k, True)])
+        for lane in (0, 1):
+            assert len(set(common.span_hashes(data, off[:-1], off[1:], lane=lane).tolist())) == 2
+        assert common.same_spans(data, off[:-1], off[1:], data, off[[0, 0]], off[[1, 1]]).tolist() == [True, False]
+
+
+def test_tokens_of_words_that_share_a_hash(monkeypatch):
+    """Whatever the hash does, ids are those of the tokenizer."""
+    monkeypatch.setattr(tokens, "span_hashes", lambda data, s, e, fold=True: np.zeros(len(s), np.uint64) + (e - s).astype(np.uint64) % 3)
+    texts = ["one two six ten", thue_morse(11), thue_morse(11, True), "six one, ten", ""]
+    enc = tokens.Encoder(tokens.tokenizer_path())
+    flat, sizes = enc.encode(*buffers(texts))
+    assert flat.tolist() == [x for t in texts for x in enc.whole(t).tolist()] and sizes.tolist() == [len(enc.whole(t)) for t in texts]
+
+
+def test_ranged_probes_read_little():
+    import io
+
+    class Counted(io.BytesIO):
+        got = 0
+
+        def read(self, n=-1):
+            self.got += n
+            return super().read(n)
+
+    values = np.random.default_rng(1).integers(0, 1 << 18, 50_000)
+    for width in (4, 8, 11):
+        raw = tokens.encode_shard([1, None], np.array([20_000, 30_000]), values, width)
+        f = Counted(raw)
+        s = tokens.RangedShard(f)
+        for p in (0, 1, 511, 512, 49_999, 20_000, 12_345):
+            assert s[p] == values[p]
+        assert f.got < 7 * 5 * 100 + 400
