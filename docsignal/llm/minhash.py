@@ -5,7 +5,8 @@ minimum and its maximum, so half the evaluations fill the signature; two sets ag
 their Jaccard similarity, and the pair's estimate varies less than that of two independent functions. Signatures are cut into
 bands; sets that share a band are candidates, and each candidate link is confirmed on the full sets.
 
-Documents with equal sets form one class. The members of a bucket are first tried against one pivot, which settles groups of
+Rows with equal texts form one class, by a SHA-256 of the text; everything after the signatures is done once a class, and texts find
+their class by their content, never by an id. Confirmation compares words byte for byte and shingles word for word. The members of a bucket are first tried against one pivot, which settles groups of
 copies and near copies at about one comparison a member. In buckets that still hold several components, every member outside the
 largest one is then compared with every member, in blocks: a task gets two blocks of texts, counts all common shingles by a matrix
 product and returns at most a tree of links. So no pair of different sets that shares a bucket is skipped unless it is connected
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, U64, Scratch, components, mix64, read, small_batches, span_hashes, text_slices, trim, word_spans
+from .common import LOWER, NOT_SPACE, U64, Scratch, components, mix64, read, same_spans, small_batches, span_hashes, text_slices, trim, unused, word_spans
 
 #: near_duplicates and op6 link at LINK_OF_100, deduplicate at NEAR_OF_100 unless told otherwise
 WORDS, LINK_OF_100, NEAR_OF_100 = 5, 85, 80
@@ -76,9 +77,43 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple
     return doc[order], x[order]
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    raw = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
-    return np.unique(shingles(raw, np.array([0, len(raw)]))[1])
+def _numbered(x: np.ndarray, same, fallback) -> np.ndarray:
+    """Numbers of the rows hashed to x, equal for equal rows only: same(row, first row of its hash) is asked, fallback() numbers a clash."""
+    _, first, number = np.unique(x, return_index=True, return_inverse=True)
+    return number if same(first[number]) else fallback()
+
+
+def exact_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
+    """The shingle set of each text as numbers that only equal shingles share, word for word and byte for byte."""
+    out = [np.zeros(0, np.int64)] * len(texts)
+    for i, j, data, off in text_slices(texts, 1 << 62):
+        s, e, doc = word_spans(data, off, NOT_SPACE)
+        if not len(s):
+            continue
+        low = LOWER[data]
+
+        def words_by_bytes(low=low, s=s, e=e) -> np.ndarray:
+            raw, seen = low.tobytes(), {}
+            return np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(s.tolist(), e.tolist(), strict=True)])
+
+        h = span_hashes(low, s, e, fold=False)
+        word = _numbered(h, lambda f, low=low, s=s, e=e: same_spans(low, s, e, low, s[f], e[f], fold=False).all(), words_by_bytes)
+        count = np.bincount(doc, minlength=j - i)
+        first = np.cumsum(count) - count
+        # a row of words for each shingle; a short text's missing words are -1
+        at = np.flatnonzero(np.arange(len(s)) + words <= (first + count)[doc])
+        few = np.flatnonzero((count > 0) & (count < words))
+        rows = np.concatenate([word[at[:, None] + np.arange(words)], np.array([[*word[first[d] : first[d] + count[d]], *[-1] * (words - count[d])] for d in few], np.int64).reshape(-1, words)])
+        owner = np.concatenate([doc[at], few])
+        x = np.zeros(len(rows), U64)
+        for k in range(words):
+            x = mix64(x * U64(31) + rows[:, k].astype(U64) + U64(2))
+        number = _numbered(x, lambda f, rows=rows: bool((rows == rows[f]).all()), lambda rows=rows: np.unique(rows, axis=0, return_inverse=True)[1].ravel())
+        order = np.argsort(owner, kind="stable")
+        cut = np.searchsorted(owner[order], np.arange(j - i + 1))
+        for d in range(j - i):
+            out[i + d] = np.unique(number[order[cut[d] : cut[d + 1]]])
+    return out
 
 
 def signature(x: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -91,27 +126,29 @@ def signature(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def text_class(text: str = "text"):
+    """16 bytes of a SHA-256 of a text."""
+    return F.unhex(F.substring(F.sha2(F.col(text), 256), 1, 32))
+
+
 def signed(documents: DataFrame, link: int = LINK_OF_100) -> DataFrame:
-    """(doc_id, n, c1, c2, bands): the set's size, a 128-bit hash of the set (its class), the bucket of each band; no bands if empty."""
+    """(doc_id, class, n, bands): the set's size and the bucket of each band; no bands if the set is empty."""
     n_bands, n_rows = banding(link)
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0).cast(pa.int64())
-            for i, j, data, off in text_slices(batch.column(1)):
+            for i, j, data, off in text_slices(batch.column(2)):
                 n = j - i
                 doc, x = shingles(data, off)
                 cut = np.searchsorted(doc, np.arange(n + 1))
                 sets = [np.unique(x[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
                 size = np.array([len(s) for s in sets], np.int64)
                 full = np.flatnonzero(size)
-                c = np.zeros((2, n), U64)
                 bands = [None] * n
                 if len(full):
                     x = np.concatenate([sets[k] for k in full])
                     first = np.concatenate([[0], np.cumsum(size[full])[:-1]])
-                    c[0, full] = mix64(np.add.reduceat(x, first) + size[full].astype(U64))
-                    c[1, full] = np.add.reduceat(mix64(x ^ U64(0xA5A5A5A5A5A5A5A5)), first)
                     sig = signature(x, first).reshape(len(full), n_bands, n_rows)
                     key = np.full((len(full), n_bands), 17, U64)
                     for r in range(n_rows):
@@ -119,40 +156,33 @@ def signed(documents: DataFrame, link: int = LINK_OF_100) -> DataFrame:
                     key = (key + np.arange(n_bands, dtype=U64)).view(np.int64)
                     for k, row in zip(full, key, strict=True):
                         bands[k] = row
-                yield pa.RecordBatch.from_arrays([ids[i:j], pa.array(size), pa.array(c[0].view(np.int64)), pa.array(c[1].view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n", "c1", "c2", "bands"])
+                yield pa.RecordBatch.from_arrays([ids[i:j], batch.column(1)[i:j].cast(pa.binary()), pa.array(size), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "class", "n", "bands"])
         trim()
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, c1 long, c2 long, bands array<long>")
+    return documents.select("doc_id", text_class(), "text").mapInArrow(run, "doc_id long, class binary, n long, bands array<long>")
 
 
 def _confirm(scratch: Scratch, pairs: DataFrame, texts: DataFrame, link: int, chunk: int) -> DataFrame:
-    """Of the class pairs (a: member, b: pivot) those whose full sets are similar enough; texts has (c1, text) of their classes.
+    """Of the class pairs (a: member of size n, b: pivot) those whose full sets are similar enough; texts has (c1, text) of their classes.
 
-    A pivot's members are compared in parts of about `chunk`, each with one copy of the pivot's text, so no task holds a whole group.
+    A pivot's members are compared in parts of about `chunk`, or of BLOCK_SHINGLES shingles, each with one copy of the pivot's text,
+    so no task holds a whole group.
     """
-    many = scratch.save(pairs.groupBy("b").agg(F.count("*").alias("m")).where(F.col("m") > chunk).withColumnRenamed("b", "b2"), "many")
-    sized = pairs.join(many, F.expr("b = b2"), "left").select("a", "b", F.when(F.col("m").isNull(), 0).otherwise(F.pmod(F.xxhash64("a"), F.ceil(F.col("m") / chunk))).cast("long").alias("part"))
+    parts = F.ceil(F.greatest(F.count("*") / chunk, F.sum("n") / BLOCK_SHINGLES))
+    many = scratch.save(pairs.groupBy("b").agg(parts.alias("m")).where("m > 1").withColumnRenamed("b", "b2"), "many")
+    sized = pairs.join(many, F.expr("b = b2"), "left").select("a", "b", F.when(F.col("m").isNull(), 0).otherwise(F.pmod(F.xxhash64("a"), F.col("m"))).cast("long").alias("part"))
     want = sized.select("b", "part", F.col("a").alias("c"), F.lit(0).alias("pivot")).union(sized.select("b", "part", F.col("b").alias("c"), F.lit(1).alias("pivot")).distinct())
     rows = want.join(texts, F.expr("c = c1")).select("b", "part", "c", "pivot", "text")
 
     def run(key, table):
-        pivot, members, seen = None, [], set()
-        for c, is_pivot, text in zip(table.column("c").to_pylist(), table.column("pivot").to_pylist(), table.column("text"), strict=True):
-            x = shingle_set(text.as_py())
-            if class_of(x) != c:  # another row with the same doc_id
-                continue
-            if is_pivot:
-                pivot = x
-            elif c not in seen:
-                seen.add(c)
-                members.append((c, x))
-        a = []
-        for c, x in members:
-            if pivot is None:
-                break
-            both = len(np.intersect1d(pivot, x, assume_unique=True))
-            if 100 * both >= link * (len(pivot) + len(x) - both):
-                a.append(c)
+        c, is_pivot = table.column("c").to_pylist(), table.column("pivot").to_pylist()
+        sets = exact_sets(table.column("text"))
+        pivot, a = sets[is_pivot.index(1)], []
+        for k, x in enumerate(sets):
+            if not is_pivot[k]:
+                both = len(np.intersect1d(pivot, x, assume_unique=True))
+                if 100 * both >= link * (len(pivot) + len(x) - both):
+                    a.append(c[k])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array([key[0].as_py()] * len(a), pa.int64())})
 
     return rows.groupBy("b", "part").applyInArrow(run, "a long, b long")
@@ -216,12 +246,8 @@ def _compare(scratch: Scratch, rest: DataFrame, texts: DataFrame, link: int, blo
 
     def run(key, table):
         sets, comp, minor, other = {}, {}, [], []
-        for c, k, m, text in zip(table.column("c").to_pylist(), table.column("comp").to_pylist(), table.column("minor").to_pylist(), table.column("text"), strict=True):
-            if c not in sets:
-                x = shingle_set(text.as_py())
-                if class_of(x) != c:  # another row with the same doc_id
-                    continue
-                sets[c], comp[c] = x, k
+        for c, k, m, x in zip(table.column("c").to_pylist(), table.column("comp").to_pylist(), table.column("minor").to_pylist(), exact_sets(table.column("text")), strict=True):
+            sets[c], comp[c] = x, k
             (minor if m else other).append(c)
         minor, every = sorted(set(minor)), sorted(set(minor) | set(other))
         a = b = np.zeros(0, np.int64)
@@ -240,32 +266,27 @@ def _compare(scratch: Scratch, rest: DataFrame, texts: DataFrame, link: int, blo
     return sent.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def class_of(x: np.ndarray) -> int:
-    return int(mix64(np.array([x.sum(dtype=U64) + U64(len(x))], U64)).view(np.int64)[0]) if len(x) else 0
-
-
-def near_duplicates(spark: SparkSession, documents: DataFrame, link: int = LINK_OF_100, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
-    """Per row of documents (doc_id, n_shingles, component_id, kept, set_class).
+def _components(spark: SparkSession, documents: DataFrame, link: int, chunk: int, block: int) -> tuple[DataFrame, DataFrame, Scratch]:
+    """(signatures of rows, components of classes: (class, component_id, head), scratch).
 
-    Null and empty texts have no shingles and link with nothing, not even each other: their component_id is their own doc_id. Equal texts and repeated rows are
-    linked. component_id is the least non-null doc_id of the component; a row with null doc_id is kept only if its component has
-    no other id. Other columns are ignored; an empty table gives an empty result.
+    head marks the class that stays: the one with the component's least doc_id, of several the least class.
     """
     small_batches(spark)
     scratch = Scratch(spark, "op6")
     sig = scratch.save(signed(documents, link), "signed")
-    classes = scratch.save(sig.where("n > 0").groupBy("c1").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("bands").alias("bands")), "classes")
-    owners = classes.select("c1", "doc_id")
+    # c1 is a class's number, fixed by the written table
+    classes = sig.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("bands").alias("bands"))
+    classes = scratch.save(classes.withColumn("c1", F.monotonically_increasing_id()), "classes")
     exploded = classes.select("c1", "n", F.explode("bands").alias("bucket"))
     heads = scratch.save(exploded.groupBy("bucket").agg(F.min(F.struct("c1", "n")).alias("p"), F.count("*").alias("m")).where("m > 1").select("bucket", "p.*", "m").toDF("bucket", "pc", "pn", "m"), "heads")
     members = scratch.save(exploded.join(heads, "bucket").select("bucket", "c1", "n", "pc", "pn", "m"), "members")
     #: |A and B| <= the smaller size and |A or B| >= the larger
     fits = f"100 * least(n, pn) >= {link} * greatest(n, pn)"
-    # the texts of the classes in some bucket with another one: the only ones that are read again
-    inside = members.select(F.col("c1").alias("c")).distinct().join(classes, F.expr("c = c1")).select("c1", F.col("doc_id").alias("d"))
-    texts = documents.select("doc_id", "text").join(inside, F.expr("doc_id <=> d")).select("c1", "text")
-    texts = scratch.save(texts, "texts", compression="zstd")
-    tried = scratch.save(members.where("c1 <> pc").where(fits).select(F.col("c1").alias("a"), F.col("pc").alias("b")).distinct(), "pairs-0")
+    # one text of each class in some bucket with another one: only these are read again; equal texts meet before the shuffle
+    inside = members.select(F.col("c1").alias("c")).distinct().join(classes.select("c1", "class"), F.expr("c = c1")).select("c1", F.col("class").alias("k"))
+    texts = documents.select(text_class().alias("class"), "text").groupBy("class").agg(F.first("text").alias("text"))
+    texts = scratch.save(texts.join(inside, F.expr("class = k")).select("c1", "text"), "texts", compression="zstd")
+    tried = scratch.save(members.where("c1 <> pc").where(fits).select(F.col("c1").alias("a"), F.col("pc").alias("b"), "n").distinct(), "pairs-0")
     links = scratch.save(_confirm(scratch, tried, texts, link, chunk), "links-0")
     comp = components(spark, links, scratch, "cc0")
     # buckets that still hold several components
@@ -275,24 +296,45 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, link: int = LINK_
     more = scratch.save(_compare(scratch, rest, texts, link, block), "links-1")
     if more.limit(1).count():
         comp = components(spark, links.union(more), scratch, "cc1")
-    label = scratch.save(owners.join(comp.withColumnRenamed("node", "c1"), "c1", "left").select("c1", "doc_id", F.coalesce("comp", "c1").alias("comp")), "label")
-    least = label.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    final = scratch.save(label.join(least, "comp").select(F.col("c1").alias("k"), "component_id"), "final")
-    scratch.drop("heads", "members", "classes", "texts", "open")
-    empty = sig.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("set_class"))
-    full = sig.where("n > 0").join(final, F.expr("c1 = k")).select("doc_id", "n", "component_id", F.col("c1").alias("set_class"))
-    return empty.union(full).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.expr("doc_id <=> component_id").alias("kept"), "set_class")
+    label = scratch.save(classes.select("class", "c1", "doc_id").join(comp.withColumnRenamed("node", "c1"), "c1", "left").select("class", "doc_id", F.coalesce("comp", "c1").alias("comp")), "label")
+    least = label.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.min_by("class", F.struct(F.col("doc_id").isNull(), "doc_id", "class")).alias("top"))
+    final = scratch.save(label.join(least, "comp").select(F.col("class").alias("k"), "component_id", F.expr("class = top").alias("head")), "final")
+    scratch.drop("heads", "members", "classes", "texts", "open", "pairs-0", "many", "mixed", "plan", "label")
+    return sig, final, scratch
+
+
+def near_duplicates(spark: SparkSession, documents: DataFrame, link: int = LINK_OF_100, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
+    """Per row of documents (doc_id, n_shingles, component_id, kept).
+
+    Null and empty texts have no shingles and link with nothing, not even each other: their component_id is their own doc_id. Equal
+    texts and repeated rows are linked; rows that share a doc_id but not a text each have their own links. component_id is the least
+    non-null doc_id of the component; a row with null doc_id is kept only if its component has no other id. Other columns, whatever
+    their names, are ignored; an empty table gives an empty result. Texts are compared whole, so a task holds the sets of a block
+    of texts, or of two very long ones.
+    """
+    sig, final, _ = _components(spark, documents, link, chunk, block)
+    empty = sig.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    full = sig.where("n > 0").join(final, F.expr("class = k")).select("doc_id", "n", "component_id")
+    return empty.union(full).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.expr("doc_id <=> component_id").alias("kept"))
 
 
 def deduplicate(spark: SparkSession, documents: DataFrame, link: int = NEAR_OF_100) -> DataFrame:
-    """documents with one row of each component left, that of the least doc_id; repeated rows of it count once."""
-    found = near_duplicates(spark, documents, link).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    twice = documents.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")).where("__n > 1").select("__id")
-    same = F.expr("doc_id <=> __id")
-    kept = documents.join(found, same).drop("__id")
-    again = kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(twice, same, "left_anti").unionByName(again)
+    """documents with one row of each component left: one with the least doc_id, and of its rows with different texts the one of least hash.
+
+    Rows without words stay, as they link with nothing. All columns stay, whatever their names; for ties, nulls and empty tables see
+    near_duplicates.
+    """
+    sig, final, scratch = _components(spark, documents, link, CHUNK, BLOCK)
+    cls, one, doc, many = unused(documents.columns, "class", "one", "doc", "many")
+    heads = sig.where("n > 0").join(final.where("head"), F.expr("class = k and doc_id <=> component_id"))
+    heads = scratch.save(heads.groupBy("class", "doc_id").agg(F.count("*").alias("m")).toDF(one, doc, many), "heads")
+    rows = documents.withColumn(cls, text_class()).join(heads, F.col(cls).eqNullSafe(F.col(one)) & documents["doc_id"].eqNullSafe(F.col(doc)))
+    # of equal rows one stays; there are few where ids are unique, and they meet before the shuffle
+    once = rows.where(F.col(many) == 1).unionByName(rows.where(F.col(many) > 1).dropDuplicates([cls, doc])).select(*documents.columns)
+    bare = documents.where(F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return once.unionByName(bare)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark, read(spark, sf_dir, "documents"), LINK_OF_100).drop("set_class")
+    """near_duplicates() of all documents at 0.85."""
+    return near_duplicates(spark, read(spark, sf_dir, "documents"), LINK_OF_100)

@@ -1,14 +1,17 @@
 """Mixing sources to target weights by Pareto order sampling; DataFrame and SQL functions only.
 
 Targets: the sources share `share` times all words by their weights; none passes `most` times its own words, and the excess goes
-to the others (a water level over sources ordered by cap / weight). A document's expected copies are its source's
-target / words, tilted by its weight if there is one; the whole part is allocated for certain, the rest p is its inclusion
-probability. Documents are ranked by (u / (1 - u)) / (p / (1 - p)) with u from a hash of the document, and the first ones whose
-words fill the source's remaining quota are taken. The quota's size is fixed in words, so a last pass over the rest, in the same
-order, takes what still fits into the gap.
-
-The cut is found by counting words in bins of the rank, then in bins of the boundary bin, then by sorting the few rows left: no
-source is ever sorted or gathered as a whole.
+to the others (a water level over sources ordered by cap / weight). Within a source the expected copies of a document go by its
+inclusion weight, and are cut at `most` in the same way; unless a column gives the weights, a document weighs the number of binary
+digits of its size, so that longer texts are likelier. The whole part of the expected copies is allocated for certain, the rest p
+is its inclusion probability. Documents are ranked by (u / (1 - u)) / (p / (1 - p)) with u from a hash of the document, and the
+first ones whose words fill the source's remaining quota are taken: the sample's size is fixed in words, the sum of p times size.
+Whole documents leave a gap, smaller than the first document that did not fit. Where it is over SLACK of the target, as in small
+sources, of the next FILL documents in rank order that are no larger than the gap each is taken that still fits, until no more than
+that is left; this favours short documents, so larger sources have none of it.
+
+The cut is found by counting words in bins of the rank and then sorting the rows of the one bin that holds it: no source is ever
+sorted or gathered as a whole.
 """
 
 from __future__ import annotations
@@ -16,11 +19,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, read
+from .common import Scratch, read, unused
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2
-BINS = 1024
+#: a source's cut is sought in one of BINS bins; FILL documents after it are tried for a gap of over SLACK of the target
+BINS, FILL, SLACK = 4096, 1000, 0.005
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -53,100 +57,108 @@ def uniform(seed: int, *cols: str):
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(2.0**52)
 
 
-def _fill(scratch: Scratch, rows: DataFrame, quota: str, name: str, bins: int) -> DataFrame:
-    """Rows (key, size, quota, s, tie) -> (key, cut_s, cut_tie, used): each key's first row that does not fit, and the words before it.
+def copy_rates(masses: DataFrame, targets: DataFrame, most: float) -> DataFrame:
+    """(key, w, rate): the expected copies of a source's documents of each inclusion weight, rate = least(most, level * w).
 
-    The first rows by (s, tie) whose words fit, found in two levels of bins of s and one sort of the rows of a fine bin.
+    masses: (source, w, words), a row for each weight that a source has; they are few, as weights are whole numbers or rounded. The
+    largest weights reach the cap first; the level gives the rest what is left of the target.
     """
+    t = masses.join(targets.select(F.col("source").alias("key"), "target"), F.expr("source <=> key"))
+    down = Window.partitionBy("key").orderBy(F.desc("w"))
+    above, rest, every = down.rowsBetween(Window.unboundedPreceding, -1), down.rowsBetween(0, Window.unboundedFollowing), Window.partitionBy("key")
+    t = t.withColumn("level", F.try_divide(F.col("target") - most * F.coalesce(F.sum("words").over(above), F.lit(0)), F.sum(F.col("w") * F.col("words")).over(rest)))
+    t = t.withColumn("open", F.max(F.when(F.col("level") * F.col("w") <= most, F.struct("w", "level"))).over(every))
+    rate = F.when(F.col("w") <= F.col("open.w"), F.greatest(F.lit(0.0), F.col("open.level") * F.col("w"))).otherwise(F.lit(float(most)))
+    return t.select("key", "w", F.when(F.col("target") > 0, rate).otherwise(F.lit(0.0)).alias("rate"), "words", "target")
 
-    def boundary(part: DataFrame, edge: str) -> DataFrame:
-        """Per key the first bin at which the words so far pass the quota, and the words before it."""
-        sums = part.groupBy("key", edge).agg(F.sum("size").alias("words"), F.max(quota).alias("quota"), F.max("before").alias("before"))
-        w = Window.partitionBy("key").orderBy(edge).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        run = sums.withColumn("upto", F.col("before") + F.sum("words").over(w))
-        return run.where(F.col("upto") > F.col("quota")).groupBy("key").agg(F.min_by(F.struct(F.col(edge).alias("bin"), (F.col("upto") - F.col("words")).alias("before")), edge).alias("cut")).select("key", "cut.*")
-
-    top = rows.withColumn("b1", F.least(F.floor(F.col("s") * bins), F.lit(bins - 1))).withColumn("b2", F.least(F.floor((F.col("s") * bins - F.col("b1")) * bins), F.lit(bins - 1)))
-    c1 = scratch.save(boundary(top.withColumn("before", F.lit(0)), "b1").toDF("key", "b1", "before"), f"{name}-1")
-    in1 = top.join(c1, (top.key.eqNullSafe(c1.key)) & (top.b1 == c1.b1)).select(top["*"], "before")
-    c2 = scratch.save(boundary(in1, "b2").toDF("key", "b2", "before").join(c1.select(F.col("key").alias("k"), "b1"), F.expr("key <=> k")).select("key", "b1", "b2", "before"), f"{name}-2")
-    in2 = top.join(c2, (top.key.eqNullSafe(c2.key)) & (top.b1 == c2.b1) & (top.b2 == c2.b2)).select(top["*"], "before")
-    in2 = in2.groupBy("key", "b1", "b2", "s", "tie").agg(F.sum("size").alias("size"), F.max(quota).alias(quota), F.max("before").alias("before"))
-    w = Window.partitionBy("key", "b1", "b2").orderBy("s", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = in2.withColumn("upto", F.col("before") + F.sum("size").over(w)).where(F.col("upto") > F.col(quota))
-    cut = last.groupBy("key").agg(F.min_by(F.struct("s", "tie", (F.col("upto") - F.col("size")).alias("used")), F.struct("s", "tie")).alias("c")).selectExpr("key", "c.s as cut_s", "c.tie as cut_tie", "c.used as used")
-    return scratch.save(cut, f"{name}-3")
-
-
-def mix(spark: SparkSession, documents: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple[float, ...] = WEIGHTS, seed: int = 1, weight: str | None = None, passes: int = 3, bins: int = BINS) -> DataFrame:
+
+def uniform(seed: int, *cols: str):
+    """In (0, 1), the same in every run: 52 bits of a hash of the columns' texts."""
+    text = F.concat_ws("\x1f", F.lit(str(seed)), *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in cols))
+    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(2.0**52)
+
+
+def _cuts(scratch: Scratch, live: DataFrame, quotas: DataFrame, bins: int, fill: int, small) -> tuple[DataFrame, DataFrame]:
+    """(key, cut): the rank (s, tie) of each source's first document that does not fit, null if all do; and (key, tie) of the documents
+    that fill its gap.
+
+    live: (key, size, s, tie), quotas: (key, quota, slack). Rows of equal rank are one unit.
+    """
+    spot = F.least(F.floor(F.col("s") * bins), F.lit(bins - 1))
+    up = Window.partitionBy("key").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = live.groupBy("key", spot.alias("bin")).agg(F.sum("size").alias("words"), F.count("*").alias("rows"))
+    sums = sums.withColumn("upto", F.sum("words").over(up)).withColumn("seen", F.sum("rows").over(up))
+    q = quotas.withColumnRenamed("key", "k")
+    sums = scratch.save(sums.join(small(q), F.expr("key <=> k")).drop("k"), "bins")
+    over = F.when(F.col("upto") > F.col("quota"), F.struct("bin", (F.col("upto") - F.col("words")).alias("before"), (F.col("seen") - F.col("rows")).alias("seen")))
+    first = sums.groupBy("key").agg(F.max("quota").alias("quota"), F.max("slack").alias("slack"), F.min(over).alias("c")).where("c is not null").select("key", "quota", "slack", "c.*")
+    # the bins after the cut's that hold documents enough to fill the gap
+    near = sums.join(small(first.select(F.col("key").alias("k"), F.col("bin").alias("b0"), F.col("seen").alias("n0"))), F.expr("key <=> k and bin >= b0 and (bin <= b0 + 1 or seen - rows <= n0 + %d)" % (4 * fill)))
+    first = scratch.save(first.join(near.groupBy("k").agg(F.max("bin").alias("last")), F.expr("key <=> k")).select(F.col("key").alias("k"), "quota", "slack", "bin", "last", "before"), "edges")
+    rows = live.join(small(first), F.expr("key <=> k")).where(spot.between(F.col("bin"), F.col("last")))
+    units = rows.groupBy("key", "s", "tie").agg(F.sum("size").alias("size"), F.max("quota").alias("quota"), F.max("slack").alias("slack"), F.max("before").alias("before"))
+    order = Window.partitionBy("key").orderBy("s", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    units = scratch.save(units.withColumn("upto", F.col("before") + F.sum("size").over(order)), "edge")
+    cut = units.where("upto > quota").groupBy("key").agg(F.min(F.struct("s", "tie", (F.col("quota") - F.col("upto") + F.col("size")).alias("gap"))).alias("c"))
+    cut = scratch.save(cut.select(F.col("key").alias("k"), F.struct("c.s", "c.tie").alias("cut"), F.col("c.gap").alias("gap")), "cut")
+    after = units.join(small(cut), F.expr("key <=> k")).where(F.struct("s", "tie") >= F.col("cut")).where("size <= gap and gap > slack")
+    after = after.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("s", "tie"))).where(F.col("r") <= fill)
+    lists = after.groupBy("key").agg(F.max("gap").alias("gap"), F.max("slack").alias("slack"), F.array_sort(F.collect_list(F.struct("r", "size", "tie"))).alias("list"))
+    start = F.struct(F.col("gap").alias("left"), F.array().cast("array<int>").alias("got"))
+    step = lambda a, x: F.when((x["size"] <= a["left"]) & (a["left"] > F.col("slack")), F.struct((a["left"] - x["size"]).alias("left"), F.concat(a["got"], F.array(x["r"])).alias("got"))).otherwise(a)
+    picked = lists.select("key", "list", F.aggregate("list", start, step)["got"].alias("got"))
+    picked = picked.select("key", F.explode(F.filter("list", lambda x: F.array_contains("got", x["r"])))).select(F.col("key").alias("k2"), F.col("col.tie").alias("tie2"))
+    return cut.drop("gap"), scratch.save(picked, "filled")
+
+
+def mix(spark: SparkSession, documents: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple[float, ...] = WEIGHTS, seed: int = 1, weight: str | None = None, bins: int = BINS, fill: int = FILL) -> DataFrame:
     """Per document (doc_id, source, text_hash, size, source_size, target, taken, copies); see the module.
 
-    `weight` names a column of inclusion weights (null or negative: 0) that tilts the expected copies within a source; they are
-    scaled to the source's target and cut at `most`. Null texts have size 0 and take nothing, null sources form one source,
-    the last. Equal (doc_id, text) rows share a rank and are taken or left together. An empty table gives an empty mix. Reruns
-    agree.
+    `weight` names a column of inclusion weights instead of the size's digits; they are rounded to an eighth of a power of two, null,
+    not finite or not positive ones count as 0. Null texts have size 0 and take nothing, null sources form one source, the last.
+    Rows equal in doc_id, source and text share a rank and are taken or left together; other ties cannot be. Rows with null doc_id
+    are ranked by their text. Other columns, whatever their names, are ignored. An empty table gives an empty mix. Reruns agree.
+    Texts are counted whole, by the JVM. The table of sources, one row each, is ordered in one task.
     """
     scratch = Scratch(spark, "op5")
-    tilt = F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0)) if weight else F.lit(1.0)
-    base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.md5("text"), F.lit("")).alias("text_hash"), size_of().alias("size"), tilt.alias("w"))
-    base = scratch.save(base, "sizes")
-    targets = scratch.save(source_targets(base, share, most, weights), "targets")
     if weight:
-        mass = base.groupBy("source").agg(F.sum(F.col("size") * F.col("w")).alias("mass"))
-        targets = scratch.save(targets.join(mass.withColumnRenamed("source", "s2"), F.expr("source <=> s2")).drop("s2"), "tilts")
+        given = F.col(weight).cast("double")
+        w = F.when((given > 0) & (given < float("inf")), F.pow(F.lit(2.0), F.round(F.log2(given) * 8) / 8)).otherwise(F.lit(0.0))
     else:
-        targets = targets.withColumn("mass", F.col("source_size").cast("double"))
-    t = targets.withColumnRenamed("source", "key")
-    rows = base.join(F.broadcast(t) if _few(targets) else t, base.source.eqNullSafe(t.key)).drop("key").withColumnRenamed("source", "key")
-    rate = F.when(F.col("mass") > 0, F.least(F.lit(float(most)), F.col("target") * F.col("w") / F.col("mass"))).otherwise(0.0)
-    rows = rows.withColumn("rate", rate).withColumn("whole", F.floor(F.col("rate") + 1e-12)).withColumn("p", F.greatest(F.lit(0.0), F.col("rate") - F.col("whole")))
+        w = F.length(F.bin(size_of())).cast("double")
+    base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.md5("text"), F.lit("")).alias("text_hash"), size_of().alias("size"), w.alias("w"))
+    base = scratch.save(base, "sizes")
+    masses = scratch.save(base.groupBy("source", "w").agg(F.sum("size").alias("words")), "masses")
+    targets = scratch.save(source_targets(masses.select("source", F.col("words").alias("size")), share, most, weights), "targets")
+    rates = scratch.save(copy_rates(masses, targets, float(most)).withColumn("whole", F.floor(F.col("rate") + 1e-12)), "rates")
+    few = rates.limit(100_001).count() <= 100_000  # rows of a source and weight: broadcast if there are few of them, shuffle if not
+    small = F.broadcast if few else (lambda df: df)
+    quotas = rates.groupBy("key").agg(F.greatest(F.lit(0), F.floor(F.max("target") + 0.5) - F.sum(F.col("whole") * F.col("words"))).cast("long").alias("quota"), F.floor(F.max("target") * SLACK).alias("slack"))
+    t = rates.select("key", F.col("w").alias("w2"), "rate", "whole")
+    rows = base.join(small(t), F.expr("source <=> key and w = w2")).drop("source", "w2", "w").withColumn("p", F.greatest(F.lit(0.0), F.col("rate") - F.col("whole")))
+    rows = rows.withColumn("u", uniform(seed, "doc_id", "text_hash")).withColumn("tie", F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), "text_hash"))
     odds = F.col("u") / (1 - F.col("u")) * (1 - F.col("p")) / F.col("p")
-    rows = rows.withColumn("u", uniform(seed, "doc_id", "text_hash")).withColumn("tie", F.struct(F.coalesce("doc_id", F.lit(-(2**63))), "text_hash"))
-    rows = rows.withColumn("s", F.when(F.col("p") > 1e-12, odds / (1 + odds)).otherwise(F.lit(1.0)))
-    rows = scratch.save(rows.drop("u", "w", "mass", "rate"), "ranked")
-    certain = rows.groupBy("key").agg(F.sum(F.col("size") * F.col("whole")).alias("certain"), F.max("target").alias("t")).select("key", F.greatest(F.lit(0), F.floor(F.col("t") + 0.5) - F.col("certain")).cast("long").alias("quota"))
-    quotas = scratch.save(certain, "quotas")
-    live = rows.where("p > 1e-12 and size > 0").select("key", "size", "s", "tie")
-    rules = []
-    for k in range(passes):
-        q = quotas.withColumnRenamed("key", "k")
-        part = live.join(F.broadcast(q) if _few(quotas) else q, F.expr("key <=> k")).drop("k")
-        part = part.where("size <= quota and quota > 0")
-        for r in rules:
-            part = _apply(part, r).where(~F.col("in")).drop("in", "gap")
-        cut = _fill(scratch, part, "quota", f"pass{k}", bins)
-        # sources whose rows all fit have no cut
-        fit = part.join(cut.withColumnRenamed("key", "k"), F.expr("key <=> k"), "left_anti").groupBy("key").agg(F.sum("size").alias("used"))
-        done = cut.select("key", "used", "cut_s", "cut_tie").unionByName(fit, allowMissingColumns=True)
-        rule = scratch.save(q.join(done, F.expr("key <=> k")).selectExpr("key", "quota as most_size", "cut_s", "cut_tie", "used"), f"rule{k}")
-        rules.append(rule)
-        quotas = scratch.save(q.join(rule.select(F.col("key").alias("k2"), "used"), F.expr("k <=> k2"), "left").selectExpr("k as key", "quota - coalesce(used, 0L) as quota"), f"quota{k}")
-    flagged = rows.withColumn("got", F.lit(False))
-    for r in rules:
-        flagged = _apply(flagged, r).withColumn("got", F.col("got") | (F.col("in") & F.expr("p > 1e-12 and size > 0"))).drop("in", "gap")
-    flagged = flagged.withColumn("copies", (F.col("whole") + F.col("got").cast("int")).cast("int"))
-    return flagged.select("doc_id", F.col("key").alias("source"), "text_hash", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies")
-
-
-def _few(table: DataFrame, most: int = 20_000) -> bool:
-    """One row a source: broadcast if there are few of them, shuffle if not."""
-    return table.limit(most + 1).count() <= most
-
-
-def _apply(rows: DataFrame, rule: DataFrame) -> DataFrame:
-    """Mark rows that a pass takes: small enough for its quota and before its cut."""
-    r = rule.select(F.col("key").alias("rk"), F.col("most_size").alias("gap"), F.col("cut_s").alias("rs"), F.col("cut_tie").alias("rt"))
-    out = rows.join(F.broadcast(r) if _few(rule) else r, F.expr("key <=> rk"), "left")
-    inside = F.col("rk").isNotNull() & (F.col("gap") > 0) & (F.col("size") <= F.col("gap")) & (F.col("rs").isNull() | (F.struct("s", "tie") < F.struct(F.col("rs").alias("s"), F.col("rt").alias("tie"))))
-    return out.withColumn("in", inside).drop("rk", "rs", "rt")
+    rows = rows.withColumn("s", F.when((F.col("p") > 1e-12) & (F.col("size") > 0), odds / (1 + odds)))
+    rows = scratch.save(rows.drop("u", "rate", "p"), "ranked")
+    cut, filled = _cuts(scratch, rows.where("s is not null").select("key", "size", "s", "tie"), quotas, bins, fill, small)
+    out = rows.join(small(cut), F.expr("key <=> k"), "left").join(small(filled) if few else filled, F.expr("key <=> k2 and tie = tie2"), "left")
+    got = F.col("s").isNotNull() & (F.col("cut").isNull() | (F.struct("s", "tie") < F.col("cut")) | F.col("tie2").isNotNull())
+    out = out.withColumn("copies", (F.col("whole") + got.cast("int")).cast("int"))
+    t = targets.withColumnRenamed("source", "from")
+    out = out.join(small(t), F.expr("key <=> from")).select("doc_id", F.col("key").alias("source"), "text_hash", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies")
+    scratch.drop("sizes", "masses", "bins", "edges", "edge")
+    return out
 
 
 def apply_mix(documents: DataFrame, mixed: DataFrame) -> DataFrame:
-    """documents with each row repeated as often as the mix takes it."""
-    m = mixed.where("copies > 0").groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.max("copies").alias("__n"))
-    out = documents.join(m, F.expr("doc_id <=> __id and coalesce(md5(text), '') = __hash"))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*documents.columns)
+    """documents with each row repeated as often as the mix takes it. All columns stay, whatever their names; rows equal in doc_id, source
+    and text are taken alike; a row with null doc_id, source or text finds its own row of the mix."""
+    doc, source, text, n, copy = unused(documents.columns, "doc", "from", "hash", "many", "copy")
+    m = mixed.where("copies > 0").groupBy(F.col("doc_id").alias(doc), F.col("source").alias(source), F.col("text_hash").alias(text)).agg(F.max("copies").alias(n))
+    same = documents["doc_id"].cast("long").eqNullSafe(F.col(doc)) & documents["source"].cast("string").eqNullSafe(F.col(source)) & (F.coalesce(F.md5(documents["text"]), F.lit("")) == F.col(text))
+    return documents.join(m, same).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*documents.columns)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mix() of all documents."""
     return mix(spark, read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

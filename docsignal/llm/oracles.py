@@ -27,33 +27,32 @@ c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a), n AS (SELECT a, count
 SELECT c.a AS vec_id, coalesce(n.n, 0) AS n_links, c.component_id, c.a = c.component_id AS kept FROM c LEFT JOIN n ON c.a = n.a"""
 
 
-def _pass(k: int) -> str:
-    quota = "(SELECT source, quota FROM q)" if k == 0 else f"q{k}"
-    return f"""c{k} AS (SELECT l.*, sum(l.size) OVER (PARTITION BY l.source ORDER BY l.s, l.doc_id, l.h) <= z.quota AS yes FROM l{k} l JOIN {quota} z ON l.source IS NOT DISTINCT FROM z.source WHERE l.size <= z.quota AND z.quota > 0),
-y{k} AS (SELECT source, s, doc_id, h, size FROM c{k} WHERE yes),
-q{k + 1} AS (SELECT z.source, z.quota - coalesce((SELECT sum(size) FROM y{k} y WHERE y.source IS NOT DISTINCT FROM z.source), 0) AS quota FROM {quota} z),
-l{k + 1} AS (SELECT l.* FROM l{k} l LEFT JOIN y{k} y ON l.source IS NOT DISTINCT FROM y.source AND l.doc_id = y.doc_id AND l.h = y.h WHERE y.doc_id IS NULL)"""
-
-
 MIXING = rf"""
-WITH b AS (SELECT doc_id, source, coalesce(md5(text), '') AS h, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+WITH RECURSIVE b AS (SELECT doc_id, source, coalesce(md5(text), '') AS h, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM b GROUP BY source),
 w AS (SELECT *, CAST(CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS weight, source_size * 2.0::DOUBLE AS cap FROM per),
 lv AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE)) / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS unit, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS r FROM w),
 f AS (SELECT *, min(CASE WHEN unit * weight <= cap THEN r END) OVER () AS r0 FROM lv),
 g AS (SELECT *, max(CASE WHEN r = r0 THEN unit END) OVER () AS water FROM f),
 t AS (SELECT source, source_size, CASE WHEN r >= r0 THEN least(cap, water * weight) ELSE cap END AS target FROM g),
-rt AS (SELECT b.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN least(2.0::DOUBLE, t.target * 1.0::DOUBLE / CAST(t.source_size AS DOUBLE)) ELSE 0.0::DOUBLE END AS rate FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source),
-pr AS (SELECT *, CAST(floor(rate + 1e-12::DOUBLE) AS BIGINT) AS whole, greatest(0.0::DOUBLE, rate - floor(rate + 1e-12::DOUBLE)) AS p, (CAST(CAST('0x' || substr(md5('1' || chr(31) || CAST(doc_id AS VARCHAR) || chr(31) || h), 1, 13) AS UBIGINT) AS DOUBLE) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM rt),
-od AS (SELECT *, CASE WHEN p > 1e-12::DOUBLE THEN u / (1 - u) * (1 - p) / p END AS odds FROM pr),
-sc AS (SELECT *, CASE WHEN p > 1e-12::DOUBLE THEN odds / (1 + odds) ELSE 1.0::DOUBLE END AS s FROM od),
-q AS (SELECT source, CAST(greatest(0, floor(max(target) + 0.5::DOUBLE) - sum(size * whole)) AS BIGINT) AS quota FROM sc GROUP BY source),
-l0 AS (SELECT source, s, doc_id, h, size FROM sc WHERE p > 1e-12::DOUBLE AND size > 0),
-{_pass(0)},
-{_pass(1)},
-{_pass(2)},
-y AS (SELECT doc_id, h FROM y0 UNION ALL SELECT doc_id, h FROM y1 UNION ALL SELECT doc_id, h FROM y2)
-SELECT sc.doc_id, sc.size, sc.source_size, sc.target, CAST(sc.size * (sc.whole + CASE WHEN y.doc_id IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS taken FROM sc LEFT JOIN y ON sc.doc_id = y.doc_id AND sc.h = y.h"""
+bw AS (SELECT *, CAST(length(bin(size)) AS DOUBLE) AS w FROM b),
+ms AS (SELECT bw.source, bw.w, max(t.target) AS target, CAST(sum(size) AS BIGINT) AS words FROM bw JOIN t ON bw.source IS NOT DISTINCT FROM t.source GROUP BY bw.source, bw.w),
+le AS (SELECT *, (target - 2.0::DOUBLE * coalesce(sum(words) OVER (PARTITION BY source ORDER BY w DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / nullif(sum(w * words) OVER (PARTITION BY source ORDER BY w DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS level FROM ms),
+op AS (SELECT *, max(CASE WHEN level * w <= 2 THEN w END) OVER (PARTITION BY source) AS ow FROM le),
+ol AS (SELECT *, max(CASE WHEN w = ow THEN level END) OVER (PARTITION BY source) AS level0 FROM op),
+ra AS (SELECT source, w, words, target, CASE WHEN NOT target > 0 THEN 0.0::DOUBLE WHEN w <= ow THEN greatest(0.0::DOUBLE, level0 * w) ELSE 2.0::DOUBLE END AS rate FROM ol),
+rw AS (SELECT *, CAST(floor(rate + 1e-12::DOUBLE) AS BIGINT) AS whole FROM ra),
+q AS (SELECT source, CAST(greatest(0, floor(max(target) + 0.5::DOUBLE) - sum(whole * words)) AS BIGINT) AS quota, CAST(floor(max(target) * 0.005::DOUBLE) AS BIGINT) AS slack FROM rw GROUP BY source),
+pr AS (SELECT bw.*, t.source_size, t.target, rw.whole, greatest(0.0::DOUBLE, rw.rate - rw.whole) AS p, (CAST(CAST('0x' || substr(md5('1' || chr(31) || CAST(bw.doc_id AS VARCHAR) || chr(31) || h), 1, 13) AS UBIGINT) AS DOUBLE) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM bw JOIN t ON bw.source IS NOT DISTINCT FROM t.source JOIN rw ON bw.source IS NOT DISTINCT FROM rw.source AND bw.w = rw.w),
+od AS (SELECT *, CASE WHEN p > 1e-12::DOUBLE AND size > 0 THEN u / (1 - u) * (1 - p) / p END AS odds FROM pr),
+l AS (SELECT o.source, o.doc_id, o.h, o.size, q.quota, q.slack, o.odds / (1 + o.odds) AS s FROM od o JOIN q ON o.source IS NOT DISTINCT FROM q.source WHERE o.odds IS NOT NULL),
+cu AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY s, doc_id, h) AS upto FROM l),
+k1 AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY s, doc_id, h) AS n FROM cu WHERE upto > quota),
+gp AS (SELECT source, quota - upto + size AS gap FROM k1 WHERE n = 1),
+ca AS (SELECT k1.*, gp.gap, row_number() OVER (PARTITION BY k1.source ORDER BY s, doc_id, h) AS r FROM k1 JOIN gp ON k1.source IS NOT DISTINCT FROM gp.source WHERE size <= gap AND gap > slack),
+gr AS (SELECT source, CAST(0 AS BIGINT) AS r, CAST(gap AS BIGINT) AS rest, false AS got FROM gp UNION ALL SELECT gr.source, ca.r, CAST(CASE WHEN ca.size <= gr.rest AND gr.rest > ca.slack THEN gr.rest - ca.size ELSE gr.rest END AS BIGINT), ca.size <= gr.rest AND gr.rest > ca.slack FROM gr JOIN ca ON gr.source IS NOT DISTINCT FROM ca.source AND ca.r = gr.r + 1 WHERE ca.r <= 1000),
+y AS (SELECT doc_id, h FROM cu WHERE upto <= quota UNION ALL SELECT ca.doc_id, ca.h FROM ca JOIN gr ON ca.source IS NOT DISTINCT FROM gr.source AND ca.r = gr.r WHERE gr.got)
+SELECT pr.doc_id, pr.size, pr.source_size, pr.target, CAST(pr.size * (pr.whole + CASE WHEN y.doc_id IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS taken FROM pr LEFT JOIN y ON pr.doc_id = y.doc_id AND pr.h = y.h"""
 
 MINHASH = rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({FOLD}, '[^\x20\x09-\x0D]+') AS w FROM documents),

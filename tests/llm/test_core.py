@@ -214,7 +214,7 @@ def truth_shingles(text, k=5):
 def test_shingles_and_signature():
     rng = random.Random(4)
     texts = [" ".join(rng.choice("abCDé") for _ in range(rng.randint(0, 20))) for _ in range(100)] + [None]
-    sets = [minhash.shingle_set(t) for t in texts]
+    sets = [np.unique(minhash.shingles(*buffers([t]))[1]) for t in texts]
     truth = [truth_shingles(t) for t in texts]
     assert [len(s) for s in sets] == [len(t) for t in truth]
     full = [k for k, s in enumerate(sets) if len(s)]
@@ -348,3 +348,17 @@ def test_ranged_probes_read_little():
         for p in (0, 1, 511, 512, 49_999, 20_000, 12_345):
             assert s[p] == values[p]
         assert f.got < 7 * 5 * 100 + 400
+
+
+def test_exact_sets(monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["a", "A", "é", "ß"]) for _ in range(rng.randint(0, 40))) for _ in range(60)] + [None, "", "one", thue_morse(11), thue_morse(11, True), thue_morse(11) + " b"]
+    truth = [truth_shingles(t) for t in texts]
+    for clash in (False, True):
+        if clash:
+            monkeypatch.setattr(minhash, "span_hashes", lambda data, s, e, fold=True: (e - s).astype(np.uint64))
+            monkeypatch.setattr(minhash, "mix64", lambda x: x % np.uint64(7))
+        sets = minhash.exact_sets(pa.array(texts))
+        for a, x in zip(truth, sets):
+            for b, y in zip(truth, sets):
+                assert len(np.intersect1d(x, y)) == len(a & b)
