@@ -1,6 +1,7 @@
 """Functions of the training-data operators without Spark, against plain Python."""
 
 import io
+import collections
 import random
 import re
 import zipfile
@@ -240,22 +241,42 @@ def test_runs_cover_all_windows():
     rng = random.Random(1)
     texts = ["".join(rng.choice("ab ") for _ in range(rng.choice([0, 150, 199, 200, 201, 700]))) for _ in range(20)] + ["x" * 900, "abc" * 300]
     data, off = buffers(texts)
-    doc, at, n, bucket, name, _, _ = suffix_dedup.find_runs(data, off)
+    doc, at, n, bucket, name, _, _, _ = suffix_dedup.find_runs(data, off)
     seen = [0] * len(texts)
     for d, c in zip(doc, n):
         seen[d] += int(c)
     assert seen == [max(0, len(t) - 199) for t in texts]
 
 
-def test_names_are_content():
-    data = np.frombuffer(("q" * 50 + "abcdefghij" * 60).encode(), np.uint8)
-    g, w = suffix_dedup.names(data, True)
-    assert len(g) == len(data) - 39 and len(w) == len(data) - 199
-    for a, k, size in ((g, 40, len(g)), (w, 200, len(w))):
-        by = {}
-        for i in range(size):
-            assert by.setdefault(data[i : i + k].tobytes(), a[i]) == a[i]
-        assert len(set(by.values())) == len(by)
+def test_identifiers_are_content():
+    data = np.frombuffer(("q" * 50 + "abcdefghij" * 60 + thue_morse(9) + thue_morse(9, True)).encode(), np.uint8)
+    p = np.arange(len(data) - 199)
+    for lane in (0, 1):
+        g = suffix_dedup.identifiers(data, lane)
+        w = suffix_dedup.chain(g, p, (40, 80, 120, 160), lane)
+        assert len(g) == len(data) - 39
+        for a, k in ((g, 40), (w, 200)):
+            by = {}
+            for i in range(len(a)):
+                assert by.setdefault(data[i : i + k].tobytes(), a[i]) == a[i]
+            assert len(set(by.values())) == len(by)
+
+
+@pytest.mark.parametrize("pack", [20, 4])
+def test_refinement_equals_counts(monkeypatch, pack):
+    """Buckets of bytes, packed and not, against counting every string."""
+    monkeypatch.setattr(suffix_dedup, "PACK", pack)
+    rng = random.Random(11)
+    base = "".join(rng.choice("abc ") for _ in range(600))
+    for _ in range(12):
+        texts = []
+        for _ in range(rng.randint(1, 6)):
+            a, b = sorted(rng.sample(range(len(base)), 2))
+            texts.append(rng.choice(["", "x", "ab" * 200]) + base[a:b] + rng.choice(["", "yy", base[a : a + 220]]))
+        data, off = buffers(texts)
+        seen = collections.Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
+        want = [i + 200 <= len(t) and seen[t[i : i + 200]] > 1 for t in texts for i in range(len(t))]
+        assert suffix_dedup.repeated_windows(data, off).tolist() == want
 
 
 def test_zip_reader_and_writer():

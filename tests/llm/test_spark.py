@@ -361,9 +361,11 @@ def test_suffix_edits(spark):
     for k in range(40):
         a, b = sorted(rng.sample(range(len(shared)), 2))
         rows.append((k, prose(rng, 20) + shared[a:b] + rng.choice(["", "é", shared[a : a + 210], "ab" * 150, "abcdefg " * 60]) + prose(rng, rng.randint(0, 20)), "en", "s", 1, None))
-    got = suffix_dedup.remove_repeats(spark, spark.createDataFrame(rows, DOCS))
-    got = collections.Counter(tuple(r) for r in got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect())
-    assert got == collections.Counter((r[0], *t) for r, t in zip(rows, suffix_dedup.brute_force([r[1] for r in rows])))
+    truth = collections.Counter((r[0], *t) for r, t in zip(rows, suffix_dedup.brute_force([r[1] for r in rows])))
+    for hot in (suffix_dedup.HOT, 3000, 0):  # by bytes, both ways, by identifiers
+        got = suffix_dedup.remove_repeats(spark, spark.createDataFrame(rows, DOCS), hot)
+        got = collections.Counter(tuple(r) for r in got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect())
+        assert got == truth
 
 
 def test_suffix_long_text_in_pieces(spark, monkeypatch):
