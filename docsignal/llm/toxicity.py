@@ -3,6 +3,10 @@
 Terms of a text are its distinct words and the four-byte beginnings of its longer words, hashed into 2^18 buckets. The machine is
 b + sum w_i + sum over pairs <v_i, v_j>: a pair such as an insult next to the mention of a group can weigh what neither does.
 The pairwise sum is half of (sum v)^2 - sum v^2 by factor, so a text costs its number of terms.
+
+Terms are selected in two steps, so that those that tell only as one of a pair are kept: a machine over the terms that go with the
+label alone is fitted first; terms of which two together go with what it leaves unexplained are added, and the machine is fitted
+again.
 """
 
 from __future__ import annotations
@@ -15,13 +19,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, U64, crc_mod, mix64, plus, read, span_hashes, text_slices, trim, word_spans
+from .common import ALNUM, U64, crc_mod, mix64, plus, read, span_hashes, text_slices, trim, unused, word_spans
 
 BITS, FACTORS, THRESHOLD = 18, 4, 0.7
 #: about so many labelled rows of each label are fitted at most, chosen by a hash of doc_id
 MOST_ROWS = 8000
-#: a bucket is used if LEAST_DOCS fitted documents have it and it goes with the label by a chi-square of LEAST_CHI at least
-LEAST_DOCS, LEAST_CHI = 3, 10.0
+#: a bucket may be used if LEAST_DOCS fitted documents have it; it is if it goes with the label by a chi-square of LEAST_CHI at least,
+#: or if one of its pairs goes with the first machine's errors by PAIR_Z deviations and PAIR_DOCS whole documents at least. Pairs are
+#: sought among the PAIR_TERMS buckets whose documents have the largest errors together
+LEAST_DOCS, LEAST_CHI, PAIR_Z, PAIR_DOCS, PAIR_TERMS = 3, 10.0, 7.0, 6.0, 2048
 
 
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,11 +71,35 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, factors: int = FACTORS, epochs: int = 60, rate: float = 0.3, l2: float = 1e-5, seed: int = 7) -> Machine:
-    """Fit on bucket arrays of documents by AdaGrad over mini-batches; buckets that tell nothing about the label are not used."""
+def paired(rows: list[np.ndarray], error: np.ndarray, most: int = PAIR_TERMS) -> np.ndarray:
+    """Buckets of which some pair occurs together where the errors have one sign."""
+    mass, df = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for i in range(0, len(rows), 500):
+        part, size = np.concatenate(rows[i : i + 500]), [len(r) for r in rows[i : i + 500]]
+        mass += np.bincount(part, np.repeat(error[i : i + 500] ** 2, size), 1 << BITS)
+        df += np.bincount(part, minlength=1 << BITS)
+    # a bucket in nearly all documents pairs with none: its pair is the other bucket
+    mass[(df < PAIR_DOCS) | (df > 0.95 * len(rows))] = 0
+    top = np.sort(np.argsort(-mass, kind="stable")[:most])
+    top = top[mass[top] > 0]
     slot = np.full(1 << BITS, -1, np.int32)
-    prior = float(np.clip((weight * labels).sum() / max(weight.sum(), 1e-9), 1e-4, 1 - 1e-4)) if len(labels) else 0.01
-    b = np.log(prior / (1 - prior))
+    slot[top] = np.arange(len(top))
+    both, spread = np.zeros((len(top), len(top)), np.float32), np.zeros((len(top), len(top)), np.float32)
+    for i in range(0, len(rows), 1000):
+        part = [slot[r] for r in rows[i : i + 1000]]
+        x = np.zeros((len(part), len(top)), np.float32)
+        for k, r in enumerate(part):
+            x[k, r[r >= 0]] = 1
+        e = error[i : i + 1000, None].astype(np.float32)
+        both += (x * e).T @ x
+        spread += (x * (e * e)).T @ x
+    np.fill_diagonal(both, 0)
+    hit = (np.abs(both) >= PAIR_DOCS) & (np.abs(both) >= PAIR_Z * np.sqrt(spread))
+    return top[hit.any(1)]
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, factors: int = FACTORS, epochs: int = 60, rate: float = 0.3, l2: float = 1e-5, seed: int = 7) -> Machine:
+    """Fit on bucket arrays of documents, see the module; with no rows or one label only, a machine that gives the prior."""
     df, with_label = np.zeros(1 << BITS), np.zeros(1 << BITS)
     for i in range(0, len(rows), 500):
         part, y = np.concatenate(rows[i : i + 500]), np.repeat(labels[i : i + 500], [len(r) for r in rows[i : i + 500]])
@@ -77,7 +107,21 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, factors:
         with_label += np.bincount(part, y, 1 << BITS)
     mean = float(labels.mean()) if len(labels) else 0.0
     chi = (with_label - df * mean) ** 2 / np.maximum(df * mean * (1 - mean), 1e-9)
-    used = np.flatnonzero((df >= LEAST_DOCS) & (chi >= LEAST_CHI))
+    alone = np.flatnonzero((df >= LEAST_DOCS) & (chi >= LEAST_CHI))
+    machine = _descend(rows, labels, weight, alone, factors, epochs, rate, l2, seed)
+    if not len(rows) or labels.min() == labels.max():
+        return machine
+    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    more = paired(rows, labels - sigmoid(machine.logits(doc, np.concatenate(rows), len(rows))))
+    used = np.union1d(alone, more)
+    return machine if len(used) == len(alone) else _descend(rows, labels, weight, used, factors, epochs, rate, l2, seed)
+
+
+def _descend(rows: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, used: np.ndarray, factors: int, epochs: int, rate: float, l2: float, seed: int) -> Machine:
+    """AdaGrad over mini-batches for the used buckets."""
+    slot = np.full(1 << BITS, -1, np.int32)
+    prior = float(np.clip((weight * labels).sum() / max(weight.sum(), 1e-9), 1e-4, 1 - 1e-4)) if len(labels) else 0.01
+    b = np.log(prior / (1 - prior))
     slot[used] = np.arange(len(used))
     d = len(used)
     rng = np.random.default_rng(seed)
@@ -129,23 +173,27 @@ def sample_labels(labels: DataFrame, name: str, mod: int, out: int, most: int) -
 
 
 def sampled_documents(documents: DataFrame, sample: DataFrame) -> DataFrame:
-    """(text, label): the sample is bounded, so it is broadcast and documents are scanned once, without a shuffle."""
-    return documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label")
+    """(doc_id, text, label): the sample is bounded, so it is broadcast and documents are scanned once, without a shuffle."""
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")
 
 
 def train(spark: SparkSession, documents: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Machine:
+    """A machine fitted on about `most` labelled rows of each label. Of documents that share a doc_id one is learnt from, the one whose
+    terms come first; unlabelled documents and labels without a document are passed over. Null and empty texts have no terms. With
+    empty tables every text gets one score."""
     sample, share = sample_labels(labels, "toxic", 3, 1, most)
 
     def run(batches):
         for batch in batches:
             out = []
-            for i, j, data, off in text_slices(batch.column(0)):
+            for i, j, data, off in text_slices(batch.column(1)):
                 doc, bucket = distinct(*terms(data, off))
                 cut = np.searchsorted(doc, np.arange(j - i + 1))
                 out += [bucket[a:b].astype("<i4").tobytes() for a, b in zip(cut, cut[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(1).cast(pa.int32())], names=["terms", "label"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), batch.column(2).cast(pa.int32())], names=["doc_id", "terms", "label"])
 
-    got = sampled_documents(documents, sample).mapInArrow(run, "terms binary, label int").collect()
+    rows = sampled_documents(documents, sample).mapInArrow(run, "doc_id long, terms binary, label int")
+    got = rows.groupBy("doc_id").agg(F.min("terms").alias("terms"), F.max("label").alias("label")).collect()  # as many rows as the sample
     got.sort(key=lambda r: (r.label, bytes(r.terms)))
     y = np.array([r.label for r in got], float)
     machine = fit([np.frombuffer(r.terms, "<i4") for r in got], y, np.array([share[r.label] for r in got]))
@@ -155,18 +203,31 @@ def train(spark: SparkSession, documents: DataFrame, labels: DataFrame, most: in
 
 
 def score(spark: SparkSession, documents: DataFrame, machine: Machine) -> DataFrame:
-    """documents with the column toxic_score, from whole texts; a null or empty text gets the score of no terms. All columns stay."""
-    documents = documents.drop("toxic_score")
+    """documents with one more column, the last: toxic_score, from whole texts; underscores are added where that name is taken.
+
+    A null or empty text gets the score of no terms, rows that are repeated or tie get equal scores, an empty table stays empty. All
+    columns stay, whatever their names. A worker holds about 40 bytes for each word of a text beside it.
+    """
+    return scored(spark, documents, "toxic_score", machine, _logits)
+
+
+def _logits(machine: Machine, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    return machine.logits(*terms(data, offsets), len(offsets) - 1)
+
+
+def scored(spark: SparkSession, documents: DataFrame, name: str, model, logits) -> DataFrame:
+    """documents with the column `name`, or that name with underscores: the sigmoid of logits(model, bytes, offsets) of its texts."""
     cols = documents.columns
-    shared = spark.sparkContext.broadcast(machine)  # 2^18 slots and at most as many parameter rows
+    (name,) = unused(cols, name)
+    shared = spark.sparkContext.broadcast(model)
     k = cols.index("text")
 
     def run(batches):
         for batch in batches:
-            z = [shared.value.logits(*terms(data, off), j - i) for i, j, data, off in text_slices(batch.column(k))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sigmoid(np.concatenate(z)) if z else [], pa.float64())], names=[*cols, "toxic_score"])
+            z = [logits(shared.value, data, off) for _, _, data, off in text_slices(batch.column(k))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sigmoid(np.concatenate(z)) if z else [], pa.float64())], names=[*cols, name])
 
-    return documents.mapInArrow(run, plus(documents.schema, ("toxic_score", T.DoubleType())))
+    return documents.mapInArrow(run, plus(documents.schema, (name, T.DoubleType())))
 
 
 def held_out(mod: int, out: int):
@@ -175,6 +236,7 @@ def held_out(mod: int, out: int):
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score() of all documents by a machine that has seen none of the held-out ones."""
     docs = read(spark, sf_dir, "documents")
     machine = train(spark, docs, read(spark, sf_dir, "labels"))
     scored = score(spark, docs.select("doc_id", "text"), machine)

@@ -160,6 +160,39 @@ def test_fm_learns_a_pair():
     assert toxicity.fit([], np.zeros(0), np.zeros(0)).logits(doc, bucket, 4).shape == (4,)
 
 
+@pytest.mark.parametrize("noise", [0, 30])
+def test_fm_learns_terms_without_a_marginal(noise):
+    """Exclusive or: each of two terms is as frequent with either label."""
+    rng = np.random.default_rng(1)
+    rows, y = [], []
+    for _ in range(3000):
+        a, b = rng.integers(0, 2, 2)
+        rows.append(np.array(([1] if a else []) + ([2] if b else []) + [3] + sorted(rng.choice(np.arange(10, 410), noise, replace=False)), np.int64))
+        y.append(float(a != b))
+    y = np.array(y)
+    m = toxicity.fit(rows, y, np.ones(len(y)))
+    assert {1, 2} <= set(np.flatnonzero(m.slot >= 0))
+    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    assert ((m.logits(doc, np.concatenate(rows), len(rows)) > 0) == (y > 0)).mean() > 0.98
+
+
+def test_fm_learns_an_insult_next_to_a_group():
+    """The insult tells something, the group nothing; only both together are toxic."""
+    rng = np.random.default_rng(4)
+    rows, y = [], []
+    for k in range(4000):
+        insult, group, other = rng.random(3) < (0.2, 0.3, 0.3)
+        insult |= group and rng.random() < 0.1
+        toxic = insult and group
+        rows.append(np.array(sorted(({1} if insult else set()) | ({2} if group else set()) | ({3} if other else set()) | set(rng.choice(np.arange(10, 210), 12).tolist())), np.int64))
+        y.append(float(toxic))
+    y = np.array(y)
+    m = toxicity.fit(rows, y, np.ones(len(y)))
+    doc, bucket = np.array([0, 1, 2, 2, 3, 3, 3]), np.array([1, 2, 1, 2, 1, 2, 3])
+    p = toxicity.sigmoid(m.logits(doc, bucket, 4))
+    assert p[2] > 0.7 and p[3] > 0.7 and p[:2].max() < 0.3
+
+
 def test_trees_learn_and_traverse():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 4))
