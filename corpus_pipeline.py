@@ -14,7 +14,8 @@ from docsignal.ship import ship
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that score 0.7 or more."""
     machine = toxicity.train(spark, docs, read(spark, sf_dir, "labels"))
-    return toxicity.score(spark, docs, machine).where(F.col("toxic_score") < toxicity.THRESHOLD).select(*docs.columns)
+    scored = toxicity.score(spark, docs, machine)
+    return scored.where(F.col(scored.columns[-1]) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
