@@ -1,8 +1,9 @@
 """Language id by bit-sliced Bloom filters over n-grams.
 
 Each position of the table holds a mask with one bit a language; an n-gram's mask is the AND of its k positions and names every
-language that has it. A text's n-gram masks are counted by language, the expected false positives are taken off
-(hits = own + (n - own) * fill^k), and the largest corrected count decides.
+language in which it was seen, be it once. A text's n-gram masks are counted by language and the expected false positives are taken
+off (hits = own + (n - own) * fill^k). A second table holds the n-grams that a language has often, relative to its fitted documents;
+the largest sum of both corrected counts decides, so that an n-gram seen by accident weighs half.
 """
 
 from __future__ import annotations
@@ -11,21 +12,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, U64, crc_mod, mix64, plus, read, text_slices
+from .common import LOWER, U64, crc_mod, mix64, plus, read, text_slices, unused
 from .toxicity import held_out
 
 BITS, HASHES, GRAM = 20, 2, 4
 #: at most about so many documents of each language are fitted, chosen by a hash of doc_id
 MOST_ROWS = 2000
-#: an n-gram belongs to a language that has it in LEAST_DOCS documents and no fewer than LEAST_SHARE of its largest rate elsewhere
-LEAST_DOCS, LEAST_SHARE = 3, 0.1
+#: a language has an n-gram often if this share of its fitted documents have it, at least one
+OFTEN = 0.003
+#: a longer text is counted in pieces of so many bytes
+PIECE = 1 << 20
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+_ASCII = _LETTER & (np.arange(256) < 128)
 _FOLD = np.where(_LETTER, LOWER, 0x20).astype(np.uint8)
 
 
@@ -55,42 +59,64 @@ def positions(g: np.ndarray) -> list[np.ndarray]:
 
 @dataclass
 class Filters:
-    """table[slice][position]: the masks of up to 8 languages a slice."""
+    """table[slice][position]: the masks of up to 8 languages a slice; often: the same of the n-grams that a language has often."""
 
     langs: list[str]
     table: np.ndarray
+    often: np.ndarray | None = None
 
-    @property
-    def false_rate(self) -> np.ndarray:
-        fill = [((self.table[k // 8] >> (k % 8)) & 1).mean() for k in range(len(self.langs))]
+    def false_rate(self, table: np.ndarray) -> np.ndarray:
+        fill = [((table[k // 8] >> (k % 8)) & 1).mean() for k in range(len(self.langs))]
         return np.array(fill) ** HASHES
 
-    def counts(self, doc: np.ndarray, g: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Per document: its n-grams, and by language those it has, corrected for false positives."""
-        at, total = positions(g), np.bincount(doc, minlength=n).astype(float)
-        hits = []
-        for part in self.table:
+    def hits(self, table: np.ndarray, doc: np.ndarray, g: np.ndarray, n: int) -> np.ndarray:
+        """Per document and language the n-grams whose mask names it."""
+        at, hits = positions(g), []
+        for part in table:
             mask = part[at[0]]
             for p in at[1:]:
                 mask &= part[p]
             by = np.bincount(doc * 256 + mask, minlength=n * 256).reshape(n, 256)
             hits += [by[:, (np.arange(256) >> k) & 1 > 0].sum(1) for k in range(8)]
-        hits = np.stack(hits[: len(self.langs)], 1)
-        fp = np.minimum(self.false_rate, 0.999)
-        return total, np.maximum((hits - total[:, None] * fp) / (1 - fp), 0)
+        return np.stack(hits[: len(self.langs)], 1)
+
+    def corrected(self, table: np.ndarray, hits: np.ndarray, total: np.ndarray) -> np.ndarray:
+        fp = np.minimum(self.false_rate(table), 0.999)
+        return np.maximum((hits - total[:, None] * fp) / (1 - fp), 0)
+
+    def counts(self, doc: np.ndarray, g: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Per document: its n-grams, and by language those it has, corrected for false positives."""
+        total = np.bincount(doc, minlength=n).astype(float)
+        return total, self.corrected(self.table, self.hits(self.table, doc, g, n), total)
+
+    def decide(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index of the language, share of the n-grams that it has) of each text; of equal sums the first language."""
+        n = len(offsets) - 1
+        tables = [self.table] if self.often is None else [self.table, self.often]
+        total, hits = np.zeros(n), [np.zeros((n, len(self.langs))) for _ in tables]
+        for p in range(0, max(1, len(data)), PIECE) if n == 1 else (0,):
+            part, off = (data[p : p + PIECE + GRAM - 1], np.array([0, min(len(data) - p, PIECE + GRAM - 1)])) if n == 1 else (data, offsets)
+            doc, g = grams(part, off)
+            total += np.bincount(doc, minlength=n)
+            for table, sums in zip(tables, hits, strict=True):
+                sums += self.hits(table, doc, g, n)
+        own = [self.corrected(t, h, total) for t, h in zip(tables, hits, strict=True)]
+        top = sum(own).argmax(1)
+        return top, np.minimum(1.0, own[0][np.arange(n), top] / np.maximum(total, 1))
 
 
 def train(spark: SparkSession, documents: DataFrame, most: int = MOST_ROWS, mod: int = 3, out: int = 1) -> Filters:
     """Filters of the languages in (doc_id, text, lang) rows whose crc32(doc_id as text) modulo `mod` is not `out`.
 
-    Counts are made on the executors; what reaches the driver is the table's positions, at most 2^BITS.
+    Rows with null doc_id, text or lang are not learnt from; repeated rows count each. Counts and masks are made on the executors;
+    what reaches the driver is 2^BITS bytes a slice and table.
     """
     own = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("doc_id"), mod) != out)).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     sizes = {r[0]: r[1] for r in own.groupBy("lang").count().collect()}  # one row a language
     langs = sorted(sizes)
     if not langs:
         return Filters([], np.zeros((1, 1 << BITS), np.uint8))
-    table = np.zeros((-(-len(langs) // 8), 1 << BITS), np.uint8)
+    tables = np.zeros((2, -(-len(langs) // 8), 1 << BITS), np.uint8)
     share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, most / sizes[k])))])
     picked = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
 
@@ -108,27 +134,38 @@ def train(spark: SparkSession, documents: DataFrame, most: int = MOST_ROWS, mod:
 
     counts = picked.select("text", "lang").mapInArrow(run, "lang long, gram long, docs long").groupBy("gram", "lang").agg(F.sum("docs").alias("docs"))
     fitted = {r[0]: r[1] for r in picked.groupBy("lang").count().collect()}
-    rate = F.element_at(F.array(*[F.lit(1.0 / max(1, fitted.get(k, 0))) for k in langs]), (F.col("lang") + 1).cast("int")) * F.col("docs")
-    kept = counts.withColumn("rate", rate).withColumn("top", F.max("rate").over(Window.partitionBy("gram"))).where((F.col("docs") >= LEAST_DOCS) & (F.col("rate") >= LEAST_SHARE * F.col("top")))
+    least = F.element_at(F.array(*[F.lit(max(1, int(np.ceil(OFTEN * fitted.get(k, 0))))) for k in langs]), (F.col("lang") + 1).cast("int"))
 
     def place(batches):
         for batch in batches:
-            lang, gram = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            lang, gram, often = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
             at = positions(gram.astype(np.uint32))
+            level = np.concatenate([np.zeros(len(lang), np.int64), np.ones(int(often.sum()), np.int64)])
+            rows = np.concatenate([np.arange(len(lang)), np.flatnonzero(often)])
             n = len(at)
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(lang // 8, n)), pa.array(np.concatenate(at)), pa.array(np.tile(np.int64(1) << lang % 8, n))], names=["slice", "pos", "mask"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(level, n)), pa.array(np.tile(lang[rows] // 8, n)), pa.array(np.concatenate([p[rows] for p in at])), pa.array(np.tile(np.int64(1) << lang[rows] % 8, n))], names=["level", "slice", "pos", "mask"])
+
+    def packed(key, table):
+        out = np.zeros(1 << BITS, np.uint8)
+        out[table.column("pos").to_numpy()] = table.column("mask").to_numpy()
+        return pa.table({"level": [key[0].as_py()], "slice": [key[1].as_py()], "masks": pa.array([out.tobytes()], pa.binary())})
 
-    slots = kept.select("lang", "gram").mapInArrow(place, "slice long, pos long, mask long").groupBy("slice", "pos").agg(F.bit_or("mask").alias("mask"))
-    for b in slots.toArrow().to_batches():
-        table[b.column(0).to_numpy(), b.column(1).to_numpy()] = b.column(2).to_numpy()
-    return Filters(langs, table)
+    slots = counts.select("lang", "gram", (F.col("docs") >= least).alias("often")).mapInArrow(place, "level long, slice long, pos long, mask long")
+    slots = slots.groupBy("level", "slice", "pos").agg(F.bit_or("mask").alias("mask"))
+    for r in slots.groupBy("level", "slice").applyInArrow(packed, "level long, slice long, masks binary").collect():  # a group has 2^BITS rows at most
+        tables[r.level, r.slice] = np.frombuffer(r.masks, np.uint8)
+    return Filters(langs, *tables)
 
 
 def predict(spark: SparkSession, documents: DataFrame, filters: Filters) -> DataFrame:
-    """documents with lang_pred and lang_score, from whole texts; `und` and 0 for null texts and texts without a letter, and with no
-    language learnt. Of equal counts the first language by code point wins; a text too short for an n-gram gets it with score 0."""
-    documents = documents.drop("lang_pred", "lang_score")
+    """documents with two more columns, the last: lang_pred and lang_score, from whole texts; underscores are added where a name is taken.
+
+    `und` and 0 for null texts and texts without a letter, and with no language learnt. Of equal counts the first language by code
+    point wins; a text too short for an n-gram gets it with score 0. Repeated rows get equal results, an empty table stays empty. All
+    columns stay, whatever their names. Long texts are counted in pieces.
+    """
     cols = documents.columns
+    names = unused(cols, "lang_pred", "lang_score")
     k = cols.index("text")
     shared = spark.sparkContext.broadcast(filters)  # 2^20 bytes for each 8 languages
 
@@ -138,27 +175,26 @@ def predict(spark: SparkSession, documents: DataFrame, filters: Filters) -> Data
             pred, score = [], []
             for i, j, data, off in text_slices(batch.column(k)):
                 n = j - i
-                doc, g = grams(data, off)
-                plain = np.bincount(np.repeat(np.arange(n), np.diff(off)), (_LETTER & (np.arange(256) < 128))[data], n) > 0
+                plain = np.logical_or.reduceat(np.append(_ASCII[data], False), np.minimum(off[:-1], len(data))) & (np.diff(off) > 0)
                 if not f.langs:
                     pred += ["und"] * n
                     score += [0.0] * n
                     continue
-                total, own = f.counts(doc, g, n)
-                top = own.argmax(1)
+                top, share = f.decide(data, off)
                 for d in range(n):
                     if not plain[d] and not any(c.isalpha() for c in data[off[d] : off[d + 1]].tobytes().decode("utf-8", "replace")):
                         pred.append("und")
                         score.append(0.0)
                     else:
                         pred.append(f.langs[top[d]])
-                        score.append(float(min(1.0, own[d, top[d]] / total[d])) if total[d] else 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*cols, "lang_pred", "lang_score"])
+                        score.append(float(share[d]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*cols, *names])
 
-    return documents.mapInArrow(run, plus(documents.schema, ("lang_pred", T.StringType()), ("lang_score", T.DoubleType())))
+    return documents.mapInArrow(run, plus(documents.schema, (names[0], T.StringType()), (names[1], T.DoubleType())))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """predict() of all documents by filters that have seen none of the held-out ones."""
     docs = read(spark, sf_dir, "documents")
     filters = train(spark, docs)
     return predict(spark, docs.select("doc_id", "text"), filters).select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))

@@ -23,6 +23,7 @@ MOST_ROWS = 10_000
 THRESHOLD = 0.3
 NAMES = ["log_bytes", "log_words", "log_lines", "word_len", "word_len_sd", "upper", "digit", "non_ascii", "space", "odd_symbol", "bang", "bar", "end_mark", "other_punct", "caps_words", "symbol_end_words", "distinct_words", "top_word", "same_neighbour", "repeated_lines", "repeated_line_words", "words_a_line", "short_words", "long_words", "newline"]
 LINES = word_class("\n")
+PIECE = 1 << 20
 
 
 def _class(chars: str) -> np.ndarray:
@@ -60,13 +61,16 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """One row of NAMES for each document."""
     n, size = len(offsets) - 1, np.diff(offsets)
     some = np.maximum(size, 1)
-    byte_doc = np.repeat(np.arange(n), size)
-    bits = _BITS[data]
-    by = np.bincount(byte_doc * 1024 + bits, minlength=n * 1024).reshape(n, 1024) if n * 1024 < 1 << 24 else None
-    if by is not None:
-        shares = np.stack([by[:, (np.arange(1024) >> k) & 1 > 0].sum(1) for k in range(len(_SETS))], 1)
-    else:
-        shares = np.stack([np.bincount(byte_doc, (bits >> k) & 1, n) for k in range(len(_SETS))], 1)
+    shares = np.zeros((n, len(_SETS)))
+    # texts together in one piece; a long one alone, in several
+    for p in range(0, max(1, len(data)), PIECE) if n == 1 else (0,):
+        part = data[p : p + PIECE] if n == 1 else data
+        byte_doc = np.repeat(np.arange(n), np.diff(offsets)) if n > 1 else np.zeros(len(part), np.int64)
+        for lo in range(0, n, 4096):  # 1024 counters a text
+            a, b = (offsets[lo], offsets[min(n, lo + 4096)]) if n > 1 else (0, len(part))
+            m = min(n, lo + 4096) - lo
+            by = np.bincount((byte_doc[a:b] - lo) * 1024 + _BITS[part[a:b]], minlength=m * 1024).reshape(m, 1024)
+            shares[lo : lo + m] += np.stack([by[:, (np.arange(1024) >> k) & 1 > 0].sum(1) for k in range(len(_SETS))], 1)
     s, e, doc = word_spans(data, offsets, NOT_SPACE)
     words = np.bincount(doc, minlength=n)
     per = np.maximum(words, 1)

@@ -240,6 +240,38 @@ def test_grams_and_filters():
     assert own[0, 1] == pytest.approx(total[0], rel=1e-3) and own[0, 0] == 0
 
 
+def test_filters_equal_sets(monkeypatch):
+    """Masks name every language that has an n-gram; corrected counts come near the true ones; long texts in pieces give the same."""
+    rng = random.Random(3)
+    langs = [f"l{k:02}" for k in range(11)]
+    vocab = {k: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(30)] for k in langs}
+    text = {k: " ".join(rng.choice(vocab[k]) for _ in range(400)) for k in langs}
+    seen = {k: set(language.grams(*buffers([t]))[1].tolist()) for k, t in text.items()}
+    table = np.zeros((2, 1 << language.BITS), np.uint8)
+    for i, k in enumerate(langs):
+        for at in language.positions(np.array(sorted(seen[k]), np.uint32)):
+            table[i // 8, at] |= 1 << i % 8
+    f = language.Filters(langs, table, table)
+    tests = [text[k][::3] + text[k] for k in langs] + [" ".join(text.values())]
+    data, off = buffers(tests)
+    doc, g = language.grams(data, off)
+    hits = f.hits(table, doc, g, len(tests))
+    true = np.array([[sum(x in seen[k] for x in g[doc == d].tolist()) for k in langs] for d in range(len(tests))])
+    assert (hits >= true).all() and (f.counts(doc, g, len(tests))[1] >= true - 1e-9 - 0.02 * np.bincount(doc)[:, None]).all() and (f.counts(doc, g, len(tests))[1] <= true + 0.02 * np.bincount(doc)[:, None]).all()
+    assert f.decide(data, off)[0][: len(langs)].tolist() == list(range(len(langs)))
+    whole = f.decide(*buffers(tests[-1:]))
+    monkeypatch.setattr(language, "PIECE", 100)
+    again = f.decide(*buffers(tests[-1:]))
+    assert whole[0] == again[0] and whole[1] == pytest.approx(again[1])
+
+
+def test_statistics_in_pieces(monkeypatch):
+    texts = ["Some Words, and more! " * 50, "x"]
+    want = quality.statistics(*buffers(texts[:1]))
+    monkeypatch.setattr(quality, "PIECE", 64)
+    assert np.allclose(want, quality.statistics(*buffers(texts[:1]))) and np.allclose(want[0], quality.statistics(*buffers(texts))[0])
+
+
 def truth_shingles(text, k=5):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()

@@ -4,6 +4,7 @@ import collections
 import os
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -413,7 +414,9 @@ def test_toxicity(spark, none):
     df = spark.createDataFrame(rows + [(900, None, None, None, None, None), (901, "", None, None, None, None)], DOCS).withColumn("toxic_score", F.lit(9.0))
     labels = spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(400)] + [(3, 0, 5), (None, 1, 1), (4, None, None)], "doc_id long, quality int, toxic int")
     m = toxicity.train(spark, df, labels)
-    out = {r.doc_id: r.toxic_score for r in toxicity.score(spark, df, m).collect()}
+    scored = toxicity.score(spark, df, m)
+    assert scored.columns == [*df.columns, "toxic_score_"] and {r.toxic_score for r in scored.select("toxic_score").distinct().collect()} == {9.0}
+    out = {r.doc_id: r.toxic_score_ for r in scored.collect()}
     assert min(v for k, v in out.items() if k % 4 == 0 and k < 400) > 0.7 > max(v for k, v in out.items() if k % 4 and k < 400)
     assert 0 <= out[900] == out[901] < 0.7
     assert toxicity.score(spark, none, m).count() == 0
@@ -450,6 +453,27 @@ def test_language(spark, none):
     assert {r.lang_pred for r in language.predict(spark, df, empty).collect()} == {"und"}
 
 
+def test_scores_of_repeated_rows_ties_and_clashes(spark):
+    """One labelled id on thousands of rows is learnt from once; equal texts score alike; a caller's columns stay."""
+    rng = random.Random(3)
+    rows = [(k, prose(rng, 30) + (" gromble" if k % 4 == 0 else ""), "en" if k % 2 else "xx") for k in range(200)]
+    hot = next(k for k in range(200) if zlib.crc32(str(k).encode()) % 3 != 1)
+    rows += [(hot, prose(rng, 5) + f" {k}", "en") for k in range(3000)] + [(1000 + k, rows[k % 7][1], None) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for name in ("toxic_score", "quality_score", "stats", "lang_pred", "lang_score", "label", "terms"):
+        df = df.withColumn(name, F.lit("mine"))
+    labels = spark.createDataFrame([(k, int(k % 4 > 0), int(k % 4 == 0)) for k in range(200)] * 2, "doc_id long, quality int, toxic int")
+    sample, _ = toxicity.sample_labels(labels, "toxic", 3, 1, 1000)
+    assert toxicity.sampled_documents(df, sample).count() > 3000
+    for out in (toxicity.score(spark, df, toxicity.train(spark, df, labels)), quality.score(spark, df, quality.train(spark, df, labels)), language.predict(spark, df, language.train(spark, df))):
+        assert out.columns[: len(df.columns)] == df.columns and len(out.columns) - len(df.columns) in (1, 2)
+        got = out.collect()
+        assert len(got) == len(rows) and all(r.toxic_score == r.lang_pred == r.stats == "mine" for r in got)
+        by = {}
+        for r in got:
+            assert by.setdefault(r.text, tuple(r)[len(df.columns) :]) == tuple(r)[len(df.columns) :]
+
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -476,3 +500,77 @@ def test_pipeline(spark):
     assert {r.doc_id for r in kept[2].collect()} == {r.doc_id for r in b} - gone
     again = sorted(tuple(r) for r in p.run(spark, SF).collect())
     assert again == sorted(tuple(r) for r in tok)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_toxicity_query_equals_brute_force(spark):
+    """op2 against loops over words and pairs of words."""
+    from docsignal.llm import common
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    m = toxicity.train(spark, docs, labels)
+    got = {r.doc_id: r for r in toxicity.op2(spark, SF).collect()}
+
+    def bucket(word, prefix=False):
+        data = np.frombuffer(word, np.uint8)
+        h = common.span_hashes(data, np.array([0]), np.array([len(data)]))
+        return int((common.mix64(h ^ np.uint64(0x5BF03635)) if prefix else h)[0]) >> (64 - toxicity.BITS)
+
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        words = re.findall(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (r.text or "").encode())
+        have = sorted({b for w in set(words) for b in [bucket(w)] + ([bucket(w[:4], True)] if len(w) >= 6 else []) if m.slot[b] >= 0})
+        z = m.b + sum(m.w[m.slot[b]] for b in have) + sum(float(m.v[m.slot[a]] @ m.v[m.slot[b]]) for i, a in enumerate(have) for b in have[:i])
+        x = got[r.doc_id]
+        assert x.score == pytest.approx(1 / (1 + np.exp(-max(-40, min(40, z)))), abs=1e-9)
+        assert x.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and x.predicted == int(x.score >= 0.7)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_quality_query_equals_brute_force(spark):
+    """op8 against trees walked node by node over the statistics of each text alone."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    f = quality.train(spark, docs, labels)
+    got = {r.doc_id: r for r in quality.op8(spark, SF).collect()}
+    inner = f.feature.shape[1]
+    for r in docs.collect():
+        raw = np.frombuffer((r.text or "").encode(), np.uint8)
+        stats = quality.statistics(raw, np.array([0, len(raw)]))[0]
+        z = f.base
+        for t in range(len(f.feature)):
+            at = 0
+            while at < inner:
+                at = 2 * at + (2 if stats[f.feature[t, at]] > f.threshold[t, at] else 1)
+            z += f.leaf[t, at - inner]
+        x = got[r.doc_id]
+        assert x.score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+        assert x.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and x.predicted == int(x.score >= 0.3)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_language_query_equals_brute_force(spark):
+    """op9 against sets of the n-grams of the fitted documents, without filters."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    got = {r.doc_id: r for r in language.op9(spark, SF).collect()}
+
+    def grams(text):
+        b = re.sub(rb"[^A-Za-z\x80-\xff]", b" ", (text or "").encode()).lower()
+        return [b[k : k + 4] for k in range(len(b) - 3) if b"  " not in b[k : k + 4]]
+
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in rows}
+    fitted = [r for r in rows if r.lang is not None and r.text is not None and not held[r.doc_id]]
+    langs = sorted({r.lang for r in fitted})
+    df = {k: collections.Counter(g for r in fitted if r.lang == k for g in set(grams(r.text))) for k in langs}
+    least = {k: max(1, int(np.ceil(language.OFTEN * sum(r.lang == k for r in fitted)))) for k in langs}
+    same = n = 0
+    for r in rows:
+        x, g = got[r.doc_id], grams(r.text)
+        assert x.held_out == held[r.doc_id] and (x.lang_pred in langs or x.lang_pred == "und")
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (x.lang_pred, x.score) == ("und", 0.0)
+        elif g:
+            want = max(langs, key=lambda k: sum((y in df[k]) + (df[k][y] >= least[k]) for y in g))
+            n, same = n + 1, same + (want == x.lang_pred)
+            assert x.score == pytest.approx(sum(y in df[x.lang_pred] for y in g) / len(g), abs=0.02)
+    assert n > 100 and same >= 0.99 * n
