@@ -24,7 +24,7 @@ from .common import Scratch, read, unused
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2
 #: a source's cut is sought in one of BINS bins; FILL documents after it are tried for a gap of over SLACK of the target
-BINS, FILL, SLACK = 4096, 1000, 0.005
+BINS, FILL, SLACK = 1024, 1000, 0.005
 WORD = r"[^\x20\x09-\x0D]+"
 
 
