@@ -1,31 +1,41 @@
 """Embedding near-dedup over robust-pruned flat graphs.
 
-Vectors of one label are dealt to the OVERLAP nearest of a bounded number of cells, so shards overlap. Each shard builds a graph:
-candidates of a vector are pruned robustly (a candidate is dropped if a kept neighbour is closer to it by the factor ALPHA), and
-reverse edges are added and pruned again. A vector's adjacency lists from all its shards are united. Then every shard is searched
-over the united lists, restricted to its members: greedily from medoids until the beam is stable, and where the beam holds
-vectors within the range, on through their neighbours until no more are found. Every link is verified in double precision.
-
-Equal vectors are one node with a count. A pair of nodes that shares several shards is counted only in the first of them. Shards
-over MOST_SHARD nodes, such as dense groups that no cell splits, are compared exactly in pairs of blocks instead. recall() audits
-the links against brute force.
+Vectors of one label are dealt to the nearest of its cells, several each, so shards overlap. A cell that is too large is split
+again, each by centroids of its own bounded sample, so the number of cells follows the data. Centroids within the link distance of
+each other count as one: a dense group is not cut, and a cell that gives one centroid only is dense.
+
+Each shard builds a graph: candidates of a vector are pruned robustly (a candidate is dropped if a kept neighbour is closer to it
+by the factor ALPHA), and reverse edges are added and pruned again. A vector's adjacency lists from all its shards are united. Then
+every shard is searched over the united lists, restricted to its members: greedily from medoids until the beam is stable, and where
+the beam holds vectors within the range, on through their neighbours until no more are found. A dense cell of more than MOST_SHARD
+nodes is dealt to blocks with a graph each, and every member is searched in the graph of every block. Every link is verified in
+double precision.
+
+Equal vectors are one node with a count. A pair of nodes that shares several shards is counted only in the first of them. recall()
+audits the links against brute force.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, read
+from .common import U64, Scratch, components, mix64, read
 
 LINK = 0.93
-#: cells hold about CELL nodes; no more than MOST_CELLS are fitted, on at most SAMPLE vectors
-CELL, MOST_CELLS, SAMPLE, OVERLAP = 400, 4096, 60_000, 3
+#: a cell is to hold about CELL nodes; it is split into FAN cells at most, by PER_CENTROID sampled nodes for each
+CELL, FAN, PER_CENTROID = 400, 128, 48
+#: a node goes to so many cells at the first split and at later ones, and to no more than half of them; LEVELS splits give FAN ** LEVELS cells
+OVERLAP, LATER, LEVELS = 3, 2, 5
 MOST_SHARD, DEGREE, ALPHA, BEAM, POOL = 3000, 24, 1.2, 24, 64
 #: members that a step of the search goes on from
 EXPAND = 8
+#: nodes that one task deals to cells at once
+CHUNK = 4096
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -47,6 +57,15 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
     return c
 
 
+def apart(c: np.ndarray, link: float) -> np.ndarray:
+    """Centroids without those within the link distance of an earlier one."""
+    kept: list[int] = []
+    for i in range(len(c)):
+        if not kept or (c[kept] @ c[i]).max() < link:
+            kept.append(i)
+    return c[kept]
+
+
 def robust_prune(x: np.ndarray, point: int, pool: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
     """Neighbours of point from the pool: nearest first, without those that a chosen one is closer to by the factor alpha."""
     pool = pool[pool != point]
@@ -87,9 +106,12 @@ def build_graph(x: np.ndarray) -> list[np.ndarray]:
     return adj
 
 
-def range_search(x: np.ndarray, adj: list[np.ndarray], link: float = LINK, beam: int = BEAM, seeds: int = 4, batch: int = 256) -> np.ndarray:
-    """Pairs (i, j), i < j, of members within the range, by greedy search from medoids that goes on through vectors in range."""
-    n = len(x)
+def range_search(x: np.ndarray, adj: list[np.ndarray], link: float = LINK, others: np.ndarray | None = None, beam: int = BEAM, seeds: int = 4, batch: int = 256) -> np.ndarray:
+    """Pairs (i, j), i < j, of members within the range, by greedy search from medoids that goes on through vectors in range; with
+    `others`, pairs (i, j) of other vectors i and members j."""
+    n, queries = len(x), x if others is None else others
+    if not n:
+        return np.zeros((0, 2), np.int64)
     width = max(1, max((len(a) for a in adj), default=1))
     table = np.full((n, width), n)
     for p, a in enumerate(adj):
@@ -101,11 +123,11 @@ def range_search(x: np.ndarray, adj: list[np.ndarray], link: float = LINK, beam:
         start.append(int(far.argmin()))
         far = np.maximum(far, x @ x[start[-1]])
     found = []
-    for i in range(0, n, batch):
-        q = np.arange(i, min(i + batch, n))
+    for i in range(0, len(queries), batch):
+        q = np.arange(i, min(i + batch, len(queries)))
         m = len(q)
         sim = np.full((m, n + 1), -2.0)  # of visited members
-        sim[:, start] = x[q] @ x[start].T
+        sim[:, start] = queries[q] @ x[start].T
         seen = np.zeros((m, n + 1), bool)
         seen[:, start] = True
         seen[:, n] = True
@@ -130,16 +152,12 @@ def range_search(x: np.ndarray, adj: list[np.ndarray], link: float = LINK, beam:
             new = ~seen[r, near]
             rr, nn = r[new], near[new]
             seen[rr, nn] = True
-            sim[rr, nn] = np.einsum("ij,ij->i", x[q[rr]], x[nn])
+            sim[rr, nn] = np.einsum("ij,ij->i", queries[q[rr]], x[nn])
         a, b = np.nonzero(sim[:, :n] >= link - 1e-6)
         a = q[a]
-        found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b])
+        found.append(np.stack([a, b], 1) if others is not None else np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b])
     pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-    return pairs[verify(x, pairs, link)]
-
-
-def verify(x: np.ndarray, pairs: np.ndarray, link: float) -> np.ndarray:
-    return np.einsum("ij,ij->i", x[pairs[:, 0]], x[pairs[:, 1]]) >= link
+    return pairs[np.einsum("ij,ij->i", queries[pairs[:, 0]], x[pairs[:, 1]]) >= link]
 
 
 def forest(pairs: np.ndarray, n: int) -> np.ndarray:
@@ -156,177 +174,246 @@ def forest(pairs: np.ndarray, n: int) -> np.ndarray:
     return np.stack([up[i], i], 1)
 
 
+def first_common(cells: np.ndarray, a: np.ndarray, b: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+    """The least cell that rows a and b of the table of cells (short rows filled with their last cell) share, for each pair."""
+    out = np.zeros(len(a), np.int64)
+    for i in range(0, len(a), step):
+        x, y = cells[a[i : i + step]], cells[b[i : i + step]]
+        shared = (x[:, :, None] == y[:, None, :]).any(2)
+        out[i : i + step] = np.where(shared, x, np.iinfo(np.int64).max).min(1)
+    return out
+
+
 def _matrix(column) -> np.ndarray:
     a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return a.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(a), -1)
 
 
-def nodes(embeddings: DataFrame) -> DataFrame:
-    """(node, label, vec, many): one row for each distinct usable vector of a label; node is its least vec_id."""
+def _cells(column) -> np.ndarray:
+    """Lists of cells as a table, short ones filled with their last."""
+    lists = column.to_pylist()
+    width = max(map(len, lists), default=1)
+    return np.array([x + x[-1:] * (width - len(x)) for x in lists], np.int64).reshape(len(lists), width)
+
+
+def usable_rows(embeddings: DataFrame) -> DataFrame:
+    """(vec_id, label, dim, key, vec) of each row that can link: key names the vector's components, -0.0 as 0.0, by 128 bits."""
     v = F.transform("embedding", lambda x: x.cast("double"))
     good = F.expr("size(vec) > 0 and forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(vec, x -> x <> 0)")
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "label", v.alias("vec")).where(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.col("vec").isNotNull()).where(good)
-    rows = rows.withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0)))  # -0.0 is 0.0
-    return rows.groupBy("label", "vec").agg(F.min("vec_id").alias("node"), F.count("*").alias("many"))
-
-
-def fit_cells(points: DataFrame, cell: int = CELL, sample: int = SAMPLE, most: int = MOST_CELLS) -> dict:
-    """Centroids of the labels (and dimensions) with more than one cell's nodes, on a bounded sample chosen by a hash of the node."""
-    big = points.groupBy("label", F.size("vec").alias("dim")).count().where(F.col("count") > 2 * cell)
-    big = big.orderBy(F.desc("count"), "label", "dim").limit(most).collect()
-    total = sum(r["count"] for r in big)
-    if not big:
-        return {}
-    share = min(1.0, sample / total)
-    pick = points.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    per: dict = {}
-    for r in pick.select("label", "vec", "node").orderBy("node").limit(2 * sample).toLocalIterator():
-        per.setdefault((r.label, len(r.vec)), []).append(r.vec)
-    out = {}
-    for r in big:
-        x = per.get((r.label, r.dim), [])
-        k = min(-(-r["count"] // cell), max(1, most * r["count"] // total), len(x))
-        if k > 1:
-            out[r.label, r.dim] = kmeans(unit(np.array(x)), k)
-    return out
+    rows = rows.select("vec_id", "label", F.size("vec").alias("dim"), F.transform("vec", lambda x: x + F.lit(0.0)).alias("vec"))
+
+    def run(batches):
+        for batch in batches:
+            vec, dims = batch.column(3), batch.column(2).to_numpy()
+            flat, at = vec.flatten().to_numpy(zero_copy_only=False), np.cumsum(dims) - dims
+            keys = [hashlib.blake2b(flat[a : a + n].tobytes(), digest_size=16).digest() for a, n in zip(at.tolist(), dims.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(keys, pa.binary()), vec], names=["vec_id", "label", "dim", "key", "vec"])
+
+    return rows.mapInArrow(run, f"vec_id long, label {rows.schema['label'].dataType.simpleString()}, dim int, key binary, vec array<double>")
+
+
+CELL_KEY = ["label", "dim", "cell"]
+
+
+def split(scratch: Scratch, held: DataFrame, big: DataFrame, level: int, link: float, cell: int, overlap: int) -> tuple[DataFrame, DataFrame]:
+    """Of the members held (label, dim, cell, node, vec) of the cells big (label, dim, cell, count): (members of the cells they are split
+    into, cells that are dense and stay)."""
+    fan = F.least(F.lit(FAN), F.ceil(F.col("count") / cell))
+    want = big.withColumn("fan", fan).select(*[F.col(c).alias(f"b_{c}") for c in CELL_KEY], "count", "fan")
+    on = F.expr(" and ".join(f"{c} = b_{c}" for c in CELL_KEY))
+    mine = held.join(want, on).drop(*[f"b_{c}" for c in CELL_KEY])
+    share = F.col("fan") * PER_CENTROID / F.col("count")
+    sample = mine.where(F.pmod(F.xxhash64("node", F.lit(level)), F.lit(1 << 20)) < share * (1 << 20))
+    label = held.schema["label"].dataType.simpleString()
+
+    def centroids(key, table):
+        order = np.argsort(table.column("node").to_numpy())
+        x = unit(_matrix(table.column("vec").take(pa.array(order))))
+        c = apart(kmeans(x, min(int(table.column("fan")[0].as_py()), len(x))), link)
+        return pa.table({"label": table.column("label").slice(0, 1), "dim": pa.array([key[1].as_py()], pa.int32()), "cell": pa.array([key[2].as_py()], pa.int64()), "n": pa.array([len(c)], pa.int64()), "flat": pa.array([c.ravel()], pa.list_(pa.float64()))})
+
+    found = scratch.save(sample.groupBy(*CELL_KEY).applyInArrow(centroids, f"label {label}, dim int, cell long, n long, flat array<double>"), f"centroids{level}")
+    dense = found.where("n < 2").select(*CELL_KEY)
+    # a part of a cell's members comes with one copy of its centroids
+    many = found.where("n > 1").join(want, on).drop(*[f"b_{c}" for c in CELL_KEY]).withColumn("parts", F.ceil(F.col("count") / CHUNK).cast("int"))
+    live = mine.join(many.select(*[F.col(c).alias(f"b_{c}") for c in CELL_KEY], "parts"), on).drop(*[f"b_{c}" for c in CELL_KEY])
+    rows = live.select(*CELL_KEY, F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node", "vec")
+    rows = rows.union(many.select(*CELL_KEY, F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.lit(None).cast("long").alias("node"), F.col("flat").alias("vec")))
+
+    def assign(key, table):
+        ids = table.column("node").combine_chunks()
+        is_node = ids.is_valid().to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(is_node)
+        if not len(at):
+            return table.slice(0, 0).select([*CELL_KEY, "node", "vec"])
+        c = np.array(table.column("vec")[int(np.flatnonzero(~is_node)[0])].as_py()).reshape(-1, key[1].as_py())
+        here = table.take(pa.array(at))
+        near = np.argsort(-(unit(_matrix(here.column("vec"))) @ c.T), axis=1, kind="stable")[:, : max(1, min(overlap, len(c) // 2))]
+        take = pa.array(np.repeat(np.arange(len(at)), near.shape[1]))
+        sub = mix64(np.full(near.size, key[2].as_py(), np.int64).view(U64) * U64(31) + near.ravel().astype(U64) + U64(1)).view(np.int64)
+        out = here.take(take)
+        return pa.table({"label": out.column("label"), "dim": out.column("dim"), "cell": pa.array(sub), "node": out.column("node"), "vec": out.column("vec")})
+
+    dealt = rows.groupBy(*CELL_KEY, "part").applyInArrow(assign, f"label {label}, dim int, cell long, node long, vec array<double>")
+    return dealt, dense
+
+
+def deal(scratch: Scratch, points: DataFrame, link: float, cell: int, overlap: int, most_shard: int) -> tuple[DataFrame, DataFrame]:
+    """(members of cells (label, dim, cell, node, vec), counts of the dense cells over most_shard (label, dim, cell, count)).
+
+    Labels are the first cells. A table is written for each level; there are as many as the logarithm of the largest label.
+    """
+    open_ = points.select("label", "dim", F.lit(0).cast("long").alias("cell"), "node", "vec")
+    done, large = None, None
+    for level in range(LEVELS):
+        counts = scratch.save(open_.groupBy(*CELL_KEY).count(), f"counts{level}")
+        big = counts.where(F.col("count") > (2 * cell if level == 0 else most_shard))
+        if not big.limit(1).count():
+            break
+        dealt, dense = split(scratch, open_, big, level, link, cell, overlap if level == 0 else min(LATER, overlap))
+        dealt = scratch.save(dealt.distinct() if level else dealt, f"level{level}")
+        stay = open_.join(big.join(dense, CELL_KEY, "left_anti").select(*CELL_KEY), CELL_KEY, "left_anti").select(*open_.columns)
+        done = stay if done is None else done.union(stay)
+        more = counts.join(dense, CELL_KEY, "left_semi").where(F.col("count") > most_shard)
+        large = more if large is None else large.union(more)
+        open_ = dealt
+    else:
+        counts = scratch.save(open_.groupBy(*CELL_KEY).count(), "counts-last")
+        more = counts.where(F.col("count") > most_shard)
+        large = large.union(more)
+    done = open_ if done is None else done.union(open_)
+    return done, scratch.save(large if large is not None else counts.where("false"), "large")
+
+
+LINKS = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("root", pa.int64())])
+
+
+def _links(ids: np.ndarray, many: np.ndarray, cells: np.ndarray, cell: int, pairs: np.ndarray) -> pa.Table:
+    """Link counts of the pairs whose first common cell this is, and a forest that joins all."""
+    own = pairs[first_common(cells, pairs[:, 0], pairs[:, 1]) == cell]
+    n = np.bincount(own[:, 0], many[own[:, 1]], len(ids)) + np.bincount(own[:, 1], many[own[:, 0]], len(ids))
+    edge, some = forest(pairs, len(ids)), np.flatnonzero(n)
+    return pa.Table.from_arrays([pa.array(np.concatenate([ids[some], ids[edge[:, 1]]])), pa.array(np.concatenate([n[some].astype(np.int64), np.zeros(len(edge), np.int64)])), pa.array(np.concatenate([ids[some], ids[edge[:, 0]]]))], schema=LINKS)
+
+
+def _table(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """(ids, counts, cells, unit vectors, adjacency within the table) of the rows, which come in the order of their ids."""
+    ids = table.column("node").to_numpy()
+    near = table.column("near").combine_chunks()
+    flat, size = near.flatten().to_numpy(zero_copy_only=False), near.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
+    inside = ids[at] == flat
+    owner = np.repeat(np.arange(len(ids)), size)[inside]
+    adj = np.split(at[inside], np.searchsorted(owner, np.arange(1, len(ids))))
+    return ids, table.column("many").to_numpy(), _cells(table.column("cells")), unit(_matrix(table.column("vec"))), adj
 
 
 def near_duplicates(spark: SparkSession, embeddings: DataFrame, link: float = LINK, overlap: int = OVERLAP, most_shard: int = MOST_SHARD, cell: int = CELL) -> DataFrame:
     """Per row of embeddings (vec_id, n_links, component_id, kept).
 
     Only vectors with equal labels, both not null, and equal dimensions link. Vectors that are null, empty, zero or hold null or
-    non-finite components, and rows with null vec_id, link with nothing: n_links 0 and their own vec_id as component_id. Rows with one vec_id repeated share their
-    nodes' component; their links count once for each row. Other columns are ignored.
+    non-finite components, and rows with null vec_id, link with nothing: n_links 0 and their own vec_id as component_id. Equal
+    vectors link with each other. Rows with one vec_id repeated share their nodes' component; their links count once for each row.
+    Other columns, whatever their names, are ignored; an empty table gives an empty result. The links found are true ones, but the
+    search may miss some: see recall().
     """
     scratch = Scratch(spark, "op4")
-    points = scratch.save(nodes(embeddings), "nodes")
-    cells = spark.sparkContext.broadcast(fit_cells(points, cell))  # at most MOST_CELLS centroids
-
-    def assign(batches):
-        for batch in batches:
-            labels, vecs = batch.column(1).to_pylist(), batch.column(2)
-            dims = np.diff(vecs.offsets.to_numpy())
-            lists: list = [None] * len(labels)
-            for key in set(zip(labels, dims.tolist(), strict=True)):
-                rows = np.array([i for i in range(len(labels)) if labels[i] == key[0] and dims[i] == key[1]])
-                c = cells.value.get(key)
-                if c is None:
-                    near = np.zeros((len(rows), 1), np.int64)
-                else:
-                    near = np.argsort(-(unit(_matrix(vecs.take(pa.array(rows)))) @ c.T), axis=1, kind="stable")[:, :overlap]
-                for i, x in zip(rows, np.sort(near, 1), strict=True):
-                    lists[i] = x
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), vecs, batch.column(3), pa.array(lists, pa.list_(pa.int64()))], names=["node", "label", "vec", "many", "cells"])
-
-    label_type = points.schema["label"].dataType.simpleString()
-    member = f"node long, label {label_type}, vec array<double>, many long, cells array<long>"
-    dealt = scratch.save(points.select("node", "label", "vec", "many").mapInArrow(assign, member), "dealt")
-    shards = dealt.select("*", F.explode("cells").alias("cell"), F.size("vec").alias("dim"))
-    large = scratch.save(shards.groupBy("label", "dim", "cell").count().where(F.col("count") > most_shard).select(F.col("label").alias("l"), F.col("dim").alias("d"), F.col("cell").alias("c"), "count"), "large")
-    on = F.expr("label = l and dim = d and cell = c")
-    usual = shards.join(F.broadcast(large) if large.limit(10_001).count() <= 10_000 else large, on, "left_anti")
+    rows = scratch.save(usable_rows(embeddings), "rows")
+    points = rows.groupBy("label", "dim", "key").agg(F.min("vec_id").alias("node"), F.count("*").alias("many"), F.first("vec").alias("vec"))
+    points = scratch.save(points, "nodes")
+    members, large = deal(scratch, points, link, cell, overlap, most_shard)
+    members = members.select(*CELL_KEY, "node", "vec")
+    lists = members.groupBy("node").agg(F.array_sort(F.collect_set("cell")).alias("cells")).select(F.col("node").alias("c_node"), "cells")
+    info = points.select(F.col("node").alias("i_node"), "many").join(lists, F.expr("i_node = c_node")).drop("c_node")
+    on = F.expr(" and ".join(f"{c} = b_{c}" for c in CELL_KEY))
+    blocks = large.select(*[F.col(c).alias(f"b_{c}") for c in CELL_KEY], F.ceil(F.col("count") / max(1, most_shard // 2)).cast("int").alias("parts"))
+    shards = members.join(F.broadcast(blocks) if blocks.limit(10_001).count() <= 10_000 else blocks, on, "left").drop(*[f"b_{c}" for c in CELL_KEY])
+    shards = shards.select(*CELL_KEY, F.coalesce("parts", F.lit(1)).alias("parts"), "node", "vec")
+    shards = shards.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    shards = scratch.save(shards.join(info, F.expr("node = i_node")).drop("i_node"), "dealt")
 
     def graph(table):
-        adj = build_graph(unit(_matrix(table.column("vec"))))
         ids = table.column("node").to_numpy()
-        return pa.table({"node": pa.array(ids), "near": pa.array([ids[a] for a in adj], pa.list_(pa.int64()))})
-
-    lists = usual.groupBy("label", "dim", "cell").applyInArrow(graph, "node long, near array<long>")
-    united = scratch.save(lists.select("node", F.explode_outer("near").alias("x")).groupBy("node").agg(F.collect_set("x").alias("near")).withColumnRenamed("node", "g"), "adjacency")
+        order = np.argsort(ids)
+        ids = ids[order]
+        adj = build_graph(unit(_matrix(table.column("vec").take(pa.array(order)))))
+        return pa.table({"g": pa.array(ids), "near": pa.array([ids[a] for a in adj], pa.list_(pa.int64()))})
 
-    def count(x, pairs, cell, cells, many):
-        """Links of pairs whose first common cell is this one."""
-        mine = np.array([min(set(cells[a]) & set(cells[b])) == cell for a, b in pairs], bool) if len(pairs) else np.zeros(0, bool)
-        pairs = pairs[mine]
-        return np.bincount(pairs[:, 0], many[pairs[:, 1]], len(many)) + np.bincount(pairs[:, 1], many[pairs[:, 0]], len(many))
-
-    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("root", pa.int64())])
+    lists = shards.groupBy(*CELL_KEY, "part").applyInArrow(graph, "g long, near array<long>")
+    united = scratch.save(lists.groupBy("g").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "adjacency")
+    part = shards.join(united, F.expr("node = g"), "left").drop("g")
+    result = "node long, n long, root long"
 
     def search(key, table):
-        order = np.argsort(table.column("node").to_numpy())
-        table = table.take(pa.array(order))
-        ids, many, cells = table.column("node").to_numpy(), table.column("many").to_numpy(), table.column("cells").to_pylist()
-        x = unit(_matrix(table.column("vec")))
-        at = {v: i for i, v in enumerate(ids.tolist())}
-        adj = [np.array(sorted(at[y] for y in near or () if y in at), np.int64) for near in table.column("near").to_pylist()]
-        pairs = range_search(x, adj, link)
-        n = count(x, pairs, key[2].as_py(), cells, many)
-        edge = forest(pairs, len(ids))
-        some = np.flatnonzero(n)
-        return pa.Table.from_arrays([pa.array(np.concatenate([ids[some], ids[edge[:, 1]]])), pa.array(np.concatenate([n[some].astype(np.int64), np.zeros(len(edge), np.int64)])), pa.array(np.concatenate([ids[some], ids[edge[:, 0]]]))], schema=schema)
-
-    part = usual.join(united, F.expr("node = g"), "left").select("node", "vec", "many", "cells", "near", "label", "dim", "cell")
-    found = part.groupBy("label", "dim", "cell").applyInArrow(search, "node long, n long, root long")
-    if large.limit(1).count():
-        side = max(1, most_shard // 2)
-        big = shards.join(large, on).withColumn("parts", F.ceil(F.col("count") / side).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        # a block meets every block of its shard: pair (i, j), i <= j
-        pairs = big.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select("node", "vec", "many", "cells", "label", "dim", "cell", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-
-        def compare(key, table):
-            part = table.column("part").to_numpy()
-            i, j = key[3].as_py(), key[4].as_py()
-            ids, many, cells = table.column("node").to_numpy(), table.column("many").to_numpy(), table.column("cells").to_pylist()
-            x = unit(_matrix(table.column("vec")))
-            left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
-            total, up = np.zeros(len(ids)), []
-            only = [frozenset(c) for c in cells]
-            for k in range(0, len(left), 512):
-                rows = left[k : k + 512]
-                a, b = np.nonzero(x[rows] @ x[right].T >= link - 1e-6)
-                p = np.stack([rows[a], right[b]], 1)
-                p = p[(p[:, 0] < p[:, 1]) if i == j else slice(None)]
-                p = p[verify(x, p, link)]
-                if len(p):
-                    first = {}
-                    mine = np.array([first.setdefault((only[a], only[b]), min(only[a] & only[b])) for a, b in p]) == key[2].as_py()
-                    q = p[mine]
-                    total += np.bincount(q[:, 0], many[q[:, 1]], len(ids)) + np.bincount(q[:, 1], many[q[:, 0]], len(ids))
-                    up.append(forest(np.sort(p, 1), len(ids)))
-            edge = forest(np.concatenate(up), len(ids)) if up else np.zeros((0, 2), np.int64)
-            some = np.flatnonzero(total)
-            return pa.Table.from_arrays([pa.array(np.concatenate([ids[some], ids[edge[:, 1]]])), pa.array(np.concatenate([total[some].astype(np.int64), np.zeros(len(edge), np.int64)])), pa.array(np.concatenate([ids[some], ids[edge[:, 0]]]))], schema=schema)
-
-        found = found.union(pairs.groupBy("label", "dim", "cell", "i", "j").applyInArrow(compare, "node long, n long, root long"))
-    found = scratch.save(found, "found")
+        ids, many, cells, x, adj = _table(table.take(pa.array(np.argsort(table.column("node").to_numpy()))))
+        return _links(ids, many, cells, key[2].as_py(), range_search(x, adj, link))
+
+    found = scratch.save(part.where("parts = 1").groupBy(*CELL_KEY).applyInArrow(search, result), "found")
+    if blocks.limit(1).count():
+        # block j has the graph, the members of block i are searched in it
+        meet = part.where("parts > 1").withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select("*", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+
+        def across(key, table):
+            table = table.take(pa.array(np.argsort(table.column("node").to_numpy())))
+            block, i, j = table.column("part").to_numpy(), key[3].as_py(), key[4].as_py()
+            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+            if not len(left) or not len(right):
+                return LINKS.empty_table()
+            _, _, _, x, adj = _table(table.take(pa.array(right)))
+            pairs = range_search(x, adj, link, None if i == j else unit(_matrix(table.column("vec").take(pa.array(left)))))
+            pairs = np.stack([left[pairs[:, 0]], right[pairs[:, 1]]], 1)
+            return _links(table.column("node").to_numpy(), table.column("many").to_numpy(), _cells(table.column("cells")), key[2].as_py(), pairs)
+
+        found = found.union(scratch.save(meet.groupBy(*CELL_KEY, "i", "j").applyInArrow(across, result), "across"))
     comp = components(spark, found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), scratch)
     sums = found.groupBy("node").agg(F.sum("n").alias("n"))
-    final = points.join(sums, "node", "left").join(comp, "node", "left").select("label", "vec", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("comp", "node").alias("component_id"))
-    final = scratch.save(final.withColumnRenamed("label", "l").withColumnRenamed("vec", "v"), "final")
-    # rows find their node by label and vector; those that have none stand alone
-    key = F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0))
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "label", key.alias("vec")).join(final, F.expr("label = l and vec = v and vec_id is not null"), "left")
-    return rows.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.expr("vec_id <=> component_id"))
+    final = points.join(sums, "node", "left").join(comp, "node", "left").select(F.col("label").alias("l"), F.col("dim").alias("d"), F.col("key").alias("k"), (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("comp", "node").alias("component_id"))
+    linked = rows.select("vec_id", "label", "dim", "key").join(final, F.expr("label = l and dim = d and key = k")).select("vec_id", "n_links", "component_id")
+    linked = scratch.save(linked, "linked")
+    scratch.drop("nodes", "dealt", "adjacency", "found", "across", "large", *(f"{n}{k}" for n in ("counts", "centroids", "level") for k in range(LEVELS)))
+    # rows that cannot link stand alone
+    alone = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding").where(~_usable_sql())
+    alone = alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.union(alone).withColumn("kept", F.expr("vec_id <=> component_id"))
+
+
+def _usable_sql():
+    """Whether a row (vec_id, label, embedding) is one of usable_rows."""
+    good = "size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)"
+    return F.coalesce(F.expr(f"vec_id is not null and label is not null and embedding is not null and {good}"), F.lit(False))
 
 
 def recall(embeddings: DataFrame, result: DataFrame, link: float = LINK, every: int = 100, block: int = 2000) -> tuple[int, int]:
-    """(links found, true links) of the rows whose vec_id is divisible by `every`, against all rows by brute force in blocks."""
-    truth = 0
-    rows = embeddings.where("vec_id is not null and label is not null and embedding is not null")
-    queries = rows.where(F.col("vec_id") % every == 0).select("vec_id", "label", "embedding")
-    ids = [r.vec_id for r in queries.select("vec_id").collect()]
-    for k in range(0, len(ids), block):
-        part = queries.where(F.col("vec_id").isin(ids[k : k + block])).collect()
-        good = [r for r in part if _usable(r.embedding)]
-        q, labels, own = [np.array(r.embedding, float) for r in good], [r.label for r in good], [r.vec_id for r in good]
-
-        def run(batches, q=q, labels=labels, own=own):
+    """(links found, true links) of the rows whose vec_id is divisible by `every`, against all rows by brute force in blocks of queries."""
+    rows = embeddings.where(_usable_sql()).select("vec_id", "label", F.size("embedding").alias("dim"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+    queries = rows.where(F.col("vec_id") % every == 0)
+    blocks, truth = -(-queries.count() // block), 0
+    for k in range(blocks):
+        got = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == k).collect()  # about `block` rows
+        own: dict = {}
+        for r in got:
+            own.setdefault((r.label, r.dim), []).append((r.vec_id, r.vec))
+        own = {key: (np.array([v for v, _ in rs]), unit(np.array([x for _, x in rs]))) for key, rs in own.items()}
+
+        def run(batches, own=own):
             for batch in batches:
-                n = 0
-                for v, lab, vec in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if _usable(vec):
-                        x = np.array(vec, float)
-                        n += sum(labels[i] == lab and own[i] != v and len(q[i]) == len(x) and float(unit(q[i][None])[0] @ unit(x[None])[0]) >= link for i in range(len(q)))
+                n, ids, labels, dims = 0, batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
+                where: dict = {}
+                for i, key in enumerate(zip(labels, dims.tolist(), strict=True)):
+                    where.setdefault(key, []).append(i)
+                for key, at in where.items():
+                    if key in own:
+                        q, x = own[key]
+                        near = x @ unit(_matrix(batch.column(3).take(pa.array(at)))).T >= link
+                        n += int((near & (q[:, None] != ids[at][None])).sum())
                 yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
-        truth += rows.select("vec_id", "label", "embedding").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+        truth += rows.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
     got = result.where(F.col("vec_id") % every == 0).agg(F.sum("n_links")).first()[0] or 0
     return got, truth
 
 
-def _usable(v) -> bool:
-    return bool(v) and all(x is not None and np.isfinite(x) for x in v) and any(x != 0 for x in v)
-
-
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates() of all embeddings."""
     return near_duplicates(spark, read(spark, sf_dir, "embeddings"))

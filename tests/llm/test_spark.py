@@ -377,6 +377,10 @@ def test_suffix_long_text_in_pieces(spark, monkeypatch):
     assert collections.Counter(tuple(r) for r in got) == collections.Counter((r[0], *t) for r, t in zip(rows, suffix_dedup.brute_force([r[1] for r in rows])))
 
 
+def usable(v):
+    return bool(v) and all(x is not None and np.isfinite(x) for x in v) and any(x != 0 for x in v)
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(40, 16))
@@ -386,7 +390,7 @@ def test_embeddings(spark):
     for kw in ({}, {"cell": 12, "most_shard": 1000}, {"cell": 12, "most_shard": 6}):
         res = embeddings.near_duplicates(spark, df, **kw)
         got = res.collect()
-        good = [k is not None and lab is not None and embeddings._usable(v) for k, v, lab in rows]
+        good = [k is not None and lab is not None and usable(v) for k, v, lab in rows]
         x = np.array([embeddings.unit(np.array(v, float)[None])[0] if g else np.zeros(16) for (_, v, _), g in zip(rows, good)])
         near = (x @ x.T >= 0.93) & np.array([[g and h and a[2] == b[2] for b, h in zip(rows, good)] for a, g in zip(rows, good)])
         np.fill_diagonal(near, False)
@@ -574,3 +578,21 @@ def test_language_query_equals_brute_force(spark):
             n, same = n + 1, same + (want == x.lang_pred)
             assert x.score == pytest.approx(sum(y in df[x.lang_pred] for y in g) / len(g), abs=0.02)
     assert n > 100 and same >= 0.99 * n
+
+
+def test_embeddings_of_large_shards(spark):
+    """More nodes than a shard holds, half of them in one dense group: cells are split again, the group is searched block by block."""
+    rng = np.random.default_rng(5)
+    dense = rng.normal(size=24) + rng.normal(size=(3500, 24)) * 0.16
+    near = np.repeat(rng.normal(size=(900, 24)), 4, 0) + rng.normal(size=(3600, 24)) * 0.1
+    x = embeddings.unit(np.concatenate([dense, near]))
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(4)
+    out = embeddings.near_duplicates(spark, df, most_shard=1500).cache()
+    found, true = embeddings.recall(df, out)
+    assert found >= 0.9 * true > 1000
+    got = {r.vec_id: r for r in out.collect()}
+    sim = x @ x.T >= 0.93
+    np.fill_diagonal(sim, False)
+    want = sim.sum(1)
+    n = np.array([got[k].n_links for k in range(len(x))])
+    assert (n <= want).all() and n[:3500].sum() >= 0.95 * want[:3500].sum() and n[3500:].sum() >= 0.95 * want[3500:].sum()
