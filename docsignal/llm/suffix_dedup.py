@@ -35,7 +35,7 @@ from .common import U64, Scratch, chunk_values, mix64, read, small_batches, span
 SPAN, GRAM, QGRAM, BLOCK = 200, 40, 5, 16
 REACH = SPAN - GRAM
 #: bytes of distinct runs of one bucket that a task refines; positions are packed into 20 bits where fewer are refined at once
-HOT, PACK = 8 << 20, 20
+HOT, PACK = 1 << 20, 20
 #: odd multipliers of the parts of an identifier, in two independent lanes
 _ODD = [[U64(int(x) | 1) for x in mix64(np.arange(1, 7, dtype=U64) + U64(100 * lane + 7))] for lane in (0, 1)]
 
