@@ -137,11 +137,11 @@ def scan_text(text: Column, bucket: Column, tool: str | Column, subcategory: str
 
     def link(u):
         c, token = clean_url(u), has_token(u)
-        return F.when(token, hit("active_url", "thinkst_canarytoken", F.concat(F.lit("Thinkst Canarytoken detected: "), c), c, tool, "critical", 1.0)).otherwise(hit(category, sub, F.concat(big, F.lit(" references external URL: "), c), c, tool, severity, confidence))
+        return F.when(token, hit("active_url", "thinkst_canarytoken", F.concat(F.lit("address of a decoy service: "), c), c, tool, "critical", 1.0)).otherwise(hit(category, sub, F.concat(big, F.lit(" refers to "), c), c, tool, severity, confidence))
 
     http = F.filter(F.transform(urls(text), link), lambda h: h["evidence"] != "")
-    ftp = F.transform(ftps(text), lambda u: hit("active_url", F.concat(sub, F.lit("_ftp")), F.concat(big, F.lit(" references external FTP path: "), u), u, tool, severity, confidence))
-    unc = F.transform(uncs(text), lambda u: hit("active_url", "unc_path", F.concat(big, F.lit(" references external UNC path: "), u), u, tool, "critical", 0.9))
+    ftp = F.transform(ftps(text), lambda u: hit("active_url", F.concat(sub, F.lit("_ftp")), F.concat(big, F.lit(" refers to the file server "), u), u, tool, severity, confidence))
+    unc = F.transform(uncs(text), lambda u: hit("active_url", "unc_path", F.concat(big, F.lit(" refers to the network share "), u), u, tool, "critical", 0.9))
     likely = F.contains(F.lower(text), F.lit("tp")) | F.contains(text, F.lit("\\\\"))  # no link of any kind without one of these
     return F.when(likely, F.concat(http, ftp, unc)).otherwise(none())
 

@@ -12,15 +12,16 @@ from dataclasses import dataclass, field
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import detect, metadata, report, uniqueness
 from ..operators.report import Rules
 from ..ship import ship
-from ..sources.files import classify, read_files
+from ..sources.files import classify, hashed, listing, with_content
 from ..sources.rules import load_rules
 from ..vocab import MAX_DEPTH, MIN_CLUSTER, SEVERITIES, STAGES
 from .sinks import write_report
-from .state import EXIT_DEPENDENCY, EXIT_OK, EXIT_STAGE, State, now
+from .journal import EXIT_DEPENDENCY, EXIT_OK, EXIT_STAGE, Journal, moment
 
 
 @dataclass
@@ -36,8 +37,12 @@ class Options:
     fmt: str = "json"
     stdout: bool = False
     strict_host: bool = False
-    #: where stage tables go, a URI that all executors share; the output folder if not given, which suits a single machine
+    #: a URI that all executors share, under which the embedded stage writes the objects that it finds; not written if not given
+    extract: str | None = None
+    #: where stage tables go, a URI that all executors share; the output folder if not given, which a single machine alone may do
     artefacts: str | None = None
+    #: whether report sinks write a folder of parts beside the stage tables, by the executors, instead of one local file
+    parts: bool = False
 
 
 @dataclass
@@ -48,14 +53,28 @@ class Context:
     options: Options
 
     def path(self, name: str) -> str:
+        master = self.spark.sparkContext.master
+        if not self.options.artefacts and (not master.startswith("local") or master.startswith("local-cluster")):
+            raise ValueError("on a cluster, name a URI that all executors share for the stage tables (--artefacts)")
         return f"{(self.options.artefacts or f'file://{self.outdir.resolve()}').rstrip('/')}/{name}.parquet"
 
     def exists(self, name: str) -> bool:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
-    def files(self) -> DataFrame:
-        return classify(read_files(self.spark, self.source), self.options.specialized)
+    def read_source(self) -> None:
+        """List, hash and classify the source once, into the table `files`."""
+
+        def level(df: DataFrame, k: int) -> DataFrame:
+            self.save(df, f"listing/level{k}")
+            return self.artefact(f"listing/level{k}")
+
+        listed = listing(self.spark, self.source, level)
+        self.save(classify(hashed(listed, self.source), self.options.specialized).drop("content"), "files")
+
+    def files(self, *buckets: str, extensions: tuple[str, ...] = ()) -> DataFrame:
+        """Records of the files of some buckets, or with some extensions, with their content: no other file is opened."""
+        return with_content(self.artefact("files").where(F.col("bucket").isin(*buckets) | F.col("extension").isin(*extensions)), self.source)
 
     def artefact(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
@@ -93,35 +112,35 @@ def register(name: str) -> Callable[[Builder], Builder]:
 
 @register("inventory")
 def _inventory(ctx: Context) -> DataFrame:
-    ctx.save(ctx.files().drop("content"), "files")
+    ctx.read_source()
     return detect.inventory_findings(ctx.artefact("files"))
 
 
 @register("metadata")
 def _metadata(ctx: Context) -> DataFrame:
-    ctx.save(metadata.metadata(ctx.files(), ctx.source), "tags")
+    ctx.save(metadata.metadata(ctx.files(*metadata.BUCKETS), ctx.source), "tags")
     return metadata.metadata_findings(ctx.artefact("files"), ctx.artefact("tags"))
 
 
 @register("remote-refs")
 def _remote(ctx: Context) -> DataFrame:
-    return detect.remote_references(ctx.files(), ctx.options.compat, ctx.options.max_depth, ctx.options.specialized, ctx.source)
+    return detect.remote_references(ctx.files(*detect.BUCKETS, extensions=detect.EXTENSIONS), ctx.options.compat, ctx.options.max_depth, ctx.options.specialized, ctx.source)
 
 
 @register("embedded")
 def _embedded(ctx: Context) -> DataFrame:
-    return detect.embedded(ctx.files(), ctx.source)
+    return detect.embedded(ctx.files("pdf", "ooxml", "ole", "rtf"), ctx.source, ctx.options.extract)
 
 
 @register("stego")
 def _stego(ctx: Context) -> DataFrame:
-    return detect.stego(ctx.files(), ctx.source)
+    return detect.stego(ctx.files("image"), ctx.source)
 
 
 @register("uniqueness")
 def _uniqueness(ctx: Context) -> DataFrame:
     o = ctx.options
-    return uniqueness.uniqueness(ctx.files(), ctx.artefact("tags"), o.fuzzy, o.least_cluster, o.compat, ctx.source)
+    return uniqueness.uniqueness(ctx.artefact("files"), ctx.artefact("tags"), o.fuzzy, o.least_cluster, o.compat, ctx.source)
 
 
 def order() -> list[str]:
@@ -134,8 +153,9 @@ def run_report(ctx: Context, sources: list[str] | None = None) -> dict[str, int]
     names = [s for s in sources or order()[:-1] if ctx.exists(s)]
     if not names:
         raise FileNotFoundError(f"no stage artefacts in {ctx.outdir}")
-    table = report.report(ctx.spark, [ctx.artefact(s) for s in names], o.allow, o.deny, o.least, o.strict_host)
-    return write_report(table, ctx.outdir, o.fmt, o.stdout)
+    ctx.save(report.dedup(report.union_all([ctx.artefact(s) for s in names])), "findings")  # read twice: for the domains and for the rows
+    table = report.ordered(report.threshold(report.evaluate(ctx.spark, ctx.artefact("findings"), o.allow, o.deny, o.strict_host), o.least))
+    return write_report(table, ctx.outdir, o.fmt, o.stdout, ctx.path("report").removesuffix(".parquet") if o.parts else None)
 
 
 def scan(spark: SparkSession, source: str, outdir: str | Path, options: Options | None = None, stages: list[str] | None = None, resume: bool = False, force: bool = False, args: list[str] | None = None) -> int:
@@ -146,55 +166,53 @@ def scan(spark: SparkSession, source: str, outdir: str | Path, options: Options
     options = options or Options()
     ship(spark)
     ctx = Context(spark, source, Path(outdir), options)
-    state = State(ctx.outdir, source, {k: v for k, v in vars(options).items() if k not in ("fmt", "stdout", "least", "allow", "deny")})
-    state.lock()
-    handler = log_to(ctx.outdir / "docsignal.log")
+    journal = Journal(ctx.outdir, source, {k: v for k, v in vars(options).items() if k not in ("fmt", "stdout", "least", "allow", "deny", "parts")})
+    with journal.guarded():
+        handler = log_to(ctx.outdir / "docsignal.log")
+        try:
+            wanted = [s for s in order() if s in (stages or order())]
+            journal.begin(args or [], wanted)
+            if wanted and wanted[0] not in ("inventory", "report") and not ctx.exists("files"):
+                wanted = ["inventory", *wanted]
+            if "uniqueness" in wanted and "metadata" not in wanted and not ctx.exists("tags"):
+                wanted.insert(wanted.index("uniqueness"), "metadata")
+            code = EXIT_OK
+            for name in wanted:
+                if name != "report" and resume and not force and journal.done(name):
+                    continue
+                begun, code = moment(), _run_stage(ctx, name)
+                journal.stage(name, code, begun, f"{name}.parquet" if code == EXIT_OK else "")
+                if code != EXIT_OK:
+                    break
+            journal.end(code)
+            return code
+        finally:
+            LOG.removeHandler(handler)
+            handler.close()
+
+
+def _run_stage(ctx: Context, name: str) -> int:
+    LOG.info("stage %s started", name)
     try:
-        wanted = [s for s in order() if s in (stages or order())]
-        state.start(args or [], wanted)
-        if wanted and wanted[0] not in ("inventory", "report") and not ctx.exists("files"):
-            wanted = ["inventory", *wanted]
-        if "uniqueness" in wanted and "metadata" not in wanted and not ctx.exists("tags"):
-            wanted.insert(wanted.index("uniqueness"), "metadata")
-        for name in wanted:
-            if name != "report" and resume and not force and state.is_complete(name):
-                continue
-            started = now()
-            LOG.info("stage %s started", name)
-            try:
-                if name == "report":
-                    run_report(ctx)
-                else:
-                    ctx.save(REGISTRY[name](ctx), name)
-            except Exception as e:  # noqa: BLE001 the state records the failure of any stage
-                sys.stderr.write(f"stage {name} failed: {e}\n")
-                LOG.info("stage %s failed: %s", name, str(e)[:2000])
-                state.completed(name, EXIT_STAGE, started)
-                state.finish(EXIT_STAGE)
-                return EXIT_STAGE
-            LOG.info("stage %s completed", name)
-            state.completed(name, EXIT_OK, started, f"{name}.parquet")
-        state.finish(EXIT_OK)
-        return EXIT_OK
-    finally:
-        LOG.removeHandler(handler)
-        handler.close()
-        state.unlock()
+        if name == "report":
+            run_report(ctx)
+        else:
+            ctx.save(REGISTRY[name](ctx), name)
+    except Exception as e:  # noqa: BLE001 the journal records the failure of any stage
+        sys.stderr.write(f"stage {name} failed: {e}\n")
+        LOG.info("stage %s failed: %s", name, str(e)[:2000])
+        return EXIT_STAGE
+    LOG.info("stage %s completed", name)
+    return EXIT_OK
 
 
 # ---- capabilities --------------------------------------------------------------------------------------------------------
 
-#: (name, tier, what it is for, how to install it): the engine's own readers need none of the optional ones
+#: (name, tier, what it is for, how to install it): only what some code here uses
 CAPABILITIES = [
     ("pyspark", "required", "execution", "pip install pyspark"),
     ("pyarrow", "required", "batches and file systems", "pip install pyarrow"),
-    ("PIL", "optional", "pixels of images", "pip install pillow"),
-    ("exiftool", "optional", "tags of other formats", "apt install libimage-exiftool-perl"),
-    ("qpdf", "optional", "PDF normal form", "apt install qpdf"),
-    ("mutool", "optional", "PDF rendering", "apt install mupdf-tools"),
-    ("steghide", "optional", "steganography of JPEG and BMP", "apt install steghide"),
-    ("compare", "optional", "pixel differences", "apt install imagemagick"),
-    ("7z", "optional", "further archive formats", "apt install p7zip-full"),
+    ("PIL", "optional", "pixels of JPEG and TIFF pictures, for thumbnails and pixel differences", "pip install pillow"),
 ]
 
 
@@ -239,10 +257,12 @@ def main(argv: list[str] | None = None) -> int:
                 c.add_argument(flag, action="store_true")
             c.add_argument("--max-archive-depth", type=int, default=MAX_DEPTH)
             c.add_argument("--min-cluster-size", type=int, default=MIN_CLUSTER)
+            c.add_argument("--extract", help="URI under which embedded objects are written")
         c.add_argument("--outdir", default=".docsignal")
         c.add_argument("--artefacts", help="URI for stage tables that all executors share; the output folder by default")
         c.add_argument("--format", choices=["json", "csv", "sarif", "all"], default="json")
         c.add_argument("--stdout", action="store_true")
+        c.add_argument("--parts", action="store_true", help="write the report as a folder of parts, by the executors")
         c.add_argument("--severity", choices=SEVERITIES, default="info")
         if name != "stage":
             c.add_argument("--allowlist")
@@ -257,10 +277,11 @@ def main(argv: list[str] | None = None) -> int:
     if missing():
         return EXIT_DEPENDENCY
     spark = SparkSession.builder.appName("docsignal").getOrCreate()
-    o = Options(artefacts=a.artefacts, least=a.severity, fmt=a.format, stdout=a.stdout, allow=load_rules(getattr(a, "allowlist", None)), deny=load_rules(getattr(a, "denylist", None)))
+    o = Options(artefacts=a.artefacts, parts=a.parts, least=a.severity, fmt=a.format, stdout=a.stdout, allow=load_rules(getattr(a, "allowlist", None)), deny=load_rules(getattr(a, "denylist", None)))
     if a.command == "report":
         run_report(Context(spark, "", Path(a.outdir), o))
         return EXIT_OK
+    o.extract = a.extract
     o.specialized, o.max_depth, o.least_cluster, o.fuzzy, o.compat = a.enable_specialized, a.max_archive_depth, a.min_cluster_size, a.fuzzy, a.compat
     if read_only(a.datasource) is False:
         sys.stderr.write(f"{a.datasource} is not mounted read-only\n")

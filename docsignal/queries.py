@@ -109,14 +109,14 @@ def ip_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(fx.ips(C("text"))).alias("ip"))
 
 
-@query("clean_url", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN url || '/about/' WHEN 1 THEN url ELSE url || '/' END AS cleaned, page_id % 3 <> 1 AS token FROM pages WHERE url NOT LIKE '%/'")
+@query("clean_url", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN url || '/about/' WHEN 1 THEN url ELSE url || CASE WHEN url LIKE '%/' THEN '' ELSE '/' END END AS cleaned, page_id % 3 <> 1 AS token FROM pages")
 def clean_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = C("page_id") % 3
     u = F.when(k == 0, cat("(", C("url"), "/about/QXUGUTAENT)")).when(k == 1, cat("<'", C("url"), "'>")).otherwise(cat(C("url"), "/QXUGUTAENT/feedback"))
     # the opening parenthesis is not a mark that is stripped before a link, so it is taken off here
     u = F.regexp_replace(u, r"^\(", "")
     u = F.when(k == 1, F.regexp_replace(u, "^<", "")).otherwise(u)
-    return table(spark, sf_dir, "pages").where("url not like '%/'").select("page_id", fx.clean_url(u).alias("cleaned"), fx.has_token(u).alias("token"))
+    return table(spark, sf_dir, "pages").select("page_id", fx.clean_url(u).alias("cleaned"), fx.has_token(u).alias("token"))
 
 
 @query("domain_of", f"WITH {HTML_SQL} SELECT path, lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)) AS domain, CAST(len(string_split(lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)), '.')) AS BIGINT) AS n_suffixes FROM pages_html")
@@ -128,15 +128,17 @@ def domain_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TAG = "lower(regexp_extract(split_part(raw, u, 1), '<([^<>\\s]*)[^<]*$', 1))"
 
 
-@query(
-    "html_detect",
-    f"""WITH {HTML_SQL}, l AS (SELECT path, raw, unnest(regexp_extract_all(raw, '(?i)https?://[^\\s"''<>]+')) AS u FROM pages_html), t AS (SELECT path, u, {_TAG} AS tag, contains(raw, '<img src="' || u || '" width="1"') AS pixel FROM l)
-SELECT path AS file, CASE WHEN tag = 'img' AND pixel THEN 'tracking_pixel' WHEN tag = 'script' THEN 'javascript' ELSE 'active_url' END AS category, CASE WHEN tag = 'img' AND pixel THEN 'img_beacon' WHEN tag = 'img' THEN 'img' WHEN tag = 'script' THEN 'script_src' WHEN tag = 'iframe' THEN 'iframe' WHEN tag = '' THEN 'link' ELSE tag END AS subcategory, u AS evidence,
- CASE WHEN tag = 'img' AND pixel OR tag IN ('script', 'iframe') THEN 'critical' WHEN tag = 'img' THEN 'high' ELSE 'medium' END AS severity, CASE WHEN tag = 'img' AND pixel OR tag IN ('script', 'iframe') THEN 0.9::DOUBLE WHEN tag = 'img' THEN 0.7::DOUBLE ELSE 0.6::DOUBLE END AS confidence FROM t
-UNION ALL SELECT path, 'active_url', 'ftp', unnest(regexp_extract_all(raw, '(?i)ftp://[^\\s"''<>]+')), 'high', 0.7::DOUBLE FROM pages_html
-UNION ALL SELECT path, 'active_url', 'unc_path', unnest(regexp_extract_all(raw, '\\\\\\\\[\\w.-]+\\\\[\\w.-]+')), 'critical', 0.9::DOUBLE FROM pages_html
-UNION ALL SELECT path, 'tracking_pixel', 'ping', 'ping=', 'high', 0.7::DOUBLE FROM pages_html WHERE contains(lower(raw), 'ping=')""",
-)
+def _html_sql(pages: str) -> str:
+    """Hits of the HTML files in a table (path, raw)."""
+    return f"""SELECT path AS file, CASE WHEN tag = 'img' AND pixel THEN 'tracking_pixel' WHEN tag = 'script' THEN 'javascript' ELSE 'active_url' END AS category, CASE WHEN tag = 'img' AND pixel THEN 'img_beacon' WHEN tag = 'img' THEN 'img' WHEN tag = 'script' THEN 'script_src' WHEN tag = 'iframe' THEN 'iframe' WHEN tag = '' THEN 'link' ELSE tag END AS subcategory, u AS evidence,
+ CASE WHEN tag = 'img' AND pixel OR tag IN ('script', 'iframe') THEN 'critical' WHEN tag = 'img' THEN 'high' ELSE 'medium' END AS severity, CASE WHEN tag = 'img' AND pixel OR tag IN ('script', 'iframe') THEN 0.9::DOUBLE WHEN tag = 'img' THEN 0.7::DOUBLE ELSE 0.6::DOUBLE END AS confidence
+ FROM (SELECT path, u, {_TAG} AS tag, contains(raw, '<img src="' || u || '" width="1"') AS pixel FROM (SELECT path, raw, unnest(regexp_extract_all(raw, '(?i)https?://[^\\s"''<>]+')) AS u FROM {pages}))
+UNION ALL SELECT path, 'active_url', 'ftp', unnest(regexp_extract_all(raw, '(?i)ftp://[^\\s"''<>]+')), 'high', 0.7::DOUBLE FROM {pages}
+UNION ALL SELECT path, 'active_url', 'unc_path', unnest(regexp_extract_all(raw, '\\\\\\\\[\\w.-]+\\\\[\\w.-]+')), 'critical', 0.9::DOUBLE FROM {pages}
+UNION ALL SELECT path, 'tracking_pixel', 'ping', 'ping=', 'high', 0.7::DOUBLE FROM {pages} WHERE contains(lower(raw), 'ping=')"""
+
+
+@query("html_detect", f"WITH {HTML_SQL} {_html_sql('pages_html')}")
 def html_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .schema import findings
 
@@ -336,7 +338,7 @@ def form_field_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return uniqueness.field_diffs(m.join(sizes, "cluster_id")).select("cluster_id", "field")
 
 
-# ---- containers: no SQL equivalent; tests hold them against known files -----------------------------------------------------------
+# ---- containers: files are made of the pages, so SQL can say what must be found in them --------------------------------------------
 
 
 def _as_files(spark: SparkSession, sf_dir: str, make, ext: str, bucket: str) -> DataFrame:
@@ -371,29 +373,71 @@ def make_png(text: str, tail: bytes = b"") -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + chunk(b"tEXt", b"Comment\0" + text.encode("latin-1", "replace")) + chunk(b"IDAT", zlib.compress(b"\0\0")) + chunk(b"IEND", b"") + tail
 
 
-@query("zip_members")
+def make_jpeg(tags: dict[int, str], size: tuple[int, int] = (8, 6), thumb: bytes = b"") -> bytes:
+    """A JPEG's frame without a scan: text tags in EXIF data, a size, a thumbnail."""
+    values, entries, at = b"", b"", 8 + 2 + 12 * len(tags) + 4
+    for tag in sorted(tags):
+        v = tags[tag].encode() + b"\0"
+        entries += struct.pack("<HHI", tag, 2, len(v)) + (struct.pack("<I", at + len(values)) if len(v) > 4 else v.ljust(4, b"\0"))
+        values += v if len(v) > 4 else b""
+    after = at + len(values) if thumb else 0
+    second = struct.pack("<H", 2) + struct.pack("<HHII", 0x0201, 4, 1, after + 30) + struct.pack("<HHII", 0x0202, 4, 1, len(thumb)) + struct.pack("<I", 0) + thumb if thumb else b""
+    tiff = b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", len(tags)) + entries + struct.pack("<I", after) + values + second
+    segment = lambda marker, data: b"\xff" + bytes([marker]) + struct.pack(">H", len(data) + 2) + data
+    return b"\xff\xd8" + segment(0xE1, b"Exif\0\0" + tiff) + segment(0xC0, struct.pack(">BHHB", 8, size[1], size[0], 1) + b"\1\x11\0") + b"\xff\xd9"
+
+
+@query("zip_members", """SELECT 'p/' || page_id || '.docx' AS path, 'zip_member' AS kind, 'word/document.xml' AS name, CAST(octet_length(encode(coalesce(url, ''))) AS BIGINT) AS n FROM pages UNION ALL SELECT 'p/' || page_id || '.docx', 'zip_member', 'docProps/core.xml', 26 FROM pages""")
 def zip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _as_files(spark, sf_dir, lambda i, u, h: make_zip({"word/document.xml": (u or "").encode(), "docProps/core.xml": b"<dc:creator>c</dc:creator>"}), ".docx", "ooxml")
     return containers.parts(f).select("path", "kind", "name", "n")
 
 
-@query("archive_recursion")
+# addresses of pages hold no name that a PDF reader looks for, so the keywords are those that make_pdf writes
+_PDF_SQL = """SELECT file, 'active_url' AS category, sub AS subcategory, coalesce(url, '') AS evidence, 'critical' AS severity, 0.9::DOUBLE AS confidence FROM {t}, (VALUES ('pdf_stream_url'), ('pdf_raw_url'), ('uri_action')) v(sub) WHERE url IS NOT NULL
+UNION ALL SELECT file, 'open_action', '/OpenAction', '/OpenAction            1', 'critical', 0.8::DOUBLE FROM {t}"""
+
+
+@query(
+    "archive_recursion",
+    f"""WITH z AS (SELECT 'p/' || page_id || '.zip' AS file, url, html FROM pages), p AS (SELECT file || '!/a.zip!/b.pdf' AS file, url FROM z), h AS (SELECT file || '!/c.html' AS path, coalesce(html, '') AS raw FROM z)
+SELECT file, 'archive_nested' AS category, 'archive' AS subcategory, '[''a.zip'', ''c.html'']' AS evidence, 'info' AS severity, 0.5::DOUBLE AS confidence FROM z UNION ALL SELECT file || '!/a.zip', 'archive_nested', 'archive', '[''b.pdf'']', 'info', 0.5::DOUBLE FROM z
+UNION ALL {_PDF_SQL.format(t="p")} UNION ALL {_html_sql("h")}""",
+)
 def archive_recursion(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _as_files(spark, sf_dir, lambda i, u, h: make_zip({"a.zip": make_zip({"b.pdf": make_pdf(u or "")}), "c.html": (h or "").encode()}), ".zip", "archive")
     return detect.remote_references(f).select(*COLS)
 
 
-@query("mime_parts")
+@query("mime_parts", """WITH t AS (SELECT 'p/' || page_id || '.eml' AS file, url FROM pages WHERE url IS NOT NULL) SELECT file, 'suspicious_metadata_field' AS category, 'email_header/x_mailer' AS subcategory, url AS evidence, 'info' AS severity, 0.5::DOUBLE AS confidence FROM t UNION ALL SELECT file, 'tracking_pixel', 'eml_beacon', url, 'critical', 0.9::DOUBLE FROM t""")
 def mime_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _as_files(spark, sf_dir, lambda i, u, h: b"Subject: x\nX-Mailer: " + (u or "").encode() + b'\nContent-Type: text/html\n\n<img src="' + (u or "").encode() + b'" width="1">', ".eml", "email")
     return detect.remote_references(f).select(*COLS)
 
 
-@query("pdf_keywords")
+@query("pdf_keywords", f"WITH t AS (SELECT 'p/' || page_id || '.pdf' AS file, url FROM pages) {_PDF_SQL.format(t='t')}")
 def pdf_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.remote_references(_as_files(spark, sf_dir, lambda i, u, h: make_pdf(u or ""), ".pdf", "pdf")).select(*COLS)
 
 
-@query("png_chunks")
+@query("keyword_counts", f"SELECT k AS keyword, CAST(CASE k WHEN '/OpenAction' THEN (SELECT count(*) FROM pages) WHEN '/JS' THEN (SELECT count(*) FROM pages WHERE page_id % 3 = 0) ELSE 0 END AS BIGINT) AS n, CAST(CASE k WHEN '/OpenAction' THEN (SELECT count(*) FROM pages) WHEN '/JS' THEN (SELECT count(*) FROM pages WHERE page_id % 3 = 0) ELSE 0 END AS BIGINT) AS files FROM (VALUES {', '.join(f"('{k}')" for k in containers.KEYWORDS)}) v(k)")
+def keyword_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.keyword_counts(_as_files(spark, sf_dir, lambda i, u, h: make_pdf(u or "") + (b"3 0 obj\n<< /J#53 (x) >>\nendobj\n" if i % 3 == 0 else b""), ".pdf", "pdf"))
+
+
+@query("png_chunks", """SELECT 'p/' || page_id || '.png' AS file, 'steg_carrier' AS category, 'pngcheck' AS subcategory, ' 1 bytes after IEND' AS evidence, 'high' AS severity, 0.7::DOUBLE AS confidence FROM pages WHERE page_id % 2 = 1""")
 def png_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.stego(_as_files(spark, sf_dir, lambda i, u, h: make_png(u or "", b"x" if i % 2 else b""), ".png", "image")).select(*COLS)
+
+
+@query("image_tags", """SELECT 'p/' || page_id || '.jpg' AS file, 'metadata_pii' AS category, 'artist' AS subcategory, url AS evidence, 'medium' AS severity, 0.6::DOUBLE AS confidence FROM pages WHERE url IS NOT NULL UNION ALL SELECT 'p/' || page_id || '.jpg', 'active_url', 'software', url, 'high', 0.7::DOUBLE FROM pages WHERE url IS NOT NULL""")
+def image_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _as_files(spark, sf_dir, lambda i, u, h: make_jpeg({0x0131: u or "", 0x013B: u or ""}), ".jpg", "image")
+    return metadata.metadata_findings(f, metadata.metadata(f)).select(*COLS)
+
+
+@query("csv_files", """SELECT 'p/' || page_id || '.csv' AS file, 'formula_injection' AS category, 'csv_formula' AS subcategory, '=HYPERLINK("' || url || '")' AS evidence, 'medium' AS severity, 0.8::DOUBLE AS confidence FROM pages WHERE url IS NOT NULL UNION ALL SELECT 'p/' || page_id || '.csv', 'active_url', 'csv_formula_url', url, 'critical', 0.9::DOUBLE FROM pages WHERE url IS NOT NULL""")
+def csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page in a hundred has many thousand cells before its formula."""
+    f = _as_files(spark, sf_dir, lambda i, u, h: b"-1,-2\n" * (15_000 if i % 100 == 0 else 2) + b'"=HYPERLINK(""' + (u or "").encode() + b'"")"\n', ".csv", "csv")
+    return detect.remote_references(f).select(*COLS)

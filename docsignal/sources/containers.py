@@ -17,14 +17,15 @@ import tarfile
 import zipfile
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..vocab import EXTENSION_BUCKET, MAX_DEPTH, MAX_HELD, MAX_MEMBER, MAX_TEXT
+from ..vocab import EXTENSION_BUCKET, MAX_DEPTH, MAX_HELD, MAX_MEMBER, MAX_STREAM, MAX_TEXT, MAX_UNPACKED
 from .compound import ole_parts
+from .pictures import PNG, picture, thumbnail_of
 
 Part = tuple[str, str, str, int]
 
@@ -34,9 +35,11 @@ def text(raw: bytes) -> str:
 
 
 def held(content: bytes | None, source: str | None, path: str):
-    """The content, or the open file if a source left it out for its size; None if the file cannot be opened."""
-    if content is not None or source is None:
-        return content or b""
+    """The content, or the open file if a source left it out for its size; None if it was not read and cannot be opened."""
+    if content is not None:
+        return content
+    if source is None or "!/" in path:
+        return None
     import pyarrow.fs as pafs
 
     try:
@@ -66,34 +69,27 @@ def is_zip(raw) -> bool:
     return stream(raw).read(4) == b"PK\3\4"
 
 
-def each_member(raw, path: str) -> Iterator[tuple[str, bytes | None]]:
-    """(name, content) of the safe members of a ZIP or TAR archive; content is None for folders and members that oversized() names."""
+def each_member(raw, path: str) -> Iterator[tuple[str, int, Callable[[], bytes]]]:
+    """(name, size, read) of the safe members of a ZIP or TAR archive that are files; read() unpacks one."""
     if is_zip(raw):
         with zipfile.ZipFile(stream(raw)) as z:
             for i in z.infolist():
-                if safe(i.filename):
-                    yield i.filename, z.read(i) if not i.is_dir() and i.file_size <= MAX_HELD else None
+                if safe(i.filename) and not i.is_dir():
+                    yield i.filename, i.file_size, lambda i=i: z.read(i)
     elif path.endswith((".tar", ".tar.gz", ".tgz")):
         with tarfile.open(fileobj=stream(raw)) as t:
             for m in t:
-                if safe(m.name):
-                    f = t.extractfile(m) if m.isfile() and m.size <= MAX_HELD else None
-                    yield m.name, f.read() if f else None
+                if safe(m.name) and m.isfile():
+                    yield m.name, m.size, lambda m=m: t.extractfile(m).read()
 
 
-def members(raw, path: str) -> list[tuple[str, bytes | None]]:
-    return list(each_member(raw, path))
+def members(raw, path: str) -> list[tuple[str, bytes]]:
+    return [(name, read()) for name, _, read in each_member(raw, path)]
 
 
 def oversized(raw, path: str) -> list[tuple[str, int]]:
     """Names and sizes of the members that are not unpacked for their size."""
-    if is_zip(raw):
-        with zipfile.ZipFile(stream(raw)) as z:
-            return [(i.filename, i.file_size) for i in z.infolist() if i.file_size > MAX_HELD]
-    if path.endswith((".tar", ".tar.gz", ".tgz")):
-        with tarfile.open(fileobj=stream(raw)) as t:
-            return [(m.name, m.size) for m in t if m.size > MAX_HELD]
-    return []
+    return [(name, n) for name, n, _ in each_member(raw, path) if n > MAX_HELD]
 
 
 def names(raw, path: str) -> list[str]:
@@ -113,7 +109,17 @@ def encrypted(raw) -> str | None:
         return next((i.filename for i in z.infolist() if i.flag_bits & 1), None)
 
 
-def zip_parts(raw: bytes, path: str) -> Iterator[Part]:
+def put_object(extract: str, owner: str, name: str, data: bytes) -> None:
+    """Write an object below a URI, in a folder named after its file's hash; a repeated task writes the same bytes again."""
+    import pyarrow.fs as pafs
+
+    fs, base = pafs.FileSystem.from_uri(extract)
+    fs.create_dir(f"{base}/{owner[:12]}", recursive=True)
+    with fs.open_output_stream(f"{base}/{owner[:12]}/{name.replace('/', '_')}") as f:
+        f.write(data)
+
+
+def zip_parts(raw: bytes, path: str, owner: str = "", extract: str | None = None) -> Iterator[Part]:
     try:
         if (name := encrypted(raw)) is not None:
             yield "zip_encrypt", name, "", 0
@@ -132,6 +138,8 @@ def zip_parts(raw: bytes, path: str) -> Iterator[Part]:
                     continue
                 yield "zip_member", i.filename, text(data), i.file_size
                 if any(k in i.filename.lower() for k in ("oleobject", "activex", "embeddings", "vbaproject", "embed")):
+                    if extract:
+                        put_object(extract, owner, i.filename, data)
                     yield "zip_embedded", i.filename, hashlib.sha256(data).hexdigest(), len(data)
     except Exception as e:  # noqa: BLE001 any parser error is a property of the file
         message = str(e)
@@ -156,8 +164,12 @@ def archive_parts(raw: bytes, path: str, depth: int) -> Iterator[Part]:
         yield "archive_encrypt_error" if re.search("encrypted|password", message.lower()) else "error", "", message, depth
 
 
-def expand(raw: bytes, path: str, max_depth: int = MAX_DEPTH, depth: int = 0) -> Iterator[tuple[str, bytes, int]]:
-    """(path, content, depth) of all members, archives within archives included: outer!/inner. Nothing is written to disk."""
+def expand(raw: bytes, path: str, max_depth: int = MAX_DEPTH, depth: int = 0, budget: list[int] | None = None) -> Iterator[tuple[str, bytes | None, int]]:
+    """(path, content, depth) of all members, archives within archives included: outer!/inner. Nothing is written to disk.
+
+    Members are unpacked one at a time. What goes beyond MAX_UNPACKED bytes for one outer archive comes with content None.
+    """
+    budget = [MAX_UNPACKED] if budget is None else budget
     if depth >= max_depth:
         return
     try:
@@ -168,16 +180,20 @@ def expand(raw: bytes, path: str, max_depth: int = MAX_DEPTH, depth: int = 0) ->
     found = each_member(raw, path)
     while True:
         try:
-            name, data = next(found)
+            name, size, read = next(found)
+            inner = f"{path}!/{name}"
+            if size > MAX_HELD:
+                continue
+            data = read() if size <= budget[0] else None
         except Exception:  # noqa: BLE001 the end, or a broken member
             return
+        yield inner, data, depth + 1
         if data is None:
             continue
-        inner = f"{path}!/{name}"
-        yield inner, data, depth + 1
+        budget[0] -= len(data)
         ext = re.search(r"[^/](\.[^./]+)$", name)
         if EXTENSION_BUCKET.get(ext[1].lower() if ext else "") == "archive" or (not (ext and ext[1].lower() in EXTENSION_BUCKET) and is_zip(data)):
-            yield from expand(data, inner, max_depth, depth + 1)
+            yield from expand(data, inner, max_depth, depth + 1, budget)
 
 
 # ---- mail, cells, XML, shortcuts, PNG ----------------------------------------------------------------------------------
@@ -259,8 +275,8 @@ def lnk_parts(raw: bytes) -> Iterator[Part]:
 
 
 def png_parts(raw: bytes) -> Iterator[Part]:
-    """Faults of the chunk structure, and text chunks."""
-    if raw[:8] != b"\x89PNG\r\n\x1a\n":
+    """Faults of the chunk structure."""
+    if raw[:8] != PNG:
         yield "png_fault", "", "not a PNG signature", 0
         return
     at, last = 8, b""
@@ -269,14 +285,8 @@ def png_parts(raw: bytes) -> Iterator[Part]:
         if at + 12 + n > len(raw):
             yield "png_fault", kind.decode("latin-1"), "chunk runs past the end", at
             return
-        data = raw[at + 8 : at + 8 + n]
-        if zlib.crc32(kind + data) != struct.unpack_from(">I", raw, at + 8 + n)[0]:
+        if zlib.crc32(raw[at + 4 : at + 8 + n]) != struct.unpack_from(">I", raw, at + 8 + n)[0]:
             yield "png_fault", kind.decode("latin-1"), "CRC differs", at
-        if kind == b"IHDR" and n >= 8:
-            yield "image_size", "{}x{}".format(*struct.unpack_from(">II", data)), "", 0
-        if kind == b"tEXt":
-            k, _, v = data.partition(b"\0")
-            yield "image_tag", k.decode("latin-1"), v.decode("latin-1"), 0
         at, last = at + 12 + n, kind
         if kind == b"IEND":
             break
@@ -286,6 +296,18 @@ def png_parts(raw: bytes) -> Iterator[Part]:
         yield "png_fault", "", f"{len(raw) - at} bytes after IEND", at
 
 
+def picture_parts(raw: bytes, extension: str) -> Iterator[Part]:
+    """Tags of a picture, faults of a PNG, and how far a thumbnail is from its picture: both aspects, and differing bits of 64 (-1: unknown)."""
+    if extension == ".png":
+        yield from png_parts(raw)
+    for name, value in picture(raw)[0].items():
+        yield "image_tag", name, value, 0
+    if (found := thumbnail_of(raw)) is not None:
+        a, b, main, small = found
+        bits = -1 if main is None else sum((x > sum(main) / 64) != (y > sum(small) / 64) for x, y in zip(main, small, strict=True))
+        yield "thumbnail", f"{a:.2f}", f"{b:.2f}", bits
+
+
 # ---- PDF -------------------------------------------------------------------------------------------------------------
 
 #: names that a keyword count looks for; fixed values
@@ -310,10 +332,11 @@ def pdf_keywords(raw: bytes) -> dict[str, int]:
     return {k: found[k] for k in KEYWORDS}
 
 
-def inflate(data: bytes) -> bytes | None:
+def inflate(data: bytes, most: int = MAX_STREAM) -> bytes | None:
+    """Inflated data, no more than `most` bytes."""
     for bits in (15, -15):
         try:
-            return zlib.decompressobj(bits).decompress(data)
+            return zlib.decompressobj(bits).decompress(data, most)
         except zlib.error:
             continue
     return None
@@ -387,6 +410,8 @@ def pdf_parts(raw: bytes) -> Iterator[Part]:
         data = inflate(m[1])
         if data:
             yield "pdf_stream", "", data.decode("utf-8", "ignore"), 0
+            if len(data) >= MAX_STREAM:
+                yield "skipped", "", "a stream is read no further than its limit", len(data)
     if whole:
         yield "pdf_raw", "", raw.decode("utf-8", "ignore"), 0
     else:
@@ -398,12 +423,6 @@ def pdf_parts(raw: bytes) -> Iterator[Part]:
         found = [f"obj {k}\n{body}" for k, body in objects if term.lower() in body.lower()]
         if found:
             yield "pdf_objects", term, "\n".join(found), len(found)
-    for f in form_fields(raw):
-        for k in ("t", "tu", "v"):
-            if f.get(k):
-                yield "pdf_field", {"t": "name", "tu": "tooltip", "v": "value"}[k], f[k], 0
-    if n := len(form_fields(raw)):
-        yield "pdf_form", "", "", n
     if n := len(re.findall(rb"/Subtype\s*/Image\b", raw)):
         yield "pdf_images", "", "", n
 
@@ -413,19 +432,23 @@ def pdf_parts(raw: bytes) -> Iterator[Part]:
 PART = "path string, sha256 string, bucket string, extension string, part long, kind string, name string, text string, n long"
 
 
-def parts_of(path: str, bucket: str, extension: str, raw, depth: int = 0) -> Iterator[Part]:
-    """Parts of one file, by its bucket. Instead of bytes, large files come open: containers read parts of them, PDF and PNG all."""
+#: pictures whose tags are read
+PICTURES = (".png", ".jpg", ".jpeg", ".tif", ".tiff", ".gif")
+
+
+def parts_of(path: str, bucket: str, extension: str, raw, depth: int = 0, owner: str = "", extract: str | None = None) -> Iterator[Part]:
+    """Parts of one file, by its bucket. Instead of bytes, large files come open: containers read parts of them, PDF files and pictures all."""
     if not isinstance(raw, bytes):
         text_kind = extension in (".lnk", ".mht", ".mhtml", ".svg") or bucket in ("email", "csv", "xml", "ole")
         if raw is None or text_kind:
-            yield "skipped", "", "file over the text limit" if raw is not None else "file cannot be opened again", 0
+            yield "skipped", "", "file over the text limit" if raw is not None else "content was not read", 0
             return
         if bucket not in ("ooxml", "odf", "archive"):
-            raw = raw.read() if bucket == "pdf" or extension == ".png" else b""
+            raw = raw.read() if bucket == "pdf" or extension in PICTURES else b""
     if extension == ".lnk":
         yield from lnk_parts(raw)
     elif bucket == "ooxml":
-        yield from zip_parts(raw, path)
+        yield from zip_parts(raw, path, owner, extract)
     elif bucket == "odf":
         yield from (p for p in zip_parts(raw, path) if p[0] != "zip_encrypt")
     elif bucket == "email" or extension in (".mht", ".mhtml"):
@@ -436,8 +459,8 @@ def parts_of(path: str, bucket: str, extension: str, raw, depth: int = 0) -> Ite
         yield "xml", "ok" if xml_ok(raw) else "bad", text(raw), 0
     elif extension == ".svg":
         yield from svg_parts(raw)
-    elif extension == ".png":
-        yield from png_parts(raw)
+    elif bucket == "image":
+        yield from picture_parts(raw, extension)
     elif bucket == "pdf":
         yield from pdf_parts(raw)
     elif bucket == "ole":
@@ -446,26 +469,35 @@ def parts_of(path: str, bucket: str, extension: str, raw, depth: int = 0) -> Ite
         yield from archive_parts(raw, path, depth)
 
 
-def parts(files: DataFrame, source: str | None = None) -> DataFrame:
+def parts(files: DataFrame, source: str | None = None, extract: str | None = None, budget: int = 8 << 20) -> DataFrame:
     """Parts of each file row (path, sha256, bucket, extension, content); what cannot be parsed gives one `error` part.
 
-    Rows without content are opened by their path where read_files found them, at the URI `source`.
+    Rows without content are opened by their path where read_files found them, at the URI `source`. Batches hold about `budget` bytes
+    of text, so a file with much in it does not gather in a worker. Embedded objects of documents are written below `extract`.
     """
+    types = [pa.string()] * 4 + [pa.int64()] + [pa.string()] * 3 + [pa.int64()]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [()] * len(types)
+        return pa.RecordBatch.from_arrays([pa.array([_valid(v) for v in c] if t == pa.string() else c, t) for c, t in zip(columns, types, strict=True)], names=[f.split()[0] for f in PART.split(", ")])
+
+    def made(path: str, sha: str | None, bucket: str, ext: str, raw) -> Iterator[Part]:
+        try:
+            yield from parts_of(path, bucket, ext, held(raw, source, path), path.count("!/"), sha or "", extract)
+        except Exception as e:  # noqa: BLE001 one bad file must not end the stage
+            yield "error", "", str(e), 0
 
     def run(batches):
         for batch in batches:
-            out: list[list] = [[] for _ in range(9)]
+            rows, size = [], 0
             for path, sha, bucket, ext, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                made = []
-                try:
-                    made = list(parts_of(path, bucket, ext, held(raw, source, path), path.count("!/")))
-                except Exception as e:  # noqa: BLE001 one bad file must not end the stage
-                    made = [("error", "", str(e), 0)]
-                for k, (kind, name, body, n) in enumerate(made):
-                    for col, v in zip(out, (path, sha, bucket, ext, k, kind, name, body, n), strict=True):
-                        col.append(v)
-            types = [pa.string()] * 4 + [pa.int64()] + [pa.string()] * 3 + [pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array([_valid(v) for v in c] if t == pa.string() else c, t) for c, t in zip(out, types, strict=True)], names=[f.split()[0] for f in PART.split(", ")])
+                for k, part in enumerate(made(path, sha, bucket, ext, raw)):
+                    rows.append((path, sha, bucket, ext, k, *part))
+                    size += len(part[2]) + 100
+                    if size >= budget:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+            yield batch_of(rows)
 
     return files.select("path", "sha256", "bucket", "extension", "content").mapInArrow(run, PART)
 
@@ -483,6 +515,7 @@ def archive_members(files: DataFrame, max_depth: int = MAX_DEPTH, source: str |
         for batch in batches:
             for path, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for inner, data, _ in expand(held(raw, source, path) or b"", path, max_depth):
-                    yield pa.RecordBatch.from_arrays([pa.array([inner]), pa.array([hashlib.sha256(data).hexdigest()]), pa.array([len(data)], pa.int64()), pa.array([None], pa.timestamp("us", "UTC")), pa.array([data], pa.binary())], names=["path", "sha256", "size", "mtime", "content"])
+                    sha, n = (hashlib.sha256(data).hexdigest(), len(data)) if data is not None else (None, None)
+                    yield pa.RecordBatch.from_arrays([pa.array([inner]), pa.array([sha], pa.string()), pa.array([n], pa.int64()), pa.array([None], pa.timestamp("us", "UTC")), pa.array([data], pa.binary())], names=["path", "sha256", "size", "mtime", "content"])
 
     return files.where("bucket = 'archive'").select("path", "content").mapInArrow(run, schema)

@@ -6,7 +6,7 @@ import zipfile
 import pytest
 
 from docsignal.operators import detect, metadata, uniqueness
-from docsignal.queries import make_pdf, make_png, make_zip
+from docsignal.queries import make_jpeg, make_pdf, make_png, make_zip
 from docsignal.sources import containers
 from docsignal.sources.files import classify
 
@@ -182,6 +182,7 @@ def test_metadata(spark):
     f = table(spark, {"x.pdf": pdf, "y.png": make_png("c")})
     meta = metadata.metadata(f)
     m = {r.path: r for r in meta.collect()}
+    assert all(r.error is None for r in m.values())
     assert m["x.pdf"].tags == {"Author": "me", "Producer": "https://h/p", "PageCount": "1"} and m["y.png"].tags["ImageWidth"] == "1"
     got = {(r.file, r.category, r.subcategory) for r in metadata.metadata_findings(f, meta).collect()}
     assert got == {("x.pdf", "metadata_pii", "author"), ("x.pdf", "active_url", "producer"), ("x.pdf", "active_url", "pdf_form_tooltip"), ("x.pdf", "form_field", "pdf_form"), ("y.png", "metadata_pii", "comment")}
@@ -204,3 +205,129 @@ def test_archive_members_over_the_document_limit():
         z.writestr("big.pdf", big)
     assert [(p, data == big) for p, data, _ in containers.expand(out.getvalue(), "a.zip")] == [("a.zip!/big.pdf", True)]
     assert [(k, n) for k, n, _, _ in containers.zip_parts(out.getvalue(), "a.docx")] == [("skipped", "big.pdf")]
+
+
+def test_many_cells(spark):
+    """Places of findings are long: a file with more cells than 32-bit places could number."""
+    cells = "\n".join(["-1"] * 30_000 + ['"=HYPERLINK(""https://h/c"")"']).encode()
+    rows = detect.remote_references(table(spark, {"x.csv": cells})).select("category", "seq").collect()
+    assert {r.category for r in rows} == {"formula_injection", "active_url"} and {r.seq.part for r in rows} == {30_000}
+
+
+def test_unread_content_gives_rows(spark):
+    """Content that is missing is told by every stage, and makes no difference between files."""
+    rows = [(p, "0" * 64, 5, None, None) for p in ("a.pdf", "b.csv", "c.html", "d.docx", "e.png", "f.rtf")]
+    f = classify(spark.createDataFrame(rows, "path string, sha256 string, size long, mtime timestamp, content binary"))
+    got = {(r.file, r.category) for r in detect.remote_references(f).collect()}
+    assert got == {(p, "no_bucket_check") for p in ("a.pdf", "b.csv", "c.html", "d.docx", "e.png", "f.rtf")}
+    meta = metadata.metadata(f)
+    assert {(r.file, r.category) for r in metadata.metadata_findings(f, meta).collect()} == {(p, "no_bucket_check") for p in ("a.pdf", "d.docx", "e.png")}
+    assert {(r.file, r.category) for r in detect.stego(f).collect()} == {("e.png", "no_bucket_check")}
+
+
+def test_broken_members_of_clusters(spark):
+    """An unreadable copy is told and does not count as different."""
+    core = make_zip({"docProps/core.xml": b"<cp:revision>1</cp:revision>"})
+    f = table(spark, {"a.docx": core, "b.docx": core, "c.docx": b"PK\3\4broken"})
+    meta = metadata.metadata(f)
+    assert {r.path for r in meta.where("error is not null").collect()} == {"c.docx"}
+    same = meta.withColumn("tags", metadata.F.create_map().cast("map<string,string>"))
+    got = {(r.file, r.category) for r in uniqueness.uniqueness(f, same).collect()}
+    assert got == {("c.docx", "no_bucket_check")}
+
+
+def test_archive_budget(spark, monkeypatch):
+    """What an archive may unpack to is bounded over all its levels; the rest is told."""
+    inner = make_zip({f"{k}.html": b'<a href="https://h/%d">' % k + b" " * 5000 for k in range(6)})
+    monkeypatch.setattr(containers, "MAX_UNPACKED", 60_000)
+    raw = make_zip({"n.zip": inner, "z.html": b"x" * 100_000})
+    out = list(containers.expand(raw, "o.zip"))
+    assert [p for p, d, _ in out if d is None] == ["o.zip!/n.zip!/5.html", "o.zip!/z.html"] and sum(len(d) for _, d, _ in out if d) <= 60_000
+    rows = [(p, "", 1, None, None if d is None else bytearray(d)) for p, d, _ in out]
+    told = detect.remote_references(classify(spark.createDataFrame(rows, "path string, sha256 string, size long, mtime timestamp, content binary"))).where("category = 'no_bucket_check'")
+    assert {r.file for r in told.collect()} == {"o.zip!/n.zip!/5.html", "o.zip!/z.html"}
+
+
+def test_inflate_is_bounded():
+    import zlib
+
+    assert len(containers.inflate(zlib.compress(b"0" * (1 << 20)), 1000)) == 1000
+
+
+def test_pictures(spark):
+    from docsignal.sources import pictures
+
+    jpeg = make_jpeg({0x010E: "see https://h/d", 0x013B: "Ann", 0xA431: "x"}, (640, 480), make_jpeg({}, (160, 120)))
+    tags, thumb = pictures.picture(jpeg)
+    assert tags["Artist"] == "Ann" and (tags["ImageWidth"], tags["ImageHeight"]) == ("640", "480") and pictures.picture(thumb)[0]["ImageWidth"] == "160"
+    assert ("active_url", "imagedescription") in kinds(spark, "a.jpg", jpeg)
+    gps = struct.pack("<H", 4) + struct.pack("<HHI4s", 1, 2, 2, b"S\0") + struct.pack("<HHII", 2, 5, 3, 100) + struct.pack("<HHI4s", 3, 2, 2, b"E\0") + struct.pack("<HHII", 4, 5, 3, 124) + struct.pack("<I", 0)
+    tiff = b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", 1) + struct.pack("<HHII", 0x8825, 4, 1, 26) + struct.pack("<I", 0) + gps
+    tiff = tiff.ljust(100, b"\0") + struct.pack("<6I", 10, 1, 30, 1, 0, 1) + struct.pack("<6I", 20, 1, 0, 1, 36, 1)
+    assert pictures.exif(tiff)[0]["GPSPosition"] == "-10.5 20.01"
+    assert pictures.xmp(b'<x xmpMM:DocumentID="uuid:1" dc:format="a/b"><dc:creator><rdf:Seq><rdf:li>Bob</rdf:li></rdf:Seq></dc:creator><xmp:Label>L</xmp:Label></x>') == {"DocumentID": "uuid:1", "format": "a/b", "creator": "Bob", "Label": "L"}
+    import zlib
+
+    for kind, data in ((b"zTXt", b"K\0\0" + zlib.compress(b"v")), (b"iTXt", b"K\0\1\0en\0\0" + zlib.compress("é".encode())), (b"iTXt", "K\0\0\0\0\0é".encode())):
+        assert pictures.png_text(kind, data) in (("K", "v"), ("K", "é"))
+    for broken in (b"", b"\xff\xd8\xff", jpeg[:40], b"II*\0" + b"\xff" * 30, b"\x89PNG\r\n\x1a\n\0"):
+        pictures.picture(broken)
+
+
+def test_thumbnail_unlike_its_picture(spark):
+    like, unlike = make_jpeg({}, (640, 480), make_jpeg({}, (160, 120))), make_jpeg({}, (640, 480), make_jpeg({}, (160, 60)))
+    rows = detect.stego(table(spark, {"a.jpg": like, "b.jpg": unlike})).collect()
+    assert [(r.file, r.subcategory, r.evidence) for r in rows] == [("b.jpg", "thumbnail_mismatch", "aspect 1.33, of the thumbnail 2.67")]
+
+
+def coloured(pixels, kinds=(0, 1, 2, 3, 4)):
+    """A PNG of (height, width, 3) bytes whose lines use the given filters in turn."""
+    import zlib
+
+    import numpy as np
+
+    h, w, c = pixels.shape
+    raw, above = b"", np.zeros(w * c, int)
+    for y in range(h):
+        line, kind = pixels[y].ravel().astype(int), kinds[y % len(kinds)]
+        left = np.concatenate([np.zeros(c, int), line[:-c]])
+        corner = np.concatenate([np.zeros(c, int), above[:-c]])
+        p = left + above - corner
+        a, b, d = abs(p - left), abs(p - above), abs(p - corner)
+        paeth = np.where((a <= b) & (a <= d), left, np.where(b <= d, above, corner))
+        guess = [0 * line, left, above, (left + above) // 2, paeth][kind]
+        raw += bytes([kind]) + ((line - guess) % 256).astype(np.uint8).tobytes()
+        above = line
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def test_pixels_of_clusters(spark):
+    import numpy as np
+
+    from docsignal.sources import pictures
+
+    a = np.random.default_rng(0).integers(0, 256, (23, 17, 3)).astype(np.uint8)
+    b = a.copy()
+    b[3, 4] ^= 1
+    b[9, 1] ^= 128
+    assert (pictures.png_pixels(coloured(a)) == a).all()
+    assert len(pictures.gray8(a)) == 64 and pictures.png_pixels(coloured(a)[:60]) is None
+    f = table(spark, {"a.png": coloured(a), "b.png": coloured(b, (2,)), "c.png": coloured(a)})
+    got = {(r.file, r.subcategory, r.evidence) for r in uniqueness.uniqueness(f, metadata.metadata(f)).collect()}
+    assert got == {(p, "pixel_diff", "2") for p in ("a.png", "b.png", "c.png")}
+
+
+def test_evidence_is_bounded(spark):
+    """Of many values a cluster names some and counts the rest."""
+    rows = [("c", {"DocumentID": f"{k:05}"}) for k in range(500)] + [("d", {"DocumentID": x}) for x in "ba"]
+    got = {r.cluster_id: r.evidence for r in uniqueness.tag_diffs(spark.createDataFrame(rows, "cluster_id string, tags map<string,string>")).collect()}
+    assert got["d"] == "a, b" and got["c"].endswith("00019, and 480 more")
+
+
+def test_objects_are_written(spark, tmp_path):
+    doc = make_zip({"word/embeddings/oleObject1.bin": b"payload"})
+    (row,) = detect.embedded(table(spark, {"x.docx": doc}), extract=f"file://{tmp_path}").collect()
+    from pathlib import Path
+
+    assert Path(row.extras["extracted_path"].removeprefix("file://")).read_bytes() == b"payload" and row.extras["size"] == "7"

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docsignal.plans import pipeline, sinks
-from docsignal.plans.state import State
+from docsignal.plans.journal import Journal
 from docsignal.sources.files import read_files
 from docsignal.sources.rules import inventory_of, load_rules, parse_rules, read_findings, rule_rows
 from docsignal.streaming import incremental
@@ -39,11 +39,11 @@ def test_scan_report_resume(spark, source, tmp_path, capsys):
     assert (out / "docsignal-report.csv").read_text().splitlines()[0] == ",".join(sinks.CSV_COLUMNS)
     sarif = json.loads((out / "docsignal-report.sarif").read_text())
     assert len(sarif["runs"][0]["results"]) == len(rows) and sarif["runs"][0]["tool"]["driver"]["rules"]
-    before = {k: v.finished for k, v in State(out, str(source)).load().stages.items()}
+    journal = Journal(out, str(source))
+    before = {k: journal.last(k)["at"] for k in pipeline.order()}
     assert pipeline.scan(spark, str(source), out, o, resume=True) == 0
-    after = State(out, str(source)).load()
-    assert {k: v.finished for k, v in after.stages.items() if k != "report"} == {k: v for k, v in before.items() if k != "report"}
-    assert len(after.runs) == 2 and after.runs[1].exit_code == 0
+    assert {k for k in pipeline.order() if journal.last(k)["at"] != before[k]} == {"report"}
+    assert [r["code"] for r in journal.scans()] == [0, 0]
     inv = inventory_of(spark.read.parquet(f"file://{out}/inventory.parquet"))
     assert inv.count() == 3 and inv.where("size is null or bucket is null").count() == 0
 
@@ -53,7 +53,7 @@ def test_stage_failure_and_single_stage(spark, source, tmp_path, monkeypatch):
     assert pipeline.scan(spark, str(source), out, stages=["uniqueness"]) == 0
     monkeypatch.setitem(pipeline.REGISTRY, "stego", lambda ctx: 1 / 0)
     assert pipeline.scan(spark, str(source), out, stages=["stego"]) == 4
-    assert State(out, str(source)).load().runs[-1].exit_code == 4
+    assert Journal(out, str(source)).scans()[-1]["code"] == 4
     with pytest.raises(FileNotFoundError):
         pipeline.run_report(pipeline.Context(spark, "", tmp_path / "none", pipeline.Options()))
 
@@ -65,27 +65,62 @@ def test_artefacts_elsewhere(spark, source, tmp_path):
     assert not (tmp_path / "out" / "inventory.parquet").exists()
 
 
-def test_lock(tmp_path):
-    a, b = State(tmp_path, "x"), State(tmp_path, "x")
-    a.lock()
-    with pytest.raises(SystemExit) as e:
-        b.lock()
-    assert e.value.code == 5
-    a.unlock()
-    b.lock()
-    b.unlock()
-
-
-def test_state_key_and_unknown_keys(tmp_path):
-    s = State(tmp_path, "x", {"a": 1})
-    s.start([], [])
-    s.completed("inventory", 0, "t")
-    assert State(tmp_path, "x", {"a": 1}).load().is_complete("inventory")
-    assert not State(tmp_path, "y", {"a": 1}).load().is_complete("inventory")
-    d = json.loads(s.path.read_text())
-    d["stages"]["inventory"]["later"] = 1
-    s.path.write_text(json.dumps(d))
-    assert State(tmp_path, "x").load().stages["inventory"].exit_code == 0
+def test_guard(tmp_path):
+    a, b = Journal(tmp_path, "x"), Journal(tmp_path, "x")
+    with a.guarded():
+        with pytest.raises(SystemExit) as e, b.guarded():
+            pass
+        assert e.value.code == 5
+    with b.guarded():
+        pass
+
+
+def test_journal_subjects_and_torn_lines(tmp_path):
+    j = Journal(tmp_path, "x", {"a": 1})
+    assert j.begin(["scan"], ["inventory"]) == 1 and j.scans()[0]["code"] is None
+    j.stage("inventory", 0, "t")
+    assert Journal(tmp_path, "x", {"a": 1}).done("inventory")
+    assert not Journal(tmp_path, "y", {"a": 1}).done("inventory") and not Journal(tmp_path, "x", {"a": 2}).done("inventory")
+    with j.events_path.open("a") as f:
+        f.write('{"event": "stage_en')  # killed while writing
+    j.end(0)
+    assert j.done("inventory") and j.scans()[0]["code"] == 0
+    j.stage("inventory", 4, "t")
+    assert not j.done("inventory") and Journal(tmp_path, "x").begin([], []) == 2
+
+
+def test_listing_by_folder(spark, tmp_path):
+    """Folders are listed level by level; heads are enough to classify files of any size; only wanted files are opened."""
+    from docsignal.sources import files as fs
+
+    src = tmp_path / "src"
+    for k in range(12):
+        (src / f"d{k % 3}" / "e").mkdir(parents=True, exist_ok=True)
+        (src / f"d{k % 3}" / "e" / f".f{k}").write_bytes(b"%PDF-1" + b"x" * 2000)
+    (src / "top.html").write_text("<b>")
+    tables = iter(range(100))
+    save = lambda df, k: (df.write.parquet(p := f"file://{tmp_path}/l{next(tables)}"), spark.read.parquet(p))[1]
+    listed = fs.listing(spark, str(src), save)
+    got = fs.classify(fs.hashed(listed, str(src)))
+    assert {(r.path.rsplit("/", 1)[1], r.bucket, r.size) for r in got.collect()} == {("top.html", "html", 3), *((f".f{k}", "pdf", 2006) for k in range(12))}
+    whole = {r.path: r.sha256 for r in fs.read_files(spark, str(src)).collect()}
+    assert {r.path: r.sha256 for r in got.collect()} == whole
+    back = fs.with_content(got.where("bucket = 'html'"), str(src)).collect()
+    assert [bytes(r.content) for r in back] == [b"<b>"]
+    assert fs.with_content(got, str(src), limit=100).where("content is not null").count() == 1
+    empty = tmp_path / "none"
+    empty.mkdir()
+    assert fs.hashed(fs.listing(spark, str(empty), save), str(empty)).count() == 0
+
+
+def test_report_in_parts(spark, source, tmp_path):
+    o = pipeline.Options(fmt="all", parts=True, artefacts=f"file://{tmp_path}/shared", extract=f"file://{tmp_path}/objects")
+    assert pipeline.scan(spark, str(source), tmp_path / "out", o) == 0
+    rows = spark.read.parquet(f"file://{tmp_path}/shared/findings.parquet").count()
+    assert spark.read.json(f"file://{tmp_path}/shared/report.json").count() == rows
+    assert spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"file://{tmp_path}/shared/report.csv").count() == rows
+    parts = [json.loads(p.read_text()) for p in sorted((tmp_path / "shared" / "report.sarif").glob("part-*"))]
+    assert sum(len(p["runs"][0]["results"]) for p in parts) == rows and not list((tmp_path / "out").glob("docsignal-report*"))
 
 
 def test_rules(tmp_path):
