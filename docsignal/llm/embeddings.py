@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from .common import U64, Scratch, components, mix64, read
 
 LINK = 0.93
-#: a cell is to hold about CELL nodes; it is split into FAN cells at most, by PER_CENTROID sampled nodes for each
-CELL, FAN, PER_CENTROID = 400, 128, 48
+#: a cell is to hold about CELL nodes of its own; labels of more than WHOLE cells' nodes are split, into FAN cells at most, by
+#: PER_CENTROID sampled nodes for each
+CELL, WHOLE, FAN, PER_CENTROID = 150, 8, 128, 48
 #: a node goes to so many cells at the first split and at later ones, and to no more than half of them; LEVELS splits give FAN ** LEVELS cells
 OVERLAP, LATER, LEVELS = 3, 2, 5
 MOST_SHARD, DEGREE, ALPHA, BEAM, POOL = 3000, 24, 1.2, 24, 64
@@ -268,7 +269,7 @@ def deal(scratch: Scratch, points: DataFrame, link: float, cell: int, overlap: i
     done, large = None, None
     for level in range(LEVELS):
         counts = scratch.save(open_.groupBy(*CELL_KEY).count(), f"counts{level}")
-        big = counts.where(F.col("count") > (2 * cell if level == 0 else most_shard))
+        big = counts.where(F.col("count") > (min(WHOLE * cell, most_shard) if level == 0 else most_shard))
         if not big.limit(1).count():
             break
         dealt, dense = split(scratch, open_, big, level, link, cell, overlap if level == 0 else min(LATER, overlap))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, open_fs, read, shared_root
+from .common import Scratch, open_fs, read
 
 WARC, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 LEAST_BYTES = 0
@@ -260,7 +260,7 @@ def read_archives(manifest: DataFrame, step: int = 4 << 20) -> DataFrame:
     def run(batches):
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                z = open_zip(path)
+                z = open_zip(path)  # closed at the end, or with the worker's error
                 start, _ = z.data_at(WARC)
                 spans = [json.loads(x.partition(" ")[2]) for x in z.read(INDEX).decode().splitlines()]
                 i = 0
@@ -279,6 +279,7 @@ def read_archives(manifest: DataFrame, step: int = 4 << 20) -> DataFrame:
                         rows.append((_urn(r["warc-record-id"]), r["warc-target-uri"], None if kind == "revisit" else r["body"], size, digest, kind, _urn(r.get("warc-refers-to")) if kind == "revisit" else None))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES)
                     i = j
+                z.file.close()
 
     n = max(1, manifest.count())
     return manifest.select("path").repartition(min(n, 10_000)).mapInArrow(run, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
@@ -289,5 +290,6 @@ _TYPES = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.stri
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = f"{shared_root(spark)}/docsignal-op7-{uuid.uuid4().hex[:12]}"
+    """read_archives() of the archives that write_archives() makes of all pages; null html is an empty payload."""
+    out = Scratch(spark, "op7").path("archives")
     return read_archives(write_archives(spark, read(spark, sf_dir, "pages"), out)).drop("url", "payload")

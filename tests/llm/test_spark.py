@@ -387,7 +387,7 @@ def test_embeddings(spark):
     rows = [(k, [float(np.float32(v)) for v in base[k % 40] + rng.normal(size=16) * 0.05], k % 3) for k in range(200)]
     rows += [(200, None, 1), (201, [0.0] * 16, 1), (202, [float("nan")] * 16, 1), (203, [None] * 16, 1), (204, rows[0][1], None), (205, rows[0][1], 0), (206, rows[0][1], 0), (206, rows[0][1], 0), (207, [], 1), (208, [2 * v for v in rows[1][1]], 1), (None, rows[2][1], 2), (209, [1e308] * 16, 1), (210, [1e308] * 16, 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    for kw in ({}, {"cell": 12, "most_shard": 1000}, {"cell": 12, "most_shard": 6}):
+    for kw in ({}, {"cell": 4, "most_shard": 1000}, {"cell": 12, "most_shard": 6}):
         res = embeddings.near_duplicates(spark, df, **kw)
         got = res.collect()
         good = [k is not None and lab is not None and usable(v) for k, v, lab in rows]
@@ -596,3 +596,26 @@ def test_embeddings_of_large_shards(spark):
     want = sim.sum(1)
     n = np.array([got[k].n_links for k in range(len(x))])
     assert (n <= want).all() and n[:3500].sum() >= 0.95 * want[:3500].sum() and n[3500:].sum() >= 0.95 * want[3500:].sum()
+
+
+def test_very_long_texts(spark, tmp_path):
+    """A text of several megabytes is used whole by every operator: what lies at its end counts."""
+    rng = random.Random(12)
+    words = [rng.choice(WORDS) + rng.choice(WORDS)[:3] for _ in range(3000)]
+    long = " ".join(rng.choice(words) for _ in range(500_000))
+    passage = " ".join(f"item{k}" for k in range(20))
+    rows = [(1, long + " " + passage, "en", "s", 1, 0.0), (2, "short " + passage, "en", "s", 1, 0.0), (3, long + " " + passage + " and more", "en", "s", 1, 0.0)]
+    df = spark.createDataFrame(rows, DOCS)
+    hit = {r.doc_id: (r.n_words, r.n_hit) for r in decontaminate.find_contamination(spark, df, spark.createDataFrame([("a", passage)], "item_id string, text string")).collect()}
+    assert hit == {1: (500_020, 20), 2: (21, 20), 3: (500_022, 20)}
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(spark, df).collect()} == {1: 1, 2: 2, 3: 1}
+    m = tokens.write_shards(spark, df, f"file://{tmp_path}/t", tokens.tokenizer_path())
+    enc = tokens.Encoder(tokens.tokenizer_path())
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4")[:-1].tolist() for r in tokens.read_shards(m).where("doc_id > 1").collect()} == {k: enc.whole(t).tolist() for k, t, *_ in rows[1:]}
+    kept = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(spark, df).collect()}
+    shared = len(rows[0][1])
+    assert kept == {1: (shared, shared), 2: (len(rows[1][1]), 0), 3: (len(rows[2][1]), shared)}
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (3, 1, 1)], "doc_id long, quality int, toxic int")
+    for out in (toxicity.score(spark, df, toxicity.train(spark, df, labels)), quality.score(spark, df, quality.train(spark, df, labels)), language.predict(spark, df, language.train(spark, df))):
+        assert all(0 <= r[-1] <= 1 for r in out.collect())
+    assert {r.doc_id: r.size for r in mixing.mix(spark, df).collect()} == {1: 500_020, 2: 21, 3: 500_022}
