@@ -177,8 +177,9 @@ def span_groups(starts: np.ndarray, ends: np.ndarray, most: int = 1 << 17):
 
 def padded(data: np.ndarray, lo: int, hi: int, fold: bool) -> np.ndarray:
     """The bytes lo to hi and 8 zeros, A-Z lower-cased if fold."""
+    part = data[lo:hi]
     out = np.zeros(hi - lo + 8, np.uint8)
-    out[: hi - lo] = LOWER[data[lo:hi]] if fold else data[lo:hi]
+    out[: len(part)] = LOWER[part] if fold else part
     return out
 
 
@@ -200,26 +201,39 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bo
     Each chunk of 8 bytes is scattered together with its number in the span, and the sum is scattered with the length: no pattern
     of repeats within a span makes hashes meet, as it would for a polynomial modulo 2^64. `lane` chooses an independent function.
     """
-    out = np.zeros(len(starts), U64)
-    for i, j in span_groups(starts, ends, piece):
+    out, size = np.zeros(len(starts), U64), ends - starts
+    short = (size > 0) & (size <= 8)
+    rows = np.flatnonzero(short)  # most words: one chunk
+    for i in range(0, len(rows), piece):
+        r = rows[i : i + piece]
+        lo = int(starts[r].min())
+        out[r] = mix64(chunk_values(padded(data, lo, int(ends[r].max()), fold), starts[r] - lo, size[r]) + _key(np.zeros(1, np.int64), lane))
+    rows = np.flatnonzero(size > 8)
+    starts_, ends_ = starts[rows], ends[rows]
+    for i, j in span_groups(starts_, ends_, piece):
+        s, e, r = starts_[i:j], ends_[i:j], rows[i:j]
         if j == i + 1:  # in pieces, as it may be of any length
-            for p in range(int(starts[i]), int(ends[i]), 8 * piece):
-                q = min(int(ends[i]), p + 8 * piece)
+            for p in range(int(s[0]), int(e[0]), 8 * piece):
+                q = min(int(e[0]), p + 8 * piece)
                 v, k, _, _ = span_chunks(padded(data, p, q, fold), np.array([0]), np.array([q - p]))
-                out[i:j] += mix64(v + _key(k + (p - int(starts[i])) // 8, lane)).sum(dtype=U64, keepdims=True)
+                out[r] += mix64(v + _key(k + (p - int(s[0])) // 8, lane)).sum(dtype=U64, keepdims=True)
             continue
-        lo, hi = int(starts[i:j].min()), int(ends[i:j].max())
-        v, k, first, size = span_chunks(padded(data, lo, hi, fold), starts[i:j] - lo, ends[i:j] - lo)
-        some = np.flatnonzero(size)
-        if len(some):
-            out[i:j][some] = np.add.reduceat(mix64(v + _key(k, lane)), first[some])
-    return mix64(out + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+        lo = int(s.min())
+        v, k, first, _ = span_chunks(padded(data, lo, int(e.max()), fold), s - lo, e - lo)
+        out[r] = np.add.reduceat(mix64(v + _key(k, lane)), first)
+    return mix64(out + size.astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
 def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, pool: np.ndarray, pool_starts: np.ndarray, pool_ends: np.ndarray, fold: bool = True) -> np.ndarray:
     """Whether each span has the bytes of its partner in `pool`, A-Z lower-cased in data if fold."""
-    same = ends - starts == pool_ends - pool_starts
-    rows = np.flatnonzero(same & (ends > starts))
+    size = ends - starts
+    same = size == pool_ends - pool_starts
+    rows = np.flatnonzero(same & (size > 0))
+    if len(rows):  # by their first chunk, which is all of most words
+        lo, low = int(starts[rows].min()), int(pool_starts[rows].min())
+        x = chunk_values(padded(data, lo, int(starts[rows].max()) + 8, fold), starts[rows] - lo, size[rows])
+        same[rows] = x == chunk_values(padded(pool, low, int(pool_starts[rows].max()) + 8, False), pool_starts[rows] - low, size[rows])
+        rows = rows[same[rows] & (size[rows] > 8)]
     for i, j in span_groups(starts[rows], ends[rows]):
         r = rows[i:j]
         for p in range(0, max(1, int((ends[r] - starts[r]).max())), 1 << 20):  # a long span is alone: in pieces
