@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, U64, crc_mod, mix64, plus, read, text_slices, unused
+from .common import LOWER, U64, crc_mod, mix64, plus, read, text_slices, trim, unused
 from .toxicity import held_out
 
 BITS, HASHES, GRAM = 20, 2, 4
@@ -26,6 +26,8 @@ MOST_ROWS = 2000
 OFTEN = 0.003
 #: a longer text is counted in pieces of so many bytes
 PIECE = 1 << 20
+#: texts are taken together up to so many bytes: a byte of text takes some sixty while it is looked up
+SLICE = 1 << 18
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -71,7 +73,10 @@ class Filters:
 
     def hits(self, table: np.ndarray, doc: np.ndarray, g: np.ndarray, n: int) -> np.ndarray:
         """Per document and language the n-grams whose mask names it."""
-        at, hits = positions(g), []
+        return self._hits(table, doc, positions(g), n)
+
+    def _hits(self, table: np.ndarray, doc: np.ndarray, at: list[np.ndarray], n: int) -> np.ndarray:
+        hits = []
         for part in table:
             mask = part[at[0]]
             for p in at[1:]:
@@ -98,8 +103,9 @@ class Filters:
             part, off = (data[p : p + PIECE + GRAM - 1], np.array([0, min(len(data) - p, PIECE + GRAM - 1)])) if n == 1 else (data, offsets)
             doc, g = grams(part, off)
             total += np.bincount(doc, minlength=n)
+            at = positions(g)
             for table, sums in zip(tables, hits, strict=True):
-                sums += self.hits(table, doc, g, n)
+                sums += self._hits(table, doc, at, n)
         own = [self.corrected(t, h, total) for t, h in zip(tables, hits, strict=True)]
         top = sum(own).argmax(1)
         return top, np.minimum(1.0, own[0][np.arange(n), top] / np.maximum(total, 1))
@@ -125,7 +131,7 @@ def train(spark: SparkSession, documents: DataFrame, most: int = MOST_ROWS, mod:
             index = {x: i for i, x in enumerate(langs)}
             lang = np.array([index[x] for x in batch.column(1).to_pylist()], np.int64)
             parts = []
-            for i, j, data, off in text_slices(batch.column(0)):
+            for i, j, data, off in text_slices(batch.column(0), SLICE):
                 doc, g = grams(data, off)
                 key = np.unique(doc << 32 | g.astype(np.int64))  # documents that have it, not occurrences
                 parts.append(np.stack([lang[i + (key >> 32)], key & 0xFFFFFFFF]))
@@ -173,7 +179,7 @@ def predict(spark: SparkSession, documents: DataFrame, filters: Filters) -> Data
         f = shared.value
         for batch in batches:
             pred, score = [], []
-            for i, j, data, off in text_slices(batch.column(k)):
+            for i, j, data, off in text_slices(batch.column(k), SLICE):
                 n = j - i
                 plain = np.logical_or.reduceat(np.append(_ASCII[data], False), np.minimum(off[:-1], len(data))) & (np.diff(off) > 0)
                 if not f.langs:
@@ -189,6 +195,7 @@ def predict(spark: SparkSession, documents: DataFrame, filters: Filters) -> Data
                         pred.append(f.langs[top[d]])
                         score.append(float(share[d]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*cols, *names])
+        trim()
 
     return documents.mapInArrow(run, plus(documents.schema, (names[0], T.StringType()), (names[1], T.DoubleType())))
 
