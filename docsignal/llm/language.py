@@ -23,7 +23,7 @@ BITS, HASHES, GRAM = 20, 2, 4
 #: at most about so many documents of each language are fitted, chosen by a hash of doc_id
 MOST_ROWS = 2000
 #: a language has an n-gram often if this share of its fitted documents have it, at least one
-OFTEN = 0.003
+OFTEN = 0.05
 #: a longer text is counted in pieces of so many bytes
 PIECE = 1 << 20
 #: texts are taken together up to so many bytes: a byte of text takes some sixty while it is looked up
