@@ -111,8 +111,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, factors:
     machine = _descend(rows, labels, weight, alone, factors, epochs, rate, l2, seed)
     if not len(rows) or labels.min() == labels.max():
         return machine
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    more = paired(rows, labels - sigmoid(machine.logits(doc, np.concatenate(rows), len(rows))))
+    z = [machine.logits(np.repeat(np.arange(len(part)), [len(r) for r in part]), np.concatenate(part), len(part)) for part in (rows[i : i + 500] for i in range(0, len(rows), 500))]
+    more = paired(rows, labels - sigmoid(np.concatenate(z)))
     used = np.union1d(alone, more)
     return machine if len(used) == len(alone) else _descend(rows, labels, weight, used, factors, epochs, rate, l2, seed)
 
