@@ -619,3 +619,23 @@ def test_very_long_texts(spark, tmp_path):
     for out in (toxicity.score(spark, df, toxicity.train(spark, df, labels)), quality.score(spark, df, quality.train(spark, df, labels)), language.predict(spark, df, language.train(spark, df))):
         assert all(0 <= r[-1] <= 1 for r in out.collect())
     assert {r.doc_id: r.size for r in mixing.mix(spark, df).collect()} == {1: 500_020, 2: 21, 3: 500_022}
+
+
+def test_tokens_of_hot_ids(spark, tmp_path):
+    """Null ids, or one id on most rows, are dealt to several parts, and the order of starts stays that of (doc_id, checksum)."""
+    rows = [(None, f"null {k % 700}") for k in range(3000)] + [(7, f"seven {k}") for k in range(4000)] + [(k, f"own {k}") for k in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    m = tokens.write_shards(spark, df, f"file://{tmp_path}/t", tokens.tokenizer_path())
+    shards = m.orderBy("shard").collect()
+    assert [r.shard for r in shards] == list(range(len(shards))) and len(shards) >= 4 and max(r.documents for r in shards) < 5000
+    got = sorted(tokens.read_shards(m).collect(), key=lambda r: r.start)
+    key = [(r.doc_id is not None, r.doc_id or 0) for r in got]
+    assert key == sorted(key) and len(got) == len(rows)
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    enc = tokens.Encoder(tokens.tokenizer_path())
+    assert collections.Counter((r.doc_id, bytes(r.ids)) for r in got) == collections.Counter((k, np.append(enc.whole(t), 2).astype("<u4").tobytes()) for k, t in rows)
+    total = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    assert tokens.write_shards(spark, total.where("doc_id < 0"), f"file://{tmp_path}/n", tokens.tokenizer_path()).count() == 0
