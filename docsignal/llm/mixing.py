@@ -24,7 +24,7 @@ from .common import Scratch, read, unused
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2
 #: a source's cut is sought in one of BINS bins; FILL documents after it are tried for a gap of over SLACK of the target
-BINS, FILL, SLACK = 1024, 1000, 0.005
+BINS, FILL, SLACK = 1024, 200, 0.005
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -93,7 +93,7 @@ def _cuts(scratch: Scratch, live: DataFrame, quotas: DataFrame, bins: int, fill:
     over = F.when(F.col("upto") > F.col("quota"), F.struct("bin", (F.col("upto") - F.col("words")).alias("before"), (F.col("seen") - F.col("rows")).alias("seen")))
     first = sums.groupBy("key").agg(F.max("quota").alias("quota"), F.max("slack").alias("slack"), F.min(over).alias("c")).where("c is not null").select("key", "quota", "slack", "c.*")
     # the bins after the cut's that hold documents enough to fill the gap
-    near = sums.join(small(first.select(F.col("key").alias("k"), F.col("bin").alias("b0"), F.col("seen").alias("n0"))), F.expr("key <=> k and bin >= b0 and (bin <= b0 + 1 or seen - rows <= n0 + %d)" % (4 * fill)))
+    near = sums.join(small(first.select(F.col("key").alias("k"), F.col("bin").alias("b0"), F.col("seen").alias("n0"))), F.expr("key <=> k and bin >= b0 and (bin <= b0 + 1 or seen - rows <= n0 + %d)" % (2 * fill)))
     first = scratch.save(first.join(near.groupBy("k").agg(F.max("bin").alias("last")), F.expr("key <=> k")).select(F.col("key").alias("k"), "quota", "slack", "bin", "last", "before"), "edges")
     rows = live.join(small(first), F.expr("key <=> k")).where(spot.between(F.col("bin"), F.col("last")))
     units = rows.groupBy("key", "s", "tie").agg(F.sum("size").alias("size"), F.max("quota").alias("quota"), F.max("slack").alias("slack"), F.max("before").alias("before"))

@@ -50,7 +50,7 @@ cu AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY s, doc_id, h) AS u
 k1 AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY s, doc_id, h) AS n FROM cu WHERE upto > quota),
 gp AS (SELECT source, quota - upto + size AS gap FROM k1 WHERE n = 1),
 ca AS (SELECT k1.*, gp.gap, row_number() OVER (PARTITION BY k1.source ORDER BY s, doc_id, h) AS r FROM k1 JOIN gp ON k1.source IS NOT DISTINCT FROM gp.source WHERE size <= gap AND gap > slack),
-gr AS (SELECT source, CAST(0 AS BIGINT) AS r, CAST(gap AS BIGINT) AS rest, false AS got FROM gp UNION ALL SELECT gr.source, ca.r, CAST(CASE WHEN ca.size <= gr.rest AND gr.rest > ca.slack THEN gr.rest - ca.size ELSE gr.rest END AS BIGINT), ca.size <= gr.rest AND gr.rest > ca.slack FROM gr JOIN ca ON gr.source IS NOT DISTINCT FROM ca.source AND ca.r = gr.r + 1 WHERE ca.r <= 1000),
+gr AS (SELECT source, CAST(0 AS BIGINT) AS r, CAST(gap AS BIGINT) AS rest, false AS got FROM gp UNION ALL SELECT gr.source, ca.r, CAST(CASE WHEN ca.size <= gr.rest AND gr.rest > ca.slack THEN gr.rest - ca.size ELSE gr.rest END AS BIGINT), ca.size <= gr.rest AND gr.rest > ca.slack FROM gr JOIN ca ON gr.source IS NOT DISTINCT FROM ca.source AND ca.r = gr.r + 1 WHERE ca.r <= 200),
 y AS (SELECT doc_id, h FROM cu WHERE upto <= quota UNION ALL SELECT ca.doc_id, ca.h FROM ca JOIN gr ON ca.source IS NOT DISTINCT FROM gr.source AND ca.r = gr.r WHERE gr.got)
 SELECT pr.doc_id, pr.size, pr.source_size, pr.target, CAST(pr.size * (pr.whole + CASE WHEN y.doc_id IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS taken FROM pr LEFT JOIN y ON pr.doc_id = y.doc_id AND pr.h = y.h"""
 
