@@ -48,7 +48,7 @@ def evidence_domain(strict_host: bool = False) -> Column:
 
 
 def domain_files(findings: DataFrame, strict_host: bool = False) -> DataFrame:
-    """(domain, n_files): distinct files by domain, over all link findings."""
+    """(domain, n_files): distinct files by domain, over all link findings; the same before and after dedup, whose key holds what it counts."""
     return findings.select("file", evidence_domain(strict_host).alias("domain")).where("domain is not null").groupBy("domain").agg(F.count_distinct("file").alias("n_files"))
 
 
@@ -83,8 +83,8 @@ def domain_flags(spark: SparkSession, domains: DataFrame, lists: dict[str, list[
         return domains.select("*", *[F.lit(False).alias(k) for k in lists])
     rules = spark.createDataFrame(rows, "suffix string, list string")
     rules = F.broadcast(rules) if len(rows) <= MOST_RULES else rules
-    hits = domains.select("domain", F.explode(suffixes(F.col("domain"))).alias("suffix")).join(rules, "suffix").groupBy("domain").agg(*[F.max(F.col("list") == k).alias(k) for k in lists])
-    return domains.join(hits, "domain", "left").select(*domains.columns, *[F.coalesce(k, F.lit(False)).alias(k) for k in lists])
+    ends = domains.select("*", F.explode_outer(suffixes(F.col("domain"))).alias("suffix")).join(rules, "suffix", "left")
+    return ends.groupBy(*domains.columns).agg(*[F.coalesce(F.max(F.col("list") == k), F.lit(False)).alias(k) for k in lists])
 
 
 def calibrated(n: Column, confidence: Column) -> tuple[Column, Column]:
@@ -97,8 +97,8 @@ def calibrated(n: Column, confidence: Column) -> tuple[Column, Column]:
     return sev, conf
 
 
-def evaluate(spark: SparkSession, findings: DataFrame, allow: Rules | None = None, deny: Rules | None = None, strict_host: bool = False) -> DataFrame:
-    """Rules and calibration over deduplicated findings.
+def evaluate(spark: SparkSession, findings: DataFrame, allow: Rules | None = None, deny: Rules | None = None, strict_host: bool = False, counted: DataFrame | None = None) -> DataFrame:
+    """Rules and calibration over deduplicated findings. `counted`, the findings before dedup, spares a second dedup for the domain counts.
 
     Allowed rows go first, denied ones become critical with confidence 1, benign domains info with 0.2, and other links follow the
     rarity of their domain, counted before any row goes. The domain's flags and count are worked out once a domain, then joined
@@ -106,7 +106,7 @@ def evaluate(spark: SparkSession, findings: DataFrame, allow: Rules | None = Non
     """
     allow, deny = allow or Rules(), deny or Rules()
     df = findings.withColumn("domain", evidence_domain(strict_host))
-    domains = domain_flags(spark, domain_files(findings, strict_host), {"_allow_domain": allow.domains, "_deny_domain": deny.domains, "_benign": BENIGN_DOMAINS})
+    domains = domain_flags(spark, domain_files(findings if counted is None else counted, strict_host), {"_allow_domain": allow.domains, "_deny_domain": deny.domains, "_benign": BENIGN_DOMAINS})
     df = df.join(domains.withColumnRenamed("domain", "_d"), F.col("domain") == F.col("_d"), "left").drop("_d")
     for flag, values, column in (("_allow_file", allow.files, "file"), ("_deny_file", deny.files, "file"), ("_allow_url", allow.urls, "evidence"), ("_deny_url", deny.urls, "evidence")):
         df = _flag(spark, df, values, column, flag)
@@ -137,7 +137,8 @@ def ordered(findings: DataFrame) -> DataFrame:
 
 def report(spark: SparkSession, stages: list[DataFrame], allow: Rules | None = None, deny: Rules | None = None, least: str = "info", strict_host: bool = False) -> DataFrame:
     """Union, dedup, evaluate, threshold, order; the threshold sees calibrated severities."""
-    return ordered(threshold(evaluate(spark, dedup(union_all(stages)), allow, deny, strict_host), least))
+    made = union_all(stages)
+    return ordered(threshold(evaluate(spark, dedup(made), allow, deny, strict_host, made), least))
 
 
 def severity_summary(findings: DataFrame) -> DataFrame:

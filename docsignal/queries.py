@@ -244,12 +244,13 @@ def findings_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("domain_prevalence", f"WITH {PREV_SQL} SELECT domain, n_files FROM p")
 def domain_prevalence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.domain_files(report.dedup(event_findings(spark, sf_dir)))
+    return report.domain_files(event_findings(spark, sf_dir))
 
 
 @query("calibrate", f"WITH {PREV_SQL}, {_calibrated_sql()} SELECT file, category, subcategory, evidence, severity, confidence FROM c")
 def calibrate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.evaluate(spark, report.dedup(event_findings(spark, sf_dir))).select(*COLS)
+    e = event_findings(spark, sf_dir)
+    return report.evaluate(spark, report.dedup(e), counted=e).select(*COLS)
 
 
 _ALLOWED = f"""file IN ({_q(*ALLOW.files)}) OR ({LINK_SQL} AND (evidence IN ({_q(*ALLOW.urls)}) OR {DOMAIN_SQL} = 'h7.example.com' OR {DOMAIN_SQL} LIKE '%.h7.example.com' OR {DOMAIN_SQL} = 'h8.example.com' OR {DOMAIN_SQL} LIKE '%.h8.example.com')) OR (category LIKE 'metadata\\_%' ESCAPE '\\' AND subcategory = 'author' AND contains(evidence, 'h11.'))"""
@@ -258,7 +259,8 @@ _DENIED = f"""file IN ({_q(*DENY.files)}) OR ({LINK_SQL} AND (evidence IN ({_q(*
 
 @query("allow_deny", f"WITH {PREV_SQL}, {_calibrated_sql(_DENIED)} SELECT file, category, subcategory, evidence, severity, confidence FROM c WHERE NOT ({_ALLOWED})")
 def allow_deny(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.evaluate(spark, report.dedup(event_findings(spark, sf_dir)), ALLOW, DENY).select(*COLS)
+    e = event_findings(spark, sf_dir)
+    return report.evaluate(spark, report.dedup(e), ALLOW, DENY, counted=e).select(*COLS)
 
 
 @query("severity_threshold", f"WITH {PREV_SQL}, {_calibrated_sql()} SELECT file, category, subcategory, evidence, severity, confidence FROM c WHERE {RANK_SQL.format('severity')} >= 2")
@@ -273,7 +275,8 @@ def report_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("severity_summary", f"WITH {PREV_SQL}, {_calibrated_sql()} SELECT severity, category, count(*) AS n FROM c GROUP BY ALL")
 def severity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.severity_summary(report.evaluate(spark, report.dedup(event_findings(spark, sf_dir))))
+    e = event_findings(spark, sf_dir)
+    return report.severity_summary(report.evaluate(spark, report.dedup(e), counted=e))
 
 
 @query("stage_summary", f"WITH {EVENTS_SQL} SELECT stage, count(*) AS total, count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'high') AS high FROM f GROUP BY stage")
