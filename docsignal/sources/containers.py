@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import csv
 import email
+import gzip
 import hashlib
 import io
 import posixpath
@@ -26,6 +27,9 @@ from pyspark.sql import DataFrame
 from ..vocab import EXTENSION_BUCKET, MAX_DEPTH, MAX_HELD, MAX_MEMBER, MAX_STREAM, MAX_TEXT, MAX_UNPACKED
 from .compound import ole_parts
 from .pictures import PNG, picture, thumbnail_of
+from .sevenzip import each as seven
+from .sevenzip import is_7z
+from .sevenzip import listed as seven_names
 
 Part = tuple[str, str, str, int]
 
@@ -70,7 +74,7 @@ def is_zip(raw) -> bool:
 
 
 def each_member(raw, path: str) -> Iterator[tuple[str, int, Callable[[], bytes]]]:
-    """(name, size, read) of the safe members of a ZIP or TAR archive that are files; read() unpacks one."""
+    """(name, size, read) of the safe members of a ZIP, TAR, 7z or gzip archive that are files; read() unpacks one."""
     if is_zip(raw):
         with zipfile.ZipFile(stream(raw)) as z:
             for i in z.infolist():
@@ -81,6 +85,23 @@ def each_member(raw, path: str) -> Iterator[tuple[str, int, Callable[[], bytes]]
             for m in t:
                 if safe(m.name) and m.isfile():
                     yield m.name, m.size, lambda m=m: t.extractfile(m).read()
+    elif is_7z(stream(raw)):
+        yield from (m for m in seven(stream(raw), MAX_HELD) if safe(m[0]))
+    elif stream(raw).read(2) == b"\x1f\x8b":
+        yield gz_name(path), 0, lambda: gunzip(stream(raw))
+
+
+def gz_name(path: str) -> str:
+    """What a gzip file holds is named like it, without the ending."""
+    return re.sub(r"(?i)\.gz$", "", path.rsplit("/", 1)[-1]) or "content"
+
+
+def gunzip(f, most: int = MAX_HELD) -> bytes:
+    with gzip.GzipFile(fileobj=f) as z:
+        data = z.read(most + 1)
+    if len(data) > most:
+        raise ValueError("gzip file unpacks to more than the limit")
+    return data
 
 
 def members(raw, path: str) -> list[tuple[str, bytes]]:
@@ -100,11 +121,17 @@ def names(raw, path: str) -> list[str]:
     if path.endswith((".tar", ".tar.gz", ".tgz")):
         with tarfile.open(fileobj=stream(raw)) as t:
             return t.getnames()
+    if is_7z(stream(raw)):
+        return [m[0] for m in seven_names(stream(raw))]
+    if stream(raw).read(2) == b"\x1f\x8b":
+        return [gz_name(path)]
     return []
 
 
 def encrypted(raw) -> str | None:
-    """Name of the first member that needs a password."""
+    """Name of the first member of a ZIP or 7z archive that needs a password."""
+    if is_7z(stream(raw)):
+        return next((m[0] for m in seven_names(stream(raw)) if m[3] is not None and m[3].locked), None)
     with zipfile.ZipFile(stream(raw)) as z:
         return next((i.filename for i in z.infolist() if i.flag_bits & 1), None)
 
@@ -148,7 +175,7 @@ def zip_parts(raw: bytes, path: str, owner: str = "", extract: str | None = None
 
 def archive_parts(raw: bytes, path: str, depth: int) -> Iterator[Part]:
     try:
-        if is_zip(raw) or path.lower().endswith(".zip"):
+        if is_zip(raw) or is_7z(stream(raw)) or path.lower().endswith(".zip"):
             if (name := encrypted(raw)) is not None:
                 yield "archive_encrypt", name, "", depth
                 return
@@ -173,7 +200,7 @@ def expand(raw: bytes, path: str, max_depth: int = MAX_DEPTH, depth: int = 0, bu
     if depth >= max_depth:
         return
     try:
-        if is_zip(raw) and encrypted(raw) is not None:
+        if (is_zip(raw) or is_7z(stream(raw))) and encrypted(raw) is not None:
             return
     except Exception:  # noqa: BLE001 archive_parts reports it
         return

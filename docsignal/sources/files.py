@@ -180,6 +180,7 @@ def describe(content: Column) -> Column:
         .when(starts("D0CF11E0A1B11AE1"), "Composite Document File V2 Document")
         .when(starts("504B0304", "504B0506"), "Zip archive data")
         .when(starts("1F8B"), "gzip compressed data")
+        .when(starts("377ABCAF271C"), "7-zip archive data")
         .when(F.substring(content, 258, 5) == F.lit(b"ustar"), "POSIX tar archive")
         .when(starts("FFD8FF"), "JPEG image data")
         .when(starts("89504E470D0A1A0A"), "PNG image data")
@@ -199,7 +200,7 @@ def bucket(ext: Column, mime: Column, specialized: bool = False) -> Column:
     m = F.lower(F.coalesce(mime, F.lit("")))
     has = lambda *ws: F.array_max(F.array(*[F.contains(m, F.lit(w)) for w in ws]))
     by = F.element_at(_map(EXTENSION_BUCKET), ext)
-    rules = [(("pdf",), "pdf"), (("rich text format", "rtf"), "rtf"), (("composite document file",), "ole"), (("zip archive",), "archive"), (("tar archive", "gzip"), "archive"), (("jpeg", "png", "gif"), "image"), (("html",), "html"), (("csv",), "csv"), (("xml",), "xml")]
+    rules = [(("pdf",), "pdf"), (("rich text format", "rtf"), "rtf"), (("composite document file",), "ole"), (("zip archive",), "archive"), (("tar archive", "gzip", "7-zip archive"), "archive"), (("jpeg", "png", "gif"), "image"), (("html",), "html"), (("csv",), "csv"), (("xml",), "xml")]
     out = F.when(ext.isin(list(SPECIALIZED_KIND)), "specialized").when(by.isNotNull(), by) if specialized else F.when(by.isNotNull(), by)
     for words, name in rules:
         out = out.when(has(*words), name)
