@@ -478,6 +478,21 @@ def test_scores_of_repeated_rows_ties_and_clashes(spark):
             assert by.setdefault(r.text, tuple(r)[len(df.columns) :]) == tuple(r)[len(df.columns) :]
 
 
+def plain_toxicity(m, text):
+    """A text's score by loops over its words and their pairs."""
+    from docsignal.llm import common
+
+    def bucket(word, prefix=False):
+        data = np.frombuffer(word, np.uint8)
+        h = common.span_hashes(data, np.array([0]), np.array([len(data)]))
+        return int((common.mix64(h ^ np.uint64(0x5BF03635)) if prefix else h)[0]) >> (64 - toxicity.BITS)
+
+    words = re.findall(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (text or "").encode())
+    have = sorted({b for w in set(words) for b in [bucket(w)] + ([bucket(w[:4], True)] if len(w) >= 6 else []) if m.slot[b] >= 0})
+    z = m.b + sum(m.w[m.slot[b]] for b in have) + sum(float(m.v[m.slot[a]] @ m.v[m.slot[b]]) for i, a in enumerate(have) for b in have[:i])
+    return 1 / (1 + np.exp(-max(-40, min(40, z))))
+
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -496,12 +511,28 @@ def test_pipeline(spark):
     last = kept[-1].collect()
     assert collections.Counter((r.doc_id, r.n_tokens) for r in tok) == collections.Counter((r.doc_id, len(enc.whole(r.text)) + 1) for r in last)
     a, b = kept[0].collect(), kept[1].collect()
-    truth = truth_components([(r.doc_id, r.text) for r in a])
+    machine = toxicity.train(spark, spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    whole = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    assert {r.doc_id for r in a} == {r.doc_id for r in whole if plain_toxicity(machine, r.text) < 0.7}
+    truth = truth_components([(r.doc_id, r.text) for r in a], minhash.NEAR_OF_100)
     assert sorted(r.doc_id for r in b) == sorted({c for (_, _, c) in truth})
     items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     hits = decontaminate.find_contamination(spark, kept[1], spark.createDataFrame(items, "item_id string, text string")).collect()
     gone = {r.doc_id for r in hits if r.n_hit and 20 * r.n_hit >= r.n_words}
     assert {r.doc_id for r in kept[2].collect()} == {r.doc_id for r in b} - gone
+    # the mix: copies by the level at which a source's documents, weighed by the digits of their size, give its target
+    sources, copies = collections.defaultdict(list), collections.Counter(r.doc_id for r in last)
+    for r in kept[2].collect():
+        sources[r.source].append((r.doc_id, size(r.text)))
+    for s, target in truth_targets({s: sum(n for _, n in x) for s, x in sources.items()}).items():
+        lo, hi = 0.0, 10.0
+        for _ in range(80):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(n * min(2, mid * max(1, n.bit_length())) for _, n in sources[s]) < target else (lo, mid)
+        for d, n in sources[s]:
+            rate = min(2, lo * max(1, n.bit_length()))
+            assert copies[d] in {int(rate + 1e-6), int(rate + 1e-6) + 1}
+        assert abs(sum(copies[d] * n for d, n in sources[s]) - target) <= max([0.005 * target, *(n for _, n in sources[s])])
     again = sorted(tuple(r) for r in p.run(spark, SF).collect())
     assert again == sorted(tuple(r) for r in tok)
 
@@ -509,25 +540,15 @@ def test_pipeline(spark):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_toxicity_query_equals_brute_force(spark):
     """op2 against loops over words and pairs of words."""
-    from docsignal.llm import common
-
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     m = toxicity.train(spark, docs, labels)
     got = {r.doc_id: r for r in toxicity.op2(spark, SF).collect()}
 
-    def bucket(word, prefix=False):
-        data = np.frombuffer(word, np.uint8)
-        h = common.span_hashes(data, np.array([0]), np.array([len(data)]))
-        return int((common.mix64(h ^ np.uint64(0x5BF03635)) if prefix else h)[0]) >> (64 - toxicity.BITS)
-
     rows = docs.collect()
     assert len(got) == len(rows)
     for r in rows:
-        words = re.findall(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (r.text or "").encode())
-        have = sorted({b for w in set(words) for b in [bucket(w)] + ([bucket(w[:4], True)] if len(w) >= 6 else []) if m.slot[b] >= 0})
-        z = m.b + sum(m.w[m.slot[b]] for b in have) + sum(float(m.v[m.slot[a]] @ m.v[m.slot[b]]) for i, a in enumerate(have) for b in have[:i])
         x = got[r.doc_id]
-        assert x.score == pytest.approx(1 / (1 + np.exp(-max(-40, min(40, z)))), abs=1e-9)
+        assert x.score == pytest.approx(plain_toxicity(m, r.text), abs=1e-9)
         assert x.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and x.predicted == int(x.score >= 0.7)
 
 
