@@ -55,9 +55,11 @@ class Journal:
     def add(self, event: str, **what: Any) -> None:
         self.folder.mkdir(parents=True, exist_ok=True)
         line = json.dumps({"event": event, "at": moment(), "scan": self.scan, **what}, ensure_ascii=False) + "\n"
-        torn = self.events_path.exists() and not self.events_path.read_bytes()[-1:] in (b"", b"\n")
-        with self.events_path.open("a", encoding="utf-8") as f:
-            f.write(("\n" if torn else "") + line)
+        with self.events_path.open("a+b") as f:
+            end = f.seek(0, os.SEEK_END)
+            f.seek(max(0, end - 1))
+            torn = f.read(1) not in (b"", b"\n")
+            f.write((("\n" if torn else "") + line).encode())
             f.flush()
             os.fsync(f.fileno())
 
