@@ -20,6 +20,8 @@ from .common import LOWER, U64, crc_mod, mix64, plus, read, text_slices, trim, u
 from .toxicity import held_out
 
 BITS, HASHES, GRAM = 20, 2, 4
+#: the table is put together in blocks of 2^BLOCK_BITS positions
+BLOCK_BITS = 13
 #: at most about so many documents of each language are fitted, chosen by a hash of doc_id
 MOST_ROWS = 2000
 #: a language has an n-gram often if this share of its fitted documents have it, at least one
@@ -152,14 +154,14 @@ def train(spark: SparkSession, documents: DataFrame, most: int = MOST_ROWS, mod:
             yield pa.RecordBatch.from_arrays([pa.array(np.tile(level, n)), pa.array(np.tile(lang[rows] // 8, n)), pa.array(np.concatenate([p[rows] for p in at])), pa.array(np.tile(np.int64(1) << lang[rows] % 8, n))], names=["level", "slice", "pos", "mask"])
 
     def packed(key, table):
-        out = np.zeros(1 << BITS, np.uint8)
-        out[table.column("pos").to_numpy()] = table.column("mask").to_numpy()
-        return pa.table({"level": [key[0].as_py()], "slice": [key[1].as_py()], "masks": pa.array([out.tobytes()], pa.binary())})
+        out = np.zeros(1 << BLOCK_BITS, np.uint8)
+        out[table.column("pos").to_numpy() & ((1 << BLOCK_BITS) - 1)] = table.column("mask").to_numpy()
+        return pa.table({"level": [key[0].as_py()], "slice": [key[1].as_py()], "block": [key[2].as_py()], "masks": pa.array([out.tobytes()], pa.binary())})
 
     slots = counts.select("lang", "gram", (F.col("docs") >= least).alias("often")).mapInArrow(place, "level long, slice long, pos long, mask long")
-    slots = slots.groupBy("level", "slice", "pos").agg(F.bit_or("mask").alias("mask"))
-    for r in slots.groupBy("level", "slice").applyInArrow(packed, "level long, slice long, masks binary").collect():  # a group has 2^BITS rows at most
-        tables[r.level, r.slice] = np.frombuffer(r.masks, np.uint8)
+    slots = slots.groupBy("level", "slice", "pos").agg(F.bit_or("mask").alias("mask")).withColumn("block", F.shiftright("pos", BLOCK_BITS))
+    for r in slots.groupBy("level", "slice", "block").applyInArrow(packed, "level long, slice long, block long, masks binary").collect():
+        tables[r.level, r.slice, r.block << BLOCK_BITS : (r.block + 1) << BLOCK_BITS] = np.frombuffer(r.masks, np.uint8)
     return Filters(langs, *tables)
 
 
