@@ -152,6 +152,9 @@ _KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 0
 _KIND[0x30:0x3A] = 1
 _KIND[0x20] = 3
 _KIND[[9, 10, 11, 12, 13]] = 4
+#: the letter that byte-level vocabularies write for each byte: its own if that is visible, else one from U+0100 on
+_OWN = np.isin(np.arange(256), [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)])
+_LETTER = np.where(_OWN, np.arange(256), 0xFF + np.cumsum(~_OWN)).astype("<u2")
 
 
 def split_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,9 +203,12 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.model, self.most = Tokenizer.from_file(path), most
+        #: the same model for pre-tokens that are split already and spelled in its letters
+        self.bare = Tokenizer(self.model.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         #: strings that the tokenizer takes out of a text before it splits it; texts that hold one are encoded whole
         self.added = [t.content.encode() for t in self.model.get_added_tokens_decoder().values() if t.content]
         pre = json.loads(self.model.to_str()).get("pre_tokenizer") or {}
@@ -244,35 +250,30 @@ class Encoder:
             lost = self.slots[at] != entries + 1
             entries, at = entries[lost], (at[lost] + 1) & mask
 
-    def _learn(self, h: np.ndarray, pieces: list[bytes]) -> None:
-        """Encode new pre-tokens: those of a blank and letters in one joined text, cut again by the tokens' bytes; others one by one."""
-        text = [p.decode() for p in pieces]
-        joint = np.array([len(t) > 1 and t[0] == " " and t[1:].isalpha() for t in text], bool)
-        ids: list = [None] * len(text)
-        rows = np.flatnonzero(joint)
-        if len(rows):
-            got = np.asarray(self.model.encode_batch_fast(["".join(text[r] for r in rows)], add_special_tokens=False)[0].ids, np.uint32)
-            ends, stops = np.cumsum(self.width[got]), np.cumsum([len(pieces[r]) for r in rows])
-            cut = np.searchsorted(ends, stops)
-            if len(ends) and ends[-1] == stops[-1] and (ends[cut] == stops).all():
-                for r, a, b in zip(rows.tolist(), [0, *(cut[:-1] + 1).tolist()], (cut + 1).tolist(), strict=True):
-                    ids[r] = got[a:b]
-            else:
-                joint[:] = False
-        rows = np.flatnonzero(~joint)
-        for r, e in zip(rows.tolist(), self.model.encode_batch_fast([text[r] for r in rows], add_special_tokens=False) if len(rows) else [], strict=True):
-            ids[r] = np.asarray(e.ids, np.uint32)
-        count = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate(ids)
+    def _learn(self, h: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Encode new pre-tokens: all at once by the bare model, cut again by the tokens' bytes; one by one if its tokens don't fit them."""
+        stops = np.cumsum(ends - starts)
+        raw = data[np.repeat(starts - stops + ends - starts, ends - starts) + np.arange(stops[-1])]
+        text = np.full(len(raw) + len(stops), 0x20, "<u2")  # a blank after each; the pre-tokens' own blanks have another letter
+        text[np.arange(len(raw)) + np.repeat(np.arange(len(stops)), ends - starts)] = _LETTER[raw]
+        flat = np.asarray(self.bare.encode_batch_fast([text.tobytes().decode("utf-16-le")], add_special_tokens=False)[0].ids, np.uint32)
+        upto = np.cumsum(self.width[flat])
+        cut = np.searchsorted(upto, stops) + 1
+        if len(flat) and upto[-1] == stops[-1] and (upto[cut - 1] == stops).all():
+            count = np.diff(cut, prepend=0)
+        else:
+            pieces = [raw[a:b].tobytes().decode() for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
+            ids = [np.asarray(e.ids, np.uint32) for e in self.model.encode_batch_fast(pieces, add_special_tokens=False)]
+            count, flat = np.array([len(x) for x in ids], np.int64), np.concatenate(ids)
         n, m = self.n + len(h), self.used + len(flat)
         while len(self.hash) < n:
             self.hash, self.first, self.count = (np.concatenate([a, np.zeros_like(a)]) for a in (self.hash, self.first, self.count))
         while len(self.ends) <= n:
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.ends[self.n + 1 : n + 1] = self.ends[self.n] + np.cumsum([len(p) for p in pieces])
+        self.ends[self.n + 1 : n + 1] = self.ends[self.n] + stops
         while len(self.bytes) < self.ends[n]:
             self.bytes = np.concatenate([self.bytes, np.zeros_like(self.bytes)])
-        self.bytes[self.ends[self.n] : self.ends[n]] = np.frombuffer(b"".join(pieces), np.uint8)
+        self.bytes[self.ends[self.n] : self.ends[n]] = raw
         while len(self.flat) < m:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.hash[self.n : n], self.count[self.n : n] = h, count
@@ -314,8 +315,7 @@ class Encoder:
         new = np.flatnonzero(entry < 0)
         if len(new):
             fresh, at = np.unique(h[new], return_index=True)
-            raw = data.tobytes()
-            self._learn(fresh, [raw[starts[k] : ends[k]] for k in new[at]])
+            self._learn(fresh, data, starts[new[at]], ends[new[at]])
             entry[new] = self._find(h[new])
         # a text with another pre-token of the same hash is encoded whole
         odd[doc[~same_spans(data, starts, ends, self.bytes, self.ends[entry], self.ends[entry + 1], fold=False)]] = True
