@@ -67,47 +67,64 @@ def apart(c: np.ndarray, link: float) -> np.ndarray:
     return c[kept]
 
 
-def robust_prune(x: np.ndarray, point: int, pool: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
-    """Neighbours of point from the pool: nearest first, without those that a chosen one is closer to by the factor alpha."""
-    pool = pool[pool != point]
-    sim = x[pool] @ x[point]
-    order = np.lexsort((pool, -sim))
-    pool, dist = pool[order], np.sqrt(np.maximum(2 - 2 * sim[order], 0))
-    between = np.sqrt(np.maximum(2 - 2 * (x[pool] @ x[pool].T), 0))
-    alive, out = np.ones(len(pool), bool), []
-    for k in range(len(pool)):
-        if alive[k]:
-            out.append(pool[k])
-            if len(out) == degree:
-                break
-            alive &= alpha * between[k] > dist
-    return np.array(out, np.int64)
+def robust_prune(sim: np.ndarray, points: np.ndarray, pool: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
+    """Neighbours of each point from its row of the pool (short rows filled with the point), filled with -1: nearest first, without those
+    that a chosen one is closer to by the factor alpha. sim holds the cosines of all members."""
+    n = len(sim)
+    flat = sim.ravel()
+    pool = np.take_along_axis(pool, np.argsort(-flat[points[:, None] * n + pool], axis=1, kind="stable"), 1)
+    far, alive = 1 - flat[points[:, None] * n + pool], pool != points[:, None]
+    out, rows = np.full((len(points), degree), -1), np.arange(len(points))
+    for k in range(degree):
+        at = alive.argmax(1)
+        some = alive[np.arange(len(rows)), at]
+        if not some.all():
+            rows, pool, far, alive, at = rows[some], pool[some], far[some], alive[some], at[some]
+        if not len(rows):
+            break
+        each = np.arange(len(rows))
+        near = pool[each, at]
+        out[rows, k] = near
+        alive &= alpha * alpha * (1 - flat[near[:, None] * n + pool]) > far  # distances squared, by halves
+        alive[each, at] = False
+    return out
 
 
 def build_graph(x: np.ndarray) -> list[np.ndarray]:
-    """Adjacency lists of a shard: pruned nearest candidates, then reverse edges, pruned again where too many."""
+    """Adjacency lists of a shard: pruned nearest candidates, then reverse edges, pruned again where too many. The cosines of all members
+    are held at once, 72 MB for MOST_SHARD."""
     n = len(x)
     pool = min(POOL, n - 1)
     if n <= 1:
         return [np.zeros(0, np.int64)] * n
-    near = []
-    for i in range(0, n, 1024):
-        sim = x[i : i + 1024] @ x.T
-        sim[np.arange(len(sim)), np.arange(i, i + len(sim))] = -2
-        near.append(np.argpartition(-sim, pool - 1, axis=1)[:, :pool])
-    near = np.concatenate(near)
-    adj = [robust_prune(x, p, near[p]) for p in range(n)]
-    back: list[list[int]] = [[] for _ in range(n)]
-    for p, out in enumerate(adj):
-        for q in out:
-            back[q].append(p)
-    for p in range(n):
-        both = np.union1d(adj[p], np.array(back[p], np.int64))
-        adj[p] = robust_prune(x, p, both) if len(both) > DEGREE else both
+    sim = x @ x.T
+    np.minimum(sim, 1, out=sim)
+    out = []
+    for i in range(0, n, 512):
+        some = np.arange(i, min(i + 512, n))
+        block = sim[some]
+        block[some - i, some] = -2
+        out.append(robust_prune(sim, some, np.argpartition(block, n - pool, axis=1)[:, n - pool :]))
+    out = np.concatenate(out)
+    p, q = np.nonzero(out >= 0)[0], out[out >= 0]
+    both = np.unique(np.concatenate([p * n + q, q * n + p]))
+    p, q = both // n, both % n
+    first = np.searchsorted(p, np.arange(n + 1))
+    adj, size = np.split(q, first[1:-1]), np.diff(first)
+    many = np.flatnonzero(size > DEGREE)
+    many = many[np.argsort(size[many], kind="stable")]
+    while len(many):  # rows of like length together
+        width = min(2 * int(size[many[0]]), int(size[many].max()))
+        some = many[: min(512, int(np.searchsorted(size[many], width, "right")))]
+        k = np.arange(int(size[some].max()))
+        kept = robust_prune(sim, some, np.where(k < size[some, None], q[np.minimum(first[some, None] + k, len(q) - 1)], some[:, None]))
+        for i, row in zip(some.tolist(), kept, strict=True):
+            adj[i] = row[row >= 0]
+        many = many[len(some) :]
     return adj
 
 
-def range_search(x: np.ndarray, adj: list[np.ndarray], link: float = LINK, others: np.ndarray | None = None, beam: int = BEAM, seeds: int = 4, batch: int = 256) -> np.ndarray:
+def range_search(x: np.ndarray, adj: list[np.ndarray], link: float = LINK, others: np.ndarray | None = None, beam: int = BEAM, seeds: int = 4, batch: int = 64) -> np.ndarray:
     """Pairs (i, j), i < j, of members within the range, by greedy search from medoids that goes on through vectors in range; with
     `others`, pairs (i, j) of other vectors i and members j."""
     n, queries = len(x), x if others is None else others
@@ -123,41 +140,47 @@ def range_search(x: np.ndarray, adj: list[np.ndarray], link: float = LINK, other
     while len(start) < min(seeds, n):
         start.append(int(far.argmin()))
         far = np.maximum(far, x @ x[start[-1]])
-    found = []
+    found, step, beam = [], min(EXPAND, n), min(beam, n)
+    mark = np.zeros(min(batch, len(queries)) * (n + 1), np.int32)
     for i in range(0, len(queries), batch):
-        q = np.arange(i, min(i + batch, len(queries)))
-        m = len(q)
-        sim = np.full((m, n + 1), -2.0)  # of visited members
-        sim[:, start] = queries[q] @ x[start].T
+        mine = queries[i : i + batch]
+        m = len(mine)
+        far = np.full((m, n + 1), 2.0)  # cosines of visited members, negated
+        far[:, start] = -(mine @ x[start].T)
+        fresh = far.copy()  # of those not gone on from yet
         seen = np.zeros((m, n + 1), bool)
         seen[:, start] = True
         seen[:, n] = True
-        spent = np.zeros((m, n + 1), bool)
         rows = np.arange(m)
-        step = min(EXPAND, n)
         while len(rows):
-            cand = np.where(spent[rows], -2.0, sim[rows])
-            best = np.argpartition(-cand, step - 1, axis=1)[:, :step]
+            some = slice(None) if len(rows) == m else rows
+            cand = fresh[some]
+            best = np.argpartition(cand, step - 1, axis=1)[:, :step]
             top = np.take_along_axis(cand, best, 1)
             # the beam's last place among the visited
-            kth = -np.partition(-sim[rows], min(beam, n) - 1, axis=1)[:, min(beam, n) - 1]
-            on = (top > -2) & ((top >= kth[:, None]) | (top >= link))
+            kth = np.partition(far[some], beam - 1, axis=1)[:, beam - 1]
+            on = (top < 2) & ((top <= kth[:, None]) | (top <= -link))
             go = on.any(1)
             rows, best, on = rows[go], best[go], on[go]
             if not len(rows):
                 break
             r, c = np.nonzero(on)
-            spent[rows[r], best[r, c]] = True
-            near = table[best[r, c]].ravel()
-            r = np.repeat(rows[r], width)
-            new = ~seen[r, near]
-            rr, nn = r[new], near[new]
-            seen[rr, nn] = True
-            sim[rr, nn] = np.einsum("ij,ij->i", queries[q[rr]], x[nn])
-        a, b = np.nonzero(sim[:, :n] >= link - 1e-6)
-        a = q[a]
-        found.append(np.stack([a, b], 1) if others is not None else np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b])
-    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            base, c = rows[r] * (n + 1), best[r, c]
+            fresh.ravel()[base + c] = 2
+            near = (base[:, None] + table[c]).ravel()
+            near = near[~seen.ravel()[near]]
+            k = np.arange(len(near), dtype=np.int32)
+            mark[near] = k
+            near = near[mark[near] == k]  # each member once a query
+            seen.ravel()[near] = True
+            rr, nn = np.divmod(near, n + 1)
+            far.ravel()[near] = fresh.ravel()[near] = -np.einsum("ij,ij->i", mine[rr], x[nn])
+        a, b = np.nonzero(far[:, :n] <= 1e-6 - link)
+        a += i
+        if others is None:
+            a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+        found.append(a * n + b)
+    pairs = np.stack(np.divmod(np.unique(np.concatenate(found)), n), 1) if found else np.zeros((0, 2), np.int64)
     return pairs[np.einsum("ij,ij->i", queries[pairs[:, 0]], x[pairs[:, 1]]) >= link]
 
 

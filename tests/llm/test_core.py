@@ -391,6 +391,52 @@ def test_graph_search_finds_links():
         assert len(embeddings.range_search(x[:n], embeddings.build_graph(x[:n]))) in (0, 1)
 
 
+def prune_one(x, point, pool):
+    """The rule of robust pruning, a candidate at a time."""
+    dist = lambda a, b: np.sqrt(max(0, 2 - 2 * x[a] @ x[b]))
+    out = []
+    for p in sorted(set(pool) - {point}, key=lambda p: -(x[p] @ x[point])):
+        if len(out) < embeddings.DEGREE and all(embeddings.ALPHA * dist(q, p) > dist(point, p) for q in out):
+            out.append(p)
+    return out
+
+
+def test_graph_is_pruned_in_blocks(monkeypatch):
+    """The graph is that of pruning members one by one, in a few calls for all of them; one hub has far more reverse edges than others."""
+    rng = np.random.default_rng(2)
+    x = embeddings.unit(np.concatenate([np.repeat(rng.normal(size=(40, 16)), 15, 0) + rng.normal(size=(600, 16)) * 0.3, np.ones((1, 16))]))
+    x[:300] = embeddings.unit(x[:300] + 0.8 * x[600])
+    n, calls, prune = len(x), [], embeddings.robust_prune
+    monkeypatch.setattr(embeddings, "robust_prune", lambda *a: calls.append(1) or prune(*a))
+    adj = embeddings.build_graph(x)
+    assert len(calls) <= 12
+    sim = x @ x.T - 3 * np.eye(n)
+    want = [prune_one(x, p, np.argsort(-sim[p])[: embeddings.POOL].tolist()) for p in range(n)]
+    back = [set(a) for a in want]
+    for p, a in enumerate(want):
+        for q in a:
+            back[q].add(p)
+    assert max(map(len, back)) > 3 * embeddings.DEGREE
+    for p in range(n):
+        assert sorted(adj[p].tolist()) == sorted(back[p] if len(back[p]) <= embeddings.DEGREE else prune_one(x, p, back[p])), p
+
+
+def test_search_takes_each_cosine_once(monkeypatch):
+    """A member that several others lead to in one step is compared with the query once."""
+    rng = np.random.default_rng(3)
+    x = embeddings.unit(np.repeat(rng.normal(size=(10, 16)), 30, 0) + rng.normal(size=(300, 16)) * 0.1)
+    adj, rows, einsum = embeddings.build_graph(x), [], np.einsum
+    monkeypatch.setattr(np, "einsum", lambda how, a, b: rows.append(np.hstack([a, b])) or einsum(how, a, b))
+    for others in (None, x[::7]):
+        rows.clear()
+        pairs = embeddings.range_search(x, adj, others=others, batch=400)
+        met = np.concatenate(rows[:-1])  # the last call verifies
+        assert len(met) and len(np.unique(met, axis=0)) == len(met)
+        sim = x @ x.T if others is None else others @ x.T
+        true = np.argwhere((np.triu(sim, 1) if others is None else sim) >= embeddings.LINK).tolist()
+        assert len(pairs) >= 0.97 * len(true) and set(map(tuple, pairs.tolist())) <= set(map(tuple, true))
+
+
 def thue_morse(k, flip=False):
     a, b = ("b", "a") if flip else ("a", "b")
     for _ in range(k):
