@@ -31,6 +31,8 @@ MISS = 1e-4
 CHUNK = 128
 #: a block has about so many texts, and about so many shingles, at most
 BLOCK, BLOCK_SHINGLES = 256, 400_000
+#: so many links are joined on the driver, at 16 bytes each; more of them in rounds of tables
+DRIVER_LINKS = 1 << 18
 
 
 def _params() -> tuple[np.ndarray, np.ndarray]:
@@ -266,6 +268,24 @@ def _compare(scratch: Scratch, rest: DataFrame, texts: DataFrame, link: int, blo
     return sent.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
 
 
+def _joined(spark: SparkSession, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(node, comp) as components() has them: few links take one small table in place of a table a round, each with a file a partition."""
+    if links.count() > DRIVER_LINKS:
+        return components(spark, links, scratch, name)
+    table = links.toArrow()
+    a, b = table.column("a").to_numpy(), table.column("b").to_numpy()
+    node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    comp, moved = np.arange(len(node)), len(a) > 0
+    while moved:
+        new, low = comp.copy(), np.minimum(comp[u], comp[v])
+        for side in (u, v, comp[u], comp[v]):
+            np.minimum.at(new, side, low)
+        new = new[new]
+        moved, comp = bool((new != comp).any()), new
+    return scratch.save(spark.createDataFrame(pa.table({"node": node, "comp": node[comp]}), "node long, comp long"), name)
+
+
 def _components(spark: SparkSession, documents: DataFrame, link: int, chunk: int, block: int) -> tuple[DataFrame, DataFrame, Scratch]:
     """(signatures of rows, components of classes: (class, component_id, head), scratch).
 
@@ -278,7 +298,7 @@ def _components(spark: SparkSession, documents: DataFrame, link: int, chunk: int
     classes = sig.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("bands").alias("bands"))
     classes = scratch.save(classes.withColumn("c1", F.monotonically_increasing_id()), "classes")
     exploded = classes.select("c1", "n", F.explode("bands").alias("bucket"))
-    heads = scratch.save(exploded.groupBy("bucket").agg(F.min(F.struct("c1", "n")).alias("p"), F.count("*").alias("m")).where("m > 1").select("bucket", "p.*", "m").toDF("bucket", "pc", "pn", "m"), "heads")
+    heads = exploded.groupBy("bucket").agg(F.min(F.struct("c1", "n")).alias("p"), F.count("*").alias("m")).where("m > 1").select("bucket", "p.*", "m").toDF("bucket", "pc", "pn", "m")
     members = scratch.save(exploded.join(heads, "bucket").select("bucket", "c1", "n", "pc", "pn", "m"), "members")
     #: |A and B| <= the smaller size and |A or B| >= the larger
     fits = f"100 * least(n, pn) >= {link} * greatest(n, pn)"
@@ -288,18 +308,18 @@ def _components(spark: SparkSession, documents: DataFrame, link: int, chunk: int
     texts = scratch.save(texts.join(inside, F.expr("class = k")).select("c1", "text"), "texts", compression="zstd")
     tried = scratch.save(members.where("c1 <> pc").where(fits).select(F.col("c1").alias("a"), F.col("pc").alias("b"), "n").distinct(), "pairs-0")
     links = scratch.save(_confirm(scratch, tried, texts, link, chunk), "links-0")
-    comp = components(spark, links, scratch, "cc0")
+    comp = _joined(spark, links, scratch, "cc0")
     # buckets that still hold several components
     now = members.join(comp.withColumnRenamed("node", "c1"), "c1", "left").select("bucket", "c1", "n", F.coalesce("comp", "c1").alias("comp"))
     mixed = scratch.save(now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket"), "mixed")
     rest = scratch.save(now.join(mixed, "bucket"), "open")
     more = scratch.save(_compare(scratch, rest, texts, link, block), "links-1")
     if more.limit(1).count():
-        comp = components(spark, links.union(more), scratch, "cc1")
+        comp = _joined(spark, links.union(more), scratch, "cc1")
     label = scratch.save(classes.select("class", "c1", "doc_id").join(comp.withColumnRenamed("node", "c1"), "c1", "left").select("class", "doc_id", F.coalesce("comp", "c1").alias("comp")), "label")
     least = label.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.min_by("class", F.struct(F.col("doc_id").isNull(), "doc_id", "class")).alias("top"))
     final = scratch.save(label.join(least, "comp").select(F.col("class").alias("k"), "component_id", F.expr("class = top").alias("head")), "final")
-    scratch.drop("heads", "members", "classes", "texts", "open", "pairs-0", "many", "mixed", "plan", "label")
+    scratch.drop("members", "classes", "texts", "open", "pairs-0", "many", "mixed", "plan", "label")
     return sig, final, scratch
 
 

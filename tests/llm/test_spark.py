@@ -243,6 +243,24 @@ def test_minhash_family(spark):
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == truth_components(rows)
 
 
+def test_minhash_few_links_take_no_rounds(spark, monkeypatch):
+    """Few links need no tables of rounds, each with a file a partition; more links go through those to the same components."""
+    rng = random.Random(8)
+    long = [[f"w{k}x{i}" for i in range(140)] for k in range(2)]
+    rows = [(k, " ".join(long[k % 2][k : k + 60]), "en", "s", 1, None) for k in range(80)] + [(200 + k, prose(rng, 40), "en", "s", 1, None) for k in range(5)]
+    rng.shuffle(rows)
+    df, save, saved = spark.createDataFrame(rows, DOCS), Scratch.save, []
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name, *a, **k: (saved.append(name), save(self, df, name, *a, **k))[1])
+    tables = []
+    for most in (1 << 18, 0):
+        monkeypatch.setattr(minhash, "DRIVER_LINKS", most, raising=False)
+        saved.clear()
+        got = minhash.near_duplicates(spark, df, chunk=8, block=8).collect()
+        assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == truth_components(rows)
+        tables.append(len(saved))
+    assert tables[0] <= 15 < tables[1]
+
+
 def test_near_duplicate_stage_links_at_80(spark):
     """One changed word leaves 40 of 50 shingles common in texts of 49 words, 45 of 55 in 54 words and 39 of 49 in 48 words."""
     import corpus_pipeline
