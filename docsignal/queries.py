@@ -15,6 +15,7 @@ from .functions import text as fx
 from .operators import detect, metadata, report, uniqueness
 from .operators.report import Rules
 from .sources import containers, files
+from .sources.batches import BATCH, bounded, rows_of
 from .vocab import BENIGN_DOMAINS
 
 C = F.col
@@ -350,10 +351,19 @@ def _as_files(spark: SparkSession, sf_dir: str, make, ext: str, bucket: str) ->
 
     def run(batches):
         for batch in batches:
-            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array([f"p/{i}{ext}" for i, _, _ in rows], pa.string()), pa.array([make(*r) for r in rows], pa.binary())], names=["path", "content"])
-
-    df = table(spark, sf_dir, "pages").select("page_id", "url", "html").mapInArrow(run, "path string, content binary")
+            rows, size = [], 0
+            for i, url, html in rows_of(batch):
+                rows.append((f"p/{i}{ext}", make(i, url, html)))
+                size += len(rows[-1][1]) + 200
+                if size >= BATCH:
+                    yield batch_of(rows)
+                    rows, size = [], 0
+            yield batch_of(rows)
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.binary()))], names=["path", "content"])
+
+    df = bounded(table(spark, sf_dir, "pages").select("page_id", "url", "html")).mapInArrow(run, "path string, content binary")
     df = df.select("path", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("size"), F.lit(None).cast("timestamp").alias("mtime"), "content")
     return files.classify(df).withColumn("bucket", F.lit(bucket))
 
