@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ftps, uncs, urls
 from ..schema import METADATA, findings, hit, info, none, when
+from ..sources.batches import bounded, rows_of
 from ..sources.containers import PICTURES, form_fields, held, pdf_objects, stream, unescape_names
 from ..sources.pictures import picture
 from ..vocab import PII_TAGS, SUSPICIOUS_TAGS, URL_TAGS
@@ -64,7 +65,7 @@ def metadata(files: DataFrame, source: str | None = None) -> DataFrame:
     def run(batches):
         for batch in batches:
             paths, tags, fields, errors = [], [], [], []
-            for path, bucket, ext, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for path, bucket, ext, raw in rows_of(batch):
                 why = None
                 try:
                     opened = held(raw, source, path)
@@ -79,7 +80,7 @@ def metadata(files: DataFrame, source: str | None = None) -> DataFrame:
             s = pa.string()
             yield pa.RecordBatch.from_arrays([pa.array(paths, s), pa.array(tags, pa.map_(s, s)), pa.array(fields, pa.list_(pa.struct([(k, s) for k in ("obj", "ft", "t", "tu", "v")]))), pa.array(errors, s)], names=["path", "tags", "form_fields", "error"])
 
-    return files.where(F.col("bucket").isin(*BUCKETS)).select("path", "bucket", "extension", "content").mapInArrow(run, METADATA)
+    return bounded(files.where(F.col("bucket").isin(*BUCKETS)).select("path", "bucket", "extension", "content")).mapInArrow(run, METADATA)
 
 
 def bare(tag: Column) -> Column:

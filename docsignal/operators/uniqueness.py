@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import canonical, text_of, without_versions
 from ..schema import HIT, findings, hit, info, place
+from ..sources.batches import bounded, rows_of
 from ..sources.containers import held as opened
 from ..sources.containers import pdf_objects, zip_parts
 from ..sources.files import with_content
@@ -96,7 +97,7 @@ def pixel_diffs(pairs: DataFrame, most: int = 1000) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = []
-            for cluster, left, right in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for cluster, left, right in rows_of(batch):
                 a, b = (decoded(x) if x else None for x in (left, right))
                 if a is not None and b is not None and a.shape == b.shape:
                     n = int((a != b).any(2).sum())
@@ -104,7 +105,7 @@ def pixel_diffs(pairs: DataFrame, most: int = 1000) -> DataFrame:
                         out.append((cluster, str(n)))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in (0, 1)], names=["cluster_id", "n"])
 
-    found = pairs.select("cluster_id", "left", "right").mapInArrow(run, "cluster_id string, n string")
+    found = bounded(pairs.select("cluster_id", "left", "right")).mapInArrow(run, "cluster_id string, n string")
     return found.select("cluster_id", F.lit("pixel_diff").alias("field"), F.concat("n", F.lit(" pixels of the first two pictures differ")).alias("description"), C("n").alias("evidence"))
 
 
@@ -142,7 +143,7 @@ def normalized(files: DataFrame, source: str | None = None) -> DataFrame:
 
         for batch in batches:
             out = []
-            for path, bucket, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for path, bucket, raw in rows_of(batch):
                 body = core = error = None
                 try:
                     raw = opened(raw, source, path)
@@ -159,7 +160,7 @@ def normalized(files: DataFrame, source: str | None = None) -> DataFrame:
                 out.append((path, body, core, error))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*out, strict=True) if out else ((), (), (), ()))], names=["path", "body", "core", "error"])
 
-    return files.select("path", "bucket", "content").mapInArrow(run, "path string, body string, core string, error string")
+    return bounded(files.select("path", "bucket", "content")).mapInArrow(run, "path string, body string, core string, error string")
 
 
 def body_diffs(members: DataFrame) -> DataFrame:

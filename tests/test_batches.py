@@ -5,6 +5,7 @@ import tracemalloc
 import pyarrow as pa
 
 from docsignal import queries
+from docsignal.operators import metadata
 from docsignal.sources import batches, containers
 
 
@@ -51,3 +52,11 @@ def test_parts_of_many_pdfs(spark):
     run = containers.parts(Table(spark))
     python, arrow, rows = held(run, batch([queries.make_pdf(f"https://h/{i}") for i in range(6000)], "pdf", ".pdf"))
     assert rows == 6000 * 16 and python < 8 and arrow < 4
+
+
+def test_pictures_are_taken_one_at_a_time(spark):
+    pictures = batch([queries.make_png("c" * 10, b"x" * 200_000) for _ in range(200)], "image", ".png")
+    python, _, rows = held(containers.parts(Table(spark)), pictures)
+    assert rows == 200 * 4 and python < 4
+    python, _, rows = held(metadata.metadata(Table(spark)), pictures.select(["path", "bucket", "extension", "content"]))
+    assert rows == 200 and python < 4
