@@ -60,3 +60,13 @@ def test_pictures_are_taken_one_at_a_time(spark):
     assert rows == 200 * 4 and python < 4
     python, _, rows = held(metadata.metadata(Table(spark)), pictures.select(["path", "bucket", "extension", "content"]))
     assert rows == 200 and python < 4
+
+
+def test_cells_of_a_large_file(spark):
+    """Negative numbers are not sent, cells after them keep their places, and the text is not held whole in wide characters."""
+    raw = b"-1,+cmd|x\n" + b"-1,-2\n" * 400_000 + b'"=HYPERLINK(""https://h/c"")"\n'
+    run = containers.parts(Table(spark))
+    got = [(r["part"], r["text"]) for b in run(iter([batch([raw], "csv", ".csv")])) for r in b.to_pylist()]
+    assert got == [(1, "+cmd|x"), (800_002, '=HYPERLINK("https://h/c")')]
+    python, arrow, _ = held(run, batch([raw], "csv", ".csv"))
+    assert python < 8 and arrow < 1
