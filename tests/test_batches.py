@@ -70,3 +70,15 @@ def test_cells_of_a_large_file(spark):
     assert got == [(1, "+cmd|x"), (800_002, '=HYPERLINK("https://h/c")')]
     python, arrow, _ = held(run, batch([raw], "csv", ".csv"))
     assert python < 8 and arrow < 1
+
+
+def test_members_of_many_archives(spark):
+    archives = batch([queries.make_zip({"a.zip": queries.make_zip({"b.pdf": b"x" * 1000}), "c.html": b"y" * 100_000}) for _ in range(400)], "archive", ".zip").select(["path", "content"])
+    python, arrow, rows = held(containers.archive_members(Table(spark)), archives)
+    assert rows == 400 * 3 and python < 8 and arrow < 3
+
+
+def test_large_member_goes_alone(spark):
+    archive = batch([queries.make_zip({"a.bin": b"x", "b.bin": bytes(3 * batches.BATCH), "c.bin": b"z"})], "archive", ".zip").select(["path", "content"])
+    got = [[(r["path"], r["size"]) for r in b.to_pylist()] for b in containers.archive_members(Table(spark))(iter([archive]))]
+    assert got == [[("p/0.zip!/a.bin", 1)], [("p/0.zip!/b.bin", 3 * batches.BATCH)], [("p/0.zip!/c.bin", 1)]]
