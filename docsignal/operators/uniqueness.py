@@ -118,18 +118,61 @@ def core_diffs(members: DataFrame, core: Column, compat: bool = False) -> DataFr
     return whole.groupBy("cluster_id").agg(F.array_join(F.array_sort(F.collect_list("evidence")), " | ").alias("evidence")).select("cluster_id", F.lit("core_xml_guid_revision").alias("field"), F.lit("each copy has its own GUID or revision in core.xml").alias("description"), "evidence")
 
 
+def least(rows: DataFrame, keys: list[str], most: int = SHOWN, budget: int = 16 << 20) -> DataFrame:
+    """Rows (keys, v: strings) that hold the first `most` different values of each group, in one pass of each task: it holds `most` values a
+    group, and hands on what it has found once that is over about `budget` bytes."""
+
+    def run(batches):
+        from bisect import bisect_left
+
+        def told():
+            out = [(*k, v) for k, found in held.items() for v in found]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.string()) for k in range(len(keys) + 1)], names=[*keys, "v"])
+
+        held, size = {}, 0
+        for batch in batches:
+            for *key, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if v is None:
+                    continue
+                found = held.setdefault(tuple(key), [])
+                if len(found) == most and v >= found[-1]:
+                    continue
+                at = bisect_left(found, v)
+                if at == len(found) or found[at] != v:
+                    found.insert(at, v)
+                    size += len(v) + sum(map(len, key)) + 200
+                    if len(found) > most:
+                        size -= len(found.pop()) + sum(map(len, key)) + 200
+            if size >= budget:
+                yield told()
+                held, size = {}, 0
+        yield told()
+
+    return bounded(rows.select(*keys, "v")).mapInArrow(run, ", ".join(f"{k} string" for k in [*keys, "v"]))
+
+
 def field_diffs(members: DataFrame) -> DataFrame:
-    """Form fields, aligned by name or else object, whose value, tooltip or name differs; a member without the field counts as None."""
-    rows = members.select("cluster_id", "cluster_size", "path", F.explode("form_fields").alias("f"))
-    rows = rows.select("cluster_id", "cluster_size", "path", F.coalesce(F.nullif("f.t", F.lit("")), "f.obj").alias("key"), F.explode(F.array(*[F.struct(F.lit(n).alias("what"), C(f"f.{k}").alias("v")) for n, k in (("value", "v"), ("tooltip", "tu"), ("name", "t"))])).alias("x")).select("cluster_id", "cluster_size", "path", "key", "x.*").where("key is not null")
+    """Form fields, aligned by name or else object, whose value, tooltip or name differs; a member without the field counts as None.
+
+    Aggregates are of fixed width, values compared by 128 bits of hashes, so a task holds as much as there are fields, not files.
+    """
+    name = lambda f: F.coalesce(F.nullif(f["t"], F.lit("")), f["obj"])
+    none = F.lit(None).cast("string")
+    # each field, and once for each member and key a row that counts the member
+    fields = F.transform("form_fields", lambda f: F.struct(name(f).alias("key"), f["v"].alias("v"), f["tu"].alias("tu"), f["t"].alias("t"), F.lit(False).alias("once")))
+    once = F.transform(F.array_distinct(F.transform("form_fields", name)), lambda k: F.struct(k.alias("key"), none.alias("v"), none.alias("tu"), none.alias("t"), F.lit(True).alias("once")))
+    rows = members.select("cluster_id", "cluster_size", "path", F.explode(F.concat(fields, once)).alias("f"))
+    rows = rows.select("cluster_id", "cluster_size", "path", C("f.key").alias("key"), C("f.once").alias("once"), F.explode(F.array(*[F.struct(F.lit(n).alias("what"), C(f"f.{k}").alias("v")) for n, k in (("value", "v"), ("tooltip", "tu"), ("name", "t"))])).alias("x")).select("cluster_id", "cluster_size", "path", "key", "once", "x.*").where("key is not null")
     shown = F.concat(F.substring_index("path", "/", -1), F.lit(": "), F.coalesce(F.concat(F.lit("'"), C("v"), F.lit("'")), F.lit("None")))
     # null-safe: absent values and absent fields are one value, None
     keys = ["cluster_id", "key", "what"]
-    agg = rows.groupBy(*keys).agg(F.first("cluster_size").alias("size"), F.count_distinct("path").alias("have"), F.count_distinct("v").alias("kinds"), F.max(C("v").isNull()).alias("gap"))
+    one, two = (F.when(C("v").isNotNull(), h) for h in (F.xxhash64("v"), F.xxhash64(F.lit(1), C("v"))))
+    kinds = F.when(F.max(one).isNull(), 0).when((F.min(one) == F.max(one)) & (F.min(two) == F.max(two)), 1).otherwise(2)
+    agg = rows.groupBy(*keys).agg(F.first("cluster_size").alias("size"), F.count_if("once").alias("have"), kinds.alias("kinds"), F.max(~C("once") & C("v").isNull()).alias("gap"))
     agg = agg.where((C("kinds") + (C("gap") | (C("have") < C("size"))).cast("int")) > 1)
-    first = rows.select(*keys, shown.alias("shown")).distinct().withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("shown"))).where(C("r") <= SHOWN)
-    seen = first.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("shown")), ", ").alias("seen"))
-    agg = agg.join(seen, keys)
+    first = least(rows.where("not once").select(*keys, shown.alias("v")), keys).distinct().withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("v"))).where(C("r") <= SHOWN)
+    seen = first.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("v")), ", ").alias("seen"))
+    agg = agg.join(seen, keys, "left").withColumn("seen", F.coalesce("seen", F.lit("")))
     text = F.concat(F.lit("field '"), C("key"), F.lit("' "), C("what"), F.lit(" differs ("), C("seen"), F.when(C("have") > SHOWN, F.concat(F.lit(", of "), C("have").cast("string"), F.lit(" files"))).otherwise(""), F.when(C("have") < C("size"), ", others: None").otherwise(""), F.lit(")"))
     return agg.groupBy("cluster_id").agg(F.array_join(F.array_sort(F.collect_list(text)), "; ").alias("evidence")).select("cluster_id", F.lit("pdf_form_field").alias("field"), F.lit("form fields are filled in otherwise").alias("description"), "evidence")
 

@@ -5,7 +5,7 @@ import tracemalloc
 import pyarrow as pa
 
 from docsignal import queries
-from docsignal.operators import metadata
+from docsignal.operators import metadata, uniqueness
 from docsignal.sources import batches, containers
 
 
@@ -82,3 +82,23 @@ def test_large_member_goes_alone(spark):
     archive = batch([queries.make_zip({"a.bin": b"x", "b.bin": bytes(3 * batches.BATCH), "c.bin": b"z"})], "archive", ".zip").select(["path", "content"])
     got = [[(r["path"], r["size"]) for r in b.to_pylist()] for b in containers.archive_members(Table(spark))(iter([archive]))]
     assert got == [[("p/0.zip!/a.bin", 1)], [("p/0.zip!/b.bin", 3 * batches.BATCH)], [("p/0.zip!/c.bin", 1)]]
+
+
+def test_least_values_of_a_group(spark):
+    """A task keeps the first values of each group, not all; what it hands on early loses none."""
+    values = [f"v{(i * 7919) % 50_000:06d}" for i in range(50_000)]
+    rows = pa.RecordBatch.from_arrays([pa.array([f"k{i % 3}" for i in range(50_000)]), pa.array([*values[:-1], None])], names=["k", "v"])
+    want = {(k, v) for k in ("k0", "k1", "k2") for v in sorted({v for i, v in enumerate(values[:-1]) if f"k{i % 3}" == k})[:20]}
+    for budget in (16 << 20, 1):
+        got = [(r["k"], r["v"]) for b in uniqueness.least(Table(spark), ["k"], 20, budget)(iter([rows.slice(0, 25_000), rows.slice(25_000)])) for r in b.to_pylist()]
+        assert want <= set(got) and len(got) <= 60 * (1 if budget > 1 else 3)
+
+
+def test_field_differences_hold_no_values(spark):
+    """Aggregates of fixed width, and a row that is there twice is no file without the field."""
+    field = "array<struct<obj:string,ft:string,t:string,tu:string,v:string>>"
+    rows = [("same", 2, "a", [("1 0", "/Tx", "n", None, "v")])] * 2 + [("other", 2, p, [("1 0", "/Tx", "n", None, p)]) for p in "ab"] + [("lacks", 2, "a", [("1 0", "/Tx", "n", "t", "v")]), ("lacks", 2, "b", [])]
+    diffs = uniqueness.field_diffs(spark.createDataFrame(rows, f"cluster_id string, cluster_size long, path string, form_fields {field}"))
+    got = {r.cluster_id: r.evidence for r in diffs.collect()}
+    assert set(got) == {"other", "lacks"} and got["other"] == "field 'n' value differs (a: 'a', b: 'b')"
+    assert got["lacks"].count("others: None") == 3 and "Expand" not in diffs._jdf.queryExecution().toString()
